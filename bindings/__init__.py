@@ -1,5 +1,5 @@
 """The reports bound to the driver's test tables."""
 
-from bindings import workload
+from bindings import events, memory, replicas, sessions, storage, workload
 
-MODULES = (workload,)
+MODULES = (workload, sessions, events, replicas, storage, memory)

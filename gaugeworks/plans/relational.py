@@ -57,21 +57,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def left_join_many(
+    left: DataFrame, right: DataFrame, on: Sequence[str], parents: DataFrame | None = None
+) -> DataFrame:
     """Left join to a table that may hold very many rows for one key.
 
-    Adaptive execution splits a hot key on either side of an inner join, but never on the right side
-    of a left join. So the matches come from an inner join and the rest from an anti join against
-    the distinct keys, which are combined before they are shuffled.
+    Adaptive execution splits a hot key on both sides of an inner join, but never on the right side
+    of a left join. So ``right`` first gets an empty row for every key of ``left`` that it lacks, and
+    an inner join does the rest. ``parents`` is a cheap table that has all keys of ``left``; keys
+    must not be NULL.
     """
     on = list(on)
-    matched = left.join(right, on)
-    unmatched = left.join(right.select(*on).distinct(), on, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    keys = (left if parents is None else parents).select(*on).distinct()
+    lacking = keys.join(right.select(*on).distinct(), on, "left_anti")
+    return left.join(right.unionByName(lacking, allowMissingColumns=True), on)
 
 
 def disjunctive_join(
-    left: DataFrame, right: DataFrame, branches: Sequence[tuple[str, str, Column]]
+    left: DataFrame, right: DataFrame, branches: Sequence[tuple[str, str, Column]], keys=()
 ) -> DataFrame:
     """Join on ``(left.a = right.k AND c1) OR (left.b = right.k AND c2) OR ...``.
 
@@ -98,7 +101,7 @@ def disjunctive_join(
     )
     tagged_left = left.select("*", F.inline(tags)).filter("_value IS NOT NULL")
     tagged_right = right.withColumn("_branch", number).withColumn("_value", value).filter("_branch IS NOT NULL")
-    return tagged_left.join(tagged_right, ["_branch", "_value"]).drop("_branch", "_value")
+    return tagged_left.join(tagged_right, [*keys, "_branch", "_value"]).drop("_branch", "_value")
 
 
 def flag_parents(df: DataFrame, children: DataFrame, id_: str, parent: str, alias: str, keys=()) -> DataFrame:
