@@ -1,5 +1,5 @@
 """The reports bound to the driver's test tables."""
 
-from bindings import events, memory, replicas, sessions, storage, workload
+from bindings import events, memory, replicas, sessions, storage, streaming, workload
 
-MODULES = (workload, sessions, events, replicas, storage, memory)
+MODULES = (workload, sessions, events, replicas, storage, memory, streaming)

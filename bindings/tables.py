@@ -30,6 +30,14 @@ def _metric(i: int, m: str) -> str:
     )
 
 
+def _record(m: str) -> str:
+    return (
+        f"cast({_CENTS} as double) as avg_{m}, {_CENTS} as min_{m}, {_CENTS} + event_id % 50 as max_{m}, "
+        f"cast(event_id % 31 as double) as stdev_{m}"
+    )
+
+
+_RECORD_METRICS = ", ".join(_record(m) for m in ("duration", "rowcount"))
 _METRICS = ", ".join(_metric(i, m) for i, m in enumerate(METRIC_SCALES))
 
 SELECTS: dict[str, str] = {
@@ -42,6 +50,13 @@ SELECTS: dict[str, str] = {
                cast(min(ts) as timestamp) as first_execution_time,
                cast(max(ts) as timestamp) as last_execution_time, {_METRICS}
           from events group by user_id, event_type, date_trunc('hour', ts), {_SLOT}""",
+    "execution_records": f"""
+        select user_id * 10 + {_EVENT_CODE} as plan_id,
+               case when event_type = 'error' then 'Aborted' else 'Regular' end as execution_type_desc,
+               cast(1 + event_id % 9 as bigint) as count_executions,
+               cast(ts as timestamp) as last_execution_time,
+               {_RECORD_METRICS}
+          from events""",
     "plans": f"""
         select distinct user_id * 10 + {_EVENT_CODE} as plan_id, user_id as query_id,
                '<plan user="' || cast(user_id as string) || '" kind="' || event_type || '"/>' as query_plan
@@ -432,6 +447,12 @@ class Bound:
         self._test = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
         self._made: dict[str, DataFrame] = {}
 
+    def replace(self, **tables: DataFrame) -> Bound:
+        """The same tables built from other test tables."""
+        other = object.__new__(Bound)
+        other._spark, other._test, other._made = self._spark, {**self._test, **tables}, {}
+        return other
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.constants import DEADLOCK_EVENT, DEPRECATED_COUNTER_TEXT, DEPRECATION_FIELDS
@@ -71,17 +71,20 @@ def raw_events(events: DataFrame, n: int = 100) -> DataFrame:
     return events.select("event_data").limit(n)
 
 
+def flat_columns(event: Column, fields=DEPRECATION_FIELDS, utc_offset=0) -> dict[str, Column]:
+    """Type, server time, database id and named items of a parsed event."""
+    return {
+        "event_type": event["_name"],
+        "event_time": to_server_time(event_time(event), utc_offset),
+        "database_id": xml_item(event, "action", "database_id", "int"),
+        **{column: xml_item(event, kind, name, type_) for column, kind, name, type_ in fields},
+    }
+
+
 def shred(events: DataFrame, fields=DEPRECATION_FIELDS, utc_offset=0) -> DataFrame:
-    """Documents as flat rows: type, server time, database id and the named items."""
-    event = F.col("_event")
-    return (
-        events.withColumn("_event", event_struct("event_data"))
-        .withColumn("event_type", event["_name"])
-        .withColumn("event_time", to_server_time(event_time(event), utc_offset))
-        .withColumn("database_id", xml_item(event, "action", "database_id", "int"))
-        .withColumns({column: xml_item(event, kind, name, type_) for column, kind, name, type_ in fields})
-        .drop("_event", "object_name")
-    )
+    """Documents as flat rows; the document itself is kept."""
+    parsed = events.withColumn("_event", event_struct("event_data"))
+    return parsed.withColumns(flat_columns(F.col("_event"), fields, utc_offset)).drop("_event", "object_name")
 
 
 def crack_events(
