@@ -443,24 +443,25 @@ class Bound:
     """Derived tables of one test-data folder as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark = spark
-        self._test = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TEST_TABLES}
+        self._spark, self._sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
     def replace(self, **tables: DataFrame) -> Bound:
         """The same tables built from other test tables."""
-        other = object.__new__(Bound)
-        other._spark, other._test, other._made = self._spark, {**self._test, **tables}, {}
+        other = Bound(self._spark, self._sf_dir)
+        other._made.update(tables)
         return other
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        if name in self._test:
-            return self._test[name]
-        if name not in SELECTS:
+        if name not in SELECTS and name not in TEST_TABLES:
             raise AttributeError(name)
-        if name not in self._made:
+        if name in self._made:
+            return self._made[name]
+        if name in TEST_TABLES:
+            self._made[name] = self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        else:
             sql = SELECTS[name]
             tests = [t for t in TEST_TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
             used = tests + [t for t in _names(sql) if t != name]

@@ -301,8 +301,9 @@ def _with_texts(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
 def _session_lists(t: SessionTables, keys, rows: int) -> DataFrame:
     """Waits, tempdb use and wait totals of each session as lists.
 
-    The three tables are stacked, so one aggregate and one join serve them all. A session with more
-    than ``rows`` children gets several rows, numbered in ``list_part``.
+    The three tables are stacked, so one aggregate and one join serve them all; a row without
+    children stands for each session, so that every session has its lists. A session with more than
+    ``rows`` children gets several rows, numbered in ``list_part``.
     """
     by_session = [*keys, "session_id"]
     waits = t.waiting_tasks.select(
@@ -337,7 +338,8 @@ def _session_lists(t: SessionTables, keys, rows: int) -> DataFrame:
             "signal_wait_time_ms",
         ).alias("_total"),
     )
-    children = split_large_groups(union_all(waits, space, totals), by_session, ["_id"], rows, "list_part")
+    alone = t.sessions.select(*by_session).distinct()
+    children = split_large_groups(union_all(waits, space, totals, alone), by_session, ["_id"], rows, "list_part")
     return children.groupBy(*by_session, "list_part").agg(
         *[F.sort_array(F.collect_list(f"_{c}")).alias(f"_{c}s") for c in ("wait", "space", "total")]
     )
@@ -378,11 +380,10 @@ def session_summary(
     rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads").distinct()
 
     rows = lookup(rows, t.input_buffers.select(*by_request, "event_info"), by_request)
-    rows = left_join_many(rows, _session_lists(t, keys, list_rows), by_session, t.sessions)
+    rows = lookup(rows, _session_lists(t, keys, list_rows), by_session, "inner")
     own_space = F.filter("_spaces", lambda e: e["request_id"] == F.col("request_id"))
     rows = rows.withColumns(
         {
-            "list_part": F.coalesce("list_part", F.lit(0)),
             "current_waits": F.when(
                 F.col("has_request"),
                 _listed(

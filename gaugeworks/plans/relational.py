@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.predicates import as_column
+from gaugeworks.plans.materialize import materialize
 
 BROADCAST_ROWS = 500_000
 LIST_ROWS = 10_000
@@ -184,14 +185,17 @@ def conditional_counts(df: DataFrame, by: Sequence[str], conditions: dict[str, C
 def split_large_groups(df: DataFrame, keys: Sequence[str], identity: Sequence[str], rows: int, alias: str) -> DataFrame:
     """Number the parts of each group so that a part has about ``rows`` rows at most.
 
-    Ordinary groups are one part, number 0. Only groups above the limit appear on the small side of
-    the join, so it is normally empty. ``identity`` tells rows of a group apart.
+    Ordinary groups are one part, number 0. The groups above the limit are counted first, once, and
+    kept in the shared folder; there are at most rows-of-``df`` / ``rows`` of them and usually none.
+    ``identity`` tells the rows of a group apart.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    parts = sizes.select(*keys, F.ceil(F.col("_n") / rows).alias("_parts"))
+    parts = materialize(sizes.select(*keys, F.ceil(F.col("_n") / rows).alias("_parts")))
+    if parts.isEmpty():
+        return df.withColumn(alias, F.lit(0))
     spread = F.pmod(F.xxhash64(*identity), F.col("_parts"))
     return (
-        df.join(parts, list(keys), "left")
+        df.join(broadcast_if_small(parts), list(keys), "left")
         .withColumn(alias, F.coalesce(spread, F.lit(0)).cast("int"))
         .drop("_parts")
     )
