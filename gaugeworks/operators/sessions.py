@@ -233,7 +233,7 @@ def _sessions(
     )
     if only is not None:
         people = people.filter(only)
-    rows = lookup(people, connections, by_session)
+    rows = left_join_many(people, connections, by_session)
     rows = flag_parents(rows, t.requests, "session_id", "blocking_session_id", "_blocks", keys)
     rows = left_join_many(rows, requests, by_session, t.sessions)
     rows = left_join_many(rows, transactions, by_session, t.sessions)

@@ -47,18 +47,19 @@ def statistics_staleness(
         [*keys, "object_id"],
         "inner",
     )
-    pages = part_stats.withColumnRenamed("index_id", "stats_id")
-    sums = [F.sum("used_page_count").alias("pages"), F.sum("row_count").alias("current_rows")]
+    # one pass over the partitions serves both kinds of row
+    pages = (
+        part_stats.withColumnRenamed("index_id", "stats_id")
+        .groupBy(*place, "partition_number")
+        .agg(F.sum("used_page_count").alias("pages"), F.sum("row_count").alias("current_rows"))
+    )
+    all_pages = pages.groupBy(*place).agg(F.sum("pages").alias("pages"), F.sum("current_rows").alias("current_rows"))
     per_partition = lookup(
-        lookup(
-            inc_props.filter("rows IS NOT NULL"),
-            pages.groupBy(*place, "partition_number").agg(*sums),
-            [*place, "partition_number"],
-        ),
+        lookup(inc_props.filter("rows IS NOT NULL"), pages, [*place, "partition_number"]),
         props.select(*place, "persisted_sample_percent"),
         place,
     )
-    whole = lookup(props.filter("rows IS NOT NULL"), pages.groupBy(*place).agg(*sums), place).withColumn(
+    whole = lookup(props.filter("rows IS NOT NULL"), all_pages, place).withColumn(
         "partition_number", F.lit(None).cast("int")
     )
     result = lookup(union_all(per_partition, whole), described, place, "inner")

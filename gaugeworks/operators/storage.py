@@ -139,43 +139,45 @@ def space_by_object(
 ) -> DataFrame:
     """Rows and space per object and partition, with its internal tables' pages, in KB text.
 
-    Own and internal pages are summed in one aggregate: a row of an internal table counts once for
-    the table itself and once for its parent.
+    Pages are summed per object and partition in one pass; each sum then counts for the object
+    itself and, if that is an internal table, once more for its parent.
     """
     keys = list(keys)
     place = [*keys, "object_id", "partition_number"]
     main = F.col("index_id") < 2
     overflow = F.col("lob_used_page_count") + F.col("row_overflow_used_page_count")
     zero = F.lit(0).cast("bigint")
-    own = part_stats.filter(optional_eq("object_id", object_id)).select(
-        *place,
-        F.lit(True).alias("_own"),
-        F.col("reserved_page_count").alias("reserved"),
-        F.col("used_page_count").alias("used"),
-        F.when(main, F.col("in_row_data_page_count") + overflow).otherwise(overflow).alias("data"),
-        F.when(main, F.col("row_count")).otherwise(zero).alias("rows"),
-    )
+    sums = {
+        "reserved": F.col("reserved_page_count"),
+        "used": F.col("used_page_count"),
+        "data": F.when(main, F.col("in_row_data_page_count") + overflow).otherwise(overflow),
+        "rows": F.when(main, F.col("row_count")).otherwise(zero),
+    }
     parents = internal.filter(
         F.col("internal_type").isin(*INTERNAL_SPACE_TYPES) & optional_eq("parent_id", object_id)
     ).select(*keys, "object_id", "parent_id")
-    attributed = lookup(
-        part_stats.select(*place, "reserved_page_count", "used_page_count"), parents, [*keys, "object_id"], "inner"
-    ).select(
-        *keys,
-        F.col("parent_id").alias("object_id"),
-        "partition_number",
-        F.lit(False).alias("_own"),
-        F.col("reserved_page_count").alias("reserved"),
-        F.col("used_page_count").alias("used"),
-        zero.alias("data"),
-        zero.alias("rows"),
+    if object_id is not None:
+        inner = F.col("object_id").isin(object_id)
+        wanted = union_all(part_stats.filter(inner).select(*keys, "object_id"), parents.select(*keys, "object_id"))
+        part_stats = lookup(part_stats, wanted.distinct(), [*keys, "object_id"], "left_semi")
+    own = part_stats.groupBy(*place).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    targets = F.array(
+        F.struct(F.col("object_id").alias("_target"), F.lit(True).alias("_own")),
+        F.struct(F.col("parent_id").alias("_target"), F.lit(False).alias("_own")),
+    )
+    attributed = (
+        lookup(own, parents, [*keys, "object_id"])
+        .select("*", F.inline(targets))
+        .filter(optional_eq("_target", object_id))
+        .withColumn("object_id", F.col("_target"))
     )
     totals = (
-        union_all(own, attributed)
-        .groupBy(*place)
+        attributed.groupBy(*place)
         .agg(
             F.bool_or("_own").alias("_own"),
-            *[F.sum(c).alias(c) for c in ("reserved", "used", "data", "rows")],
+            F.sum("reserved").alias("reserved"),
+            F.sum("used").alias("used"),
+            *[F.sum(F.when(F.col("_own"), F.col(c)).otherwise(zero)).alias(c) for c in ("data", "rows")],
         )
         .filter("_own")
     )

@@ -10,7 +10,7 @@ from gaugeworks.functions.predicates import overlaps, require
 from gaugeworks.functions.scalars import hour_bucket, ratio, round_dec, window_bounds
 from gaugeworks.functions.summaries import COUNT, RANKS, merge_summary
 from gaugeworks.plans.materialize import materialize
-from gaugeworks.plans.relational import broadcast_if_small, lookup, report_order, top_k
+from gaugeworks.plans.relational import fits_broadcast, lookup, report_order, top_k
 
 
 def _in_window(stats, as_of, window, hours_back, capture_options, keys) -> DataFrame:
@@ -104,7 +104,7 @@ def top_queries(
     The statistics are read twice. The first pass needs few columns and shuffles one row per plan;
     it yields the plans of the top queries, which are written to the shared folder and counted. The
     second pass keeps only those plans' rows, by a broadcast when the count allows it, so what it
-    shuffles does not grow with the table. Long texts and plans are fetched last.
+    shuffles does not grow with the table. Long texts are fetched last and for those plans only.
     """
     if rank_by not in RANKS:
         raise ValueError(f"rank_by must be one of {', '.join(RANKS)}, not {rank_by!r}")
@@ -121,13 +121,17 @@ def top_queries(
     top_plans = materialize(
         lookup(plans.select(*keys, "plan_id", "query_id"), top, [*keys, "query_id"], "inner")
     )
-
-    plan_ids = broadcast_if_small(top_plans.select(*keys, "plan_id"))
-    buckets = _hourly(in_window.join(plan_ids, [*keys, "plan_id"], "left_semi"), [metric], tz, keys)
-    wanted = top_plans.select(*keys, "query_text_id").distinct()
-    top_texts = lookup(texts, wanted, [*keys, "query_text_id"], "left_semi")
+    small = F.broadcast if fits_broadcast(top_plans) else lambda df: df
+    plan_ids = small(top_plans.select(*keys, "plan_id"))
+    text_ids = small(top_plans.select(*keys, "query_text_id").distinct())
+
+    buckets = _hourly(lookup(in_window, plan_ids, [*keys, "plan_id"], "left_semi"), [metric], tz, keys)
+    top_texts = lookup(texts, text_ids, [*keys, "query_text_id"], "left_semi")
+    plan_texts = lookup(
+        plans.select(*keys, "plan_id", "query_plan"), plan_ids, [*keys, "plan_id"], "left_semi"
+    )
     result = lookup(buckets, top_plans, [*keys, "plan_id"], "inner")
-    result = lookup(result, plans.select(*keys, "plan_id", "query_plan"), [*keys, "plan_id"], "inner")
+    result = lookup(result, plan_texts, [*keys, "plan_id"], "inner")
     result = lookup(result, top_texts, [*keys, "query_text_id"], "inner")
     result = _named(result, objects, keys)
     result = report_order(result, ordered, *keys, F.desc("rank_value"), "query_id", "bucket_start", "plan_id")

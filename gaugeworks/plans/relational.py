@@ -49,13 +49,17 @@ def first_match(
     return df.withColumn(alias, F.coalesce(*found)).drop(*[f"_{alias}_{i}" for i in range(len(candidates))])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only if ``df`` has at most ``max_rows`` rows.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows, counted up to that limit.
 
-    The rows are counted up to the limit, so ``df`` should be narrow and already materialized.
-    Beyond the limit the join is left to a shuffle.
+    ``df`` should be narrow and already materialized.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint only for a table that fits; beyond that the join is left to a shuffle."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def left_join_many(
@@ -151,10 +155,12 @@ def first_per(df: DataFrame, partition: Sequence[str], order: Sequence[Column])
 def top_k(df: DataFrame, by: Sequence[Column], n: int, keys=()) -> DataFrame:
     """The first ``n`` rows in the given order, per snapshot when there are ``keys``.
 
-    Without keys every task keeps its own best ``n``; with keys the same holds per snapshot.
+    Without keys every task keeps its own best ``n``; with keys the same holds per snapshot. The
+    ``n`` rows end in one partition anyway; saying so keeps later columns from being computed for
+    all rows ahead of the limit, which would turn it into a full sort.
     """
     if not keys:
-        return df.orderBy(*by).limit(n)
+        return df.orderBy(*by).limit(n).coalesce(1)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
