@@ -10,7 +10,7 @@ from gaugeworks.functions.predicates import overlaps, require
 from gaugeworks.functions.scalars import hour_bucket, ratio, round_dec, window_bounds
 from gaugeworks.functions.summaries import COUNT, RANKS, merge_summary
 from gaugeworks.plans.materialize import materialize
-from gaugeworks.plans.relational import fits_broadcast, lookup, report_order, top_k
+from gaugeworks.plans.relational import BROADCAST_ROWS, fits_broadcast, lookup, report_order, top_k
 
 
 def _in_window(stats, as_of, window, hours_back, capture_options, keys) -> DataFrame:
@@ -108,6 +108,8 @@ def top_queries(
     """
     if rank_by not in RANKS:
         raise ValueError(f"rank_by must be one of {', '.join(RANKS)}, not {rank_by!r}")
+    if metric not in METRIC_SCALES:
+        raise ValueError(f"metric must be one of {', '.join(METRIC_SCALES)}, not {metric!r}")
     in_window = _in_window(stats, as_of, window, hours_back, capture_options, keys)
     if execution_type is not None:
         in_window = in_window.filter(F.col("execution_type") == execution_type)
@@ -116,7 +118,7 @@ def top_queries(
         in_window, plans, queries, texts, rank_by=rank_by, metric=metric, min_plans=min_plans, keys=keys
     )
     top = top_k(ranked, [F.desc("rank_value"), F.asc("query_id")], n, keys)
-    if not keys:
+    if not keys and n <= BROADCAST_ROWS:
         top = F.broadcast(top)  # n rows
     top_plans = materialize(
         lookup(plans.select(*keys, "plan_id", "query_id"), top, [*keys, "query_id"], "inner")

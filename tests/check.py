@@ -25,18 +25,14 @@ TABLES = (
 
 
 def plain(value):
-    """A comparable form of a value, the same for both engines."""
+    """A comparable form of a value: exact, and different for whole numbers, decimals and floats."""
     if value is None:
         return "NULL"
-    if isinstance(value, bool):
-        return str(value)
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else f"{value:.9g}"
-    if isinstance(value, (int, decimal.Decimal)):
-        return f"{float(value):.9g}" if isinstance(value, decimal.Decimal) else str(value)
+        return "NaN" if math.isnan(value) else repr(value + 0.0)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
-    return str(value)
+    return repr(value) if isinstance(value, (bool, int, decimal.Decimal)) else str(value)
 
 
 def rows(columns, data):
