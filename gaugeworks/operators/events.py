@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.constants import DEADLOCK_EVENT, DEPRECATED_COUNTER_TEXT, DEPRECATION_FIELDS
 from gaugeworks.functions.predicates import moment, since
 from gaugeworks.functions.scalars import to_server_time, weekday_name, weekday_no
-from gaugeworks.functions.xml import event_head, event_struct, event_time, nodes, xml_item
+from gaugeworks.functions.xml import event_head, event_struct, event_time, explode_nodes, xml_item
 from gaugeworks.plans.relational import lookup, report_order, top_k
 
 
@@ -56,11 +56,12 @@ def deadlock_graphs(
 
     Graphs are cut from the whole document as it is.
     """
-    graphs = events.filter(F.col("object_name") == event).select(
+    reports = events.filter(F.col("object_name") == event)
+    graphs = explode_nodes(reports, "event_data", "deadlock", "deadlock_graph_xml").select(
         *keys,
         F.col("event_data").alias("raw_report"),
         to_server_time(event_time(event_head("event_data")), utc_offset).alias("server_time"),
-        F.explode(nodes("event_data", "deadlock")).alias("deadlock_graph_xml"),
+        "deadlock_graph_xml",
     )
     newest = [F.desc("server_time"), F.asc("raw_report"), F.asc("deadlock_graph_xml")]
     return report_order(top_k(graphs, newest, n, keys), ordered, *keys, *newest)

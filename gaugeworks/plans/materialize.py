@@ -21,9 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"gaugeworks-{os.getpid()}")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    return os.path.join(tempfile.gettempdir(), f"gaugeworks-{spark.sparkContext.applicationId}")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
