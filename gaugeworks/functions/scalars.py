@@ -36,12 +36,11 @@ def pct(a, b) -> Column:
 def round_dec(c, digits: int) -> Column:
     """Round a double half away from zero on its decimal value.
 
-    Rounding the binary value directly gives different results from engine to engine; numbers too
-    large for the decimal keep plain rounding.
+    Rounding the binary value directly gives different results from engine to engine. A number too
+    large for the decimal has no fraction to round.
     """
     c = as_column(c)
-    exact = F.round(c.try_cast("decimal(38,9)"), digits).cast("double")
-    return F.coalesce(exact, F.round(c, digits))
+    return F.coalesce(F.round(c.try_cast("decimal(38,9)"), digits).cast("double"), c)
 
 
 def clamp0(c) -> Column:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even where that costs one more shuffle further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the JVM never compiles a method above this size; wide reports then run as smaller ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
