@@ -42,9 +42,9 @@ class Jaccard:
     """The threshold num / den, and what follows from it, in whole numbers."""
 
     def __init__(self, num: int, den: int):
-        if not 0 < num <= den:
-            raise ValueError("a similarity above 0 and up to 1 is expected")
-        self.num, self.den = num, den
+        if not 0.75 * den <= num <= den:
+            raise ValueError("a similarity from 0.75 to 1 is expected; below it too many parts are empty")
+        self.num, self.den, self.known = num, den, {}
 
     def holds(self, overlap, a, b):
         return self.den * overlap >= self.num * (a + b - overlap)
@@ -62,20 +62,29 @@ class Jaccard:
     def largest_partner(self, n: int) -> int:
         return self.den * n // self.num
 
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """Scheme and largest sum of sizes, of the schemes that a set of ``n`` takes part in.
+    def schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """Scheme, number of parts, and harmless number of empty parts, where a set of ``n`` takes part.
 
         Band k holds the sizes from 2**k to 2**(k+1) - 1 (scheme 2k); the border above band k, the
         pairs with one size on each side of it (scheme 2k + 1).
         """
         band = n.bit_length() - 1
-        found = [(2 * band, 2 * (2 ** (band + 1) - 1))]
+        found = [(2 * band, *self._parts(2 * (2 ** (band + 1) - 1), 2**band))]
         for k in (band - 1, band):
             border = 2 ** (k + 1)
             if k >= 0 and (self.largest_partner(n) >= border if n < border else self.smallest_partner(n) < border):
-                found.append((2 * k + 1, border - 1 + self.largest_partner(border - 1)))
+                found.append((2 * k + 1, *self._parts(border - 1 + self.largest_partner(border - 1), self.smallest_partner(border))))
         return found
 
+    def _parts(self, both: int, smallest: int) -> tuple[int, int]:
+        """More parts than differences and, on top, as many as a set of the smallest size leaves empty by chance."""
+        if (both, smallest) not in self.known:
+            differences, spare = self.most_differences(both), 0
+            while spare < int(1.3 * (differences + 1 + spare) * math.exp(-smallest / (differences + 1 + spare))):
+                spare += 1 + differences // 50
+            self.known[both, smallest] = differences + 1 + spare, spare
+        return self.known[both, smallest]
+
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -92,10 +101,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 def signatures(shingles: np.ndarray, jaccard: Jaccard) -> np.ndarray:
     """A hash for each part of each cut that the set takes part in."""
     found = []
-    for scheme, both in jaccard.schemes(len(shingles)):
-        differences = jaccard.most_differences(both)
-        spare = differences // 50  # empty parts that do no harm
-        parts = differences + 1 + spare
+    for scheme, parts, spare in jaccard.schemes(len(shingles)):
         salt = 0
         while True:
             own = shingles if not salt else np.sort(wordscan.mix(shingles + _SALT * np.uint64(salt)))

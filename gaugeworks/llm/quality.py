@@ -33,7 +33,7 @@ CONSISTENCY = 1.41
 #: Squared distance beyond which a row is an outlier, far out in the tail of chi2(5).
 CUTOFF = 60.0
 #: Standard deviations below which a statistic is not told apart: clean texts share many exact values.
-FLOOR = (0.25, 0.10, 0.15, 0.10, 0.08)
+FLOOR = (0.25, 0.10, 0.15, 0.20, 0.12)
 MIN_GROUP = 50
 STEPS = 4
 
