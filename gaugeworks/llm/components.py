@@ -19,7 +19,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a <> b")
     held = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while True:
+    seen = _fingerprint(held)
+    while seen[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = (
@@ -32,10 +33,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         pairs = large.join(smallest, F.col("u") == F.col("w"))
         contracted = pairs.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = written(contracted.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        if _fingerprint(new) == _fingerprint(held):
-            break
+        before, seen = seen, _fingerprint(new)
         remove(held)
         held = new
+        if seen == before:
+            break
     found = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 

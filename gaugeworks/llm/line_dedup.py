@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import BLANKS, ascii_lower, hash128
+from gaugeworks.llm.common import BLANKS, ascii_lower, hash128, written
 
 
 def line_key(line: Column) -> Column:
@@ -21,9 +21,9 @@ def line_key(line: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, counts: bool = True
 ) -> DataFrame:
-    """``docs`` without repeated lines, plus ``n_lines`` and ``n_dropped``.
+    """``docs`` without repeated lines, plus ``n_lines`` and ``n_dropped`` with ``counts``.
 
     A key of at least ``min_chars`` characters found in at least ``min_docs`` documents loses all its
     lines except in the smallest document holding it. Rows with one id are one document; each row
@@ -62,13 +62,9 @@ def dedup_lines(
         marked, ident.eqNullSafe(F.col(keeper)) & (F.col(t1) == F.col(h1)) & (F.col(t2) == F.col(h2)), "left"
     )
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.get(F.col(flags), i))
-    columns = {
-        text_col: F.concat_ws("\n", kept),
-        "n_lines": F.size(flags).cast("long"),
-        "n_dropped": F.size(F.filter(flags, lambda f: f)).cast("long"),
-    }
-    plain = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped")]
-    return joined.select(*plain, *(value.alias(name) for name, value in columns.items()))
+    added = {"n_lines": F.size(flags), "n_dropped": F.size(F.filter(flags, lambda f: f))} if counts else {}
+    columns = [F.concat_ws("\n", kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return joined.select(*columns, *(value.cast("long").alias(name) for name, value in added.items()))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

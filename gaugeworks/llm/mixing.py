@@ -150,28 +150,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The document at the end of a quota is cut behind its last word taken; its ``n_chars`` follows.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = mix(docs, **options).where("taken > 0").groupBy(id_col, "t1", "t2").agg(
-        F.first("size").alias("m_size"), F.sort_array(F.collect_list("taken"), False).alias("m_taken")
-    )
-    found = found.select(F.col(id_col).alias("m_id"), F.col("t1").alias("m_1"), F.col("t2").alias("m_2"), "m_size", "m_taken")
-    keyed = docs.withColumns(dict(zip(("m_t1", "m_t2"), hash128(F.col(f"`{text_col}`"), ("a", "b")))))
-    joined = keyed.dropDuplicates([id_col, "m_t1", "m_t2"]).join(
-        found, F.col(f"`{id_col}`").eqNullSafe(F.col("m_id")) & (F.col("m_t1") == F.col("m_1")) & (F.col("m_t2") == F.col("m_2"))
-    )
-    copies = F.flatten(
-        F.transform(
-            "m_taken",
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.ceil(n / F.greatest(F.col("m_size"), F.lit(1))).cast("int")),
-                lambda k: F.least(F.col("m_size"), n - (k - 1) * F.col("m_size")),
-            ),
-        )
-    )
-    out = joined.select("*", F.explode(copies).alias("m_words"))
-    out = out.withColumn(
-        text_col,
-        F.when(F.col("m_words") >= F.col("m_size"), F.col(f"`{text_col}`")).otherwise(first_words(F.col(f"`{text_col}`"), F.col("m_words"))),
+    text = F.col(f"`{text_col}`")
+    found = mix(docs, **options).where("taken > 0").groupBy(id_col, "t1", "t2")
+    # equal rows share their words evenly
+    found = found.agg(F.first("size").alias("__size"), F.floor(F.sum("taken") / F.count("*")).cast("long").alias("__taken"))
+    found = found.select(*(F.col(a).alias(b) for a, b in ((id_col, "__id"), ("t1", "__1"), ("t2", "__2"))), "__size", "__taken")
+    keyed = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(text, ("a", "b")))))
+    joined = keyed.join(
+        found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__1")) & (F.col("__t2") == F.col("__2"))
     )
+    left = F.col("__taken") - F.col("__size")
+    parts = F.filter(F.array(F.least("__size", "__taken"), left), lambda n: n > 0)
+    out = joined.withColumn("__words", F.explode(parts))
+    out = out.withColumn(text_col, F.when(F.col("__words") >= F.col("__size"), text).otherwise(first_words(text, F.col("__words"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

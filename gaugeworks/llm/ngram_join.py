@@ -42,8 +42,8 @@ class Jaccard:
     """The threshold num / den, and what follows from it, in whole numbers."""
 
     def __init__(self, num: int, den: int):
-        if not 0.75 * den <= num <= den:
-            raise ValueError("a similarity from 0.75 to 1 is expected; below it too many parts are empty")
+        if not 0.8 * den <= num <= den:
+            raise ValueError("a similarity from 0.8 to 1 is expected; below it too many parts are empty")
         self.num, self.den, self.known = num, den, {}
 
     def holds(self, overlap, a, b):
@@ -104,7 +104,7 @@ def signatures(shingles: np.ndarray, jaccard: Jaccard) -> np.ndarray:
     for scheme, parts, spare in jaccard.schemes(len(shingles)):
         salt = 0
         while True:
-            own = shingles if not salt else np.sort(wordscan.mix(shingles + _SALT * np.uint64(salt)))
+            own = shingles if not salt else np.sort(wordscan.mix(shingles + np.uint64(salt * int(_SALT) & (1 << 64) - 1)))
             part = (own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums = np.add.reduceat(wordscan.mix(own), begins)
@@ -301,5 +301,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose component has a smaller one; rows without id stay."""
     id_col = options.get("id_col", "doc_id")
     found = join_similar(docs, **options)
-    copies = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("copy_id")).distinct()
-    return docs.join(copies, F.col(f"`{id_col}`").cast("long") == F.col("copy_id"), "left_anti")
+    copies = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__copy_id")).distinct()
+    return docs.join(copies, F.col(f"`{id_col}`").cast("long") == F.col("__copy_id"), "left_anti")

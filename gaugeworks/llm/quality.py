@@ -223,5 +223,5 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     verdict = judge(docs, **options).groupBy(id_col).agg(F.bool_or("kept").alias("any_kept"))
-    rejected = verdict.where("not any_kept").select(F.col(id_col).alias("rejected_id"))
-    return docs.join(rejected, F.col(f"`{id_col}`").eqNullSafe(F.col("rejected_id")), "left_anti")
+    rejected = verdict.where("not any_kept").select(F.col(id_col).alias("__rejected_id"))
+    return docs.join(rejected, F.col(f"`{id_col}`").eqNullSafe(F.col("__rejected_id")), "left_anti")
