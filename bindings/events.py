@@ -30,7 +30,7 @@ def _cracked(spark, sf_dir):
 
 
 def _shredded(spark, sf_dir):
-    return events.shred(Bound(spark, sf_dir).raw_events).drop("event_data")
+    return events.shred(Bound(spark, sf_dir).raw_events.drop("event_time")).drop("event_data")
 
 
 def _counters(spark, sf_dir):
@@ -69,9 +69,9 @@ ORACLE = {
     with times as (
       select event_id, user_id, {SECOND} - interval 90 minute as server_time from events where event_type = 'error'),
     documents as (
-      select event_data, row_number() over () as rn from raw_events where object_name = 'xml_deadlock_report'),
+      select event_data from raw_events where object_name = 'xml_deadlock_report'),
     graphs as (
-      select event_id, server_time, '<deadlock id="d' || event_id || '"><victim/></deadlock>' as deadlock_graph_xml
+      select event_id, server_time, '<deadlock id="d>' || event_id || '"><victim/></deadlock>' as deadlock_graph_xml
         from times where user_id % 3 > 0
       union all
       select event_id, server_time, '<deadlock id="e' || event_id || '"/>' as deadlock_graph_xml

@@ -29,7 +29,10 @@ def _as_text(column, names):
 
 
 def _summary(spark, sf_dir):
-    wide = sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER)
+    return _lists_as_text(sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER, lists="structs"))
+
+
+def _lists_as_text(wide):
     return wide.withColumns(
         {
             "current_waits": _as_text(
@@ -70,6 +73,18 @@ def _blocking(spark, sf_dir):
     return sessions.blocking(_tables(spark, sf_dir), server_name=SERVER, watch_databases=[WATCHED])
 
 
+def _children(spark, sf_dir):
+    return sessions.session_children(_tables(spark, sf_dir)).withColumns(
+        {c: (F.col(c) * 128).cast("bigint") for c in sessions.SPACE_COLUMNS[1:]}
+    )
+
+
+def _xml(spark, sf_dir):
+    """How the waits of each session read as tagged text."""
+    wide = sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER, lists="xml")
+    return wide.select("session_id", "current_waits", F.col("aggregate_waits").like("<waits><wait>%</wait></waits>").alias("wrapped")).distinct()
+
+
 def _longest(spark, sf_dir):
     return sessions.longest_waits(Bound(spark, sf_dir).waiting_tasks)
 
@@ -110,6 +125,8 @@ def _boundaries(spark, sf_dir):
 
 QUERIES = {
     "a08_session_summary": _summary,
+    "a08_children": _children,
+    "a08_xml": _xml,
     "a09_session_tasks": _tasks,
     "a10_blocking": _blocking,
     "w01_longest_wait": _longest,
@@ -230,7 +247,7 @@ ORACLE = {
                ';' order by exec_context_id) as tempdb_utilization
         from task_space group by session_id, request_id),
     thread_counts as (select session_id, request_id, count(exec_context_id) as n from tasks group by session_id, request_id)
-    select {_SHARED}, cast(0 as int) as list_part, g.grant_time as memory_grant_time, g.query_cost, g.dop,
+    select {_SHARED}, g.grant_time as memory_grant_time, g.query_cost, g.dop,
            coalesce(z.vnn, z.dnn, '{SERVER}') as dns_name,
            case when z.vnn is not null then 'VNN' when z.dnn is not null then 'DNN' end as listener_type,
            case when z.request_session is not null then waits.current_waits end as current_waits,
@@ -244,6 +261,47 @@ ORACLE = {
       left join space on space.session_id = z.session_id and space.request_id = z.request_id
       left join input_buffers i on i.session_id = z.request_session and i.request_id = z.request_id
       {_TEXT_JOINS}""",
+    "a08_children": """
+    with people as (select session_id from sessions where is_user_process),
+    labelled as (
+      select session_id, 'current_wait' as kind, null as request_id, exec_context_id, resource_description,
+             wait_duration_ms, wait_type, null as waiting_tasks_count, null as wait_time_ms,
+             null as max_wait_time_ms, null as signal_wait_time_ms, null as allocated, null as freed
+        from waiting_tasks
+      union all
+      select session_id, 'wait_total', null, null, null, null, wait_type, waiting_tasks_count, wait_time_ms,
+             max_wait_time_ms, signal_wait_time_ms, null, null
+        from session_waits
+      union all
+      select session_id, 'tempdb', request_id, exec_context_id, null, null, null, null, null, null, null,
+             user_objects_alloc_page_count + internal_objects_alloc_page_count,
+             user_objects_dealloc_page_count + internal_objects_dealloc_page_count
+        from task_space)
+    select l.* exclude (allocated, freed), l.allocated as tempdb_allocations,
+           l.allocated - l.freed as tempdb_current_allocations,
+           case when l.kind = 'wait_total' then cast(case when l.waiting_tasks_count > 0
+             then l.wait_time_ms / l.waiting_tasks_count else 0 end as decimal(38,4)) end as avg_wait_time_ms
+      from labelled l join people using (session_id)""",
+    "a08_xml": """
+    with listed_waits as (
+      select session_id, string_agg('<thread><exec_context_id>' || exec_context_id || '</exec_context_id><resource_description>'
+               || resource_description || '</resource_description><wait_duration_ms>' || wait_duration_ms
+               || '</wait_duration_ms><wait_type>' || wait_type || '</wait_type></thread>', ''
+               order by exec_context_id, resource_description, wait_duration_ms, wait_type) as current_waits
+        from waiting_tasks group by session_id),
+    session_states as (
+      select distinct s.session_id, r.session_id is not null as asked,
+             (r.status is not null or a.transaction_id is not null) as named
+        from sessions s
+        left join requests r on r.session_id = s.session_id
+        left join session_transactions tr on tr.session_id = r.session_id
+        left join active_transactions a on a.transaction_id = tr.transaction_id
+       where s.is_user_process)
+    select distinct st.session_id, case when st.asked then th.current_waits end as current_waits,
+           case when st.named and w.session_id is not null then true end as wrapped
+      from session_states st
+      left join listed_waits th on th.session_id = st.session_id
+      left join (select distinct session_id from session_waits) w on w.session_id = st.session_id""",
     "a09_session_tasks": _task_sql("is_user_process"),
     "a10_blocking": _task_sql(f"blocking_session <> 0 or head_blocker is not null or database = '{WATCHED}'"),
     "w01_longest_wait": """

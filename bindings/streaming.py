@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from gaugeworks.constants import METRIC_SCALES
 from gaugeworks.functions.xml import event_struct
 from gaugeworks.plans.materialize import new_folder
 from gaugeworks.sources.event_files import write_events
 from gaugeworks.streaming.aggregates import event_counts_stream, workload_buckets_stream
-from gaugeworks.streaming.capture import capture_events, crack_events_stream, write_stream
+from gaugeworks.streaming.capture import capture_events, crack_events_stream, read_latest, write_changes, write_stream
 from bindings.events import ORACLE as EVENT_SQL
 from bindings.tables import Bound
 from bindings.workload import merged
@@ -29,6 +30,13 @@ def _drained(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out_dir)
 
 
+def _all_hours(df: DataFrame, *by: str) -> DataFrame:
+    """Every group of an hourly stream once all input was handled, open hours included."""
+    out_dir = new_folder(df.sparkSession, "hours")
+    write_changes(df, out_dir, trigger=None).awaitTermination()
+    return read_latest(df.sparkSession, out_dir, df.schema, ("bucket_start", "bucket_end", *by))
+
+
 def _capture(spark, sf_dir):
     source, out_dir = new_folder(spark, "xml"), new_folder(spark, "captured")
     documents = Bound(spark, sf_dir).raw_events
@@ -43,12 +51,12 @@ def _crack(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return _drained(event_counts_stream(_arriving(spark, sf_dir).events))
+    return _all_hours(event_counts_stream(_arriving(spark, sf_dir).events), "event_type")
 
 
 def _workload(spark, sf_dir):
     records = _arriving(spark, sf_dir).execution_records
-    return _drained(workload_buckets_stream(records, ("duration", "rowcount")))
+    return _all_hours(workload_buckets_stream(records), "plan_id", "execution_type")
 
 
 QUERIES = {
@@ -58,7 +66,6 @@ QUERIES = {
     "t04_workload_buckets_stream": _workload,
 }
 
-# hours that are still open when the input ends have not come out yet
 ORACLE = {
     "t01_capture_events": f"select * from ({EVENT_SQL['f20_shredded_events']}) where event_type <> 'xml_deadlock_report'",
     "t02_crack_events_stream": f"""
@@ -68,15 +75,12 @@ ORACLE = {
     select date_trunc('hour', ts) as bucket_start, date_trunc('hour', ts) + interval 1 hour as bucket_end,
            event_type, count(*) as occurances
       from events
-     where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minute from events)
      group by date_trunc('hour', ts), event_type""",
     "t04_workload_buckets_stream": f"""
     select date_trunc('hour', rs.last_execution_time) as bucket_start,
            date_trunc('hour', rs.last_execution_time) + interval 1 hour as bucket_end, rs.plan_id,
            rs.execution_type_desc as execution_type, cast(sum(rs.count_executions) as bigint) as count_executions,
-           {merged("duration")}, {merged("rowcount")}
+           {", ".join(merged(m) for m in METRIC_SCALES)}
       from execution_records rs
-     where date_trunc('hour', rs.last_execution_time) + interval 1 hour
-             <= (select max(ts) - interval 1 hour from events)
      group by date_trunc('hour', rs.last_execution_time), rs.plan_id, rs.execution_type_desc""",
 }

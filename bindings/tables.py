@@ -30,14 +30,15 @@ def _metric(i: int, m: str) -> str:
     )
 
 
-def _record(m: str) -> str:
+def _record(i: int, m: str) -> str:
+    x = f"({_CENTS} * {i + 1})"
     return (
-        f"cast({_CENTS} as double) as avg_{m}, {_CENTS} as min_{m}, {_CENTS} + event_id % 50 as max_{m}, "
-        f"cast(event_id % 31 as double) as stdev_{m}"
+        f"cast({x} as double) as avg_{m}, {x} as min_{m}, {x} + event_id % 50 as max_{m}, "
+        f"cast(event_id % {31 + i} as double) as stdev_{m}"
     )
 
 
-_RECORD_METRICS = ", ".join(_record(m) for m in ("duration", "rowcount"))
+_RECORD_METRICS = ", ".join(_record(i, m) for i, m in enumerate(METRIC_SCALES))
 _METRICS = ", ".join(_metric(i, m) for i, m in enumerate(METRIC_SCALES))
 
 SELECTS: dict[str, str] = {
@@ -128,7 +129,8 @@ SELECTS: dict[str, str] = {
           from orders where o_totalprice > 250000""",
     "tasks": """
         select cast(l_orderkey * 10 + l_linenumber as string) as task_address, l_orderkey as session_id,
-               cast(l_orderkey % 3 as int) as request_id, l_linenumber as exec_context_id
+               case when l_linenumber < 5 then cast(l_orderkey % 3 as int) end as request_id,
+               l_linenumber as exec_context_id
           from lineitem group by l_orderkey, l_linenumber""",
     "waiting_tasks": """
         select cast(l_orderkey * 10 + l_linenumber as string) as waiting_task_address, l_orderkey as session_id,
@@ -202,12 +204,14 @@ SELECTS: dict[str, str] = {
                     else
                       '<data name="xml_report"><value>'
                       || case when user_id % 3 > 0 then
-                           '<deadlock id="d' || cast(event_id as string) || '"><victim/></deadlock>' else '' end
+                           '<deadlock id="d>' || cast(event_id as string) || '"><victim/></deadlock>' else '' end
                       || case when user_id % 3 = 2 then
                            '<deadlock id="e' || cast(event_id as string) || '"/>' else '' end
-                      || '<deadlock-list/></value></data>'
+                      || '<deadlock-list/></value></data><data name="note"><text><deadlock id="n>'
+                      || cast(event_id as string) || '"/></text></data>'
                     end
-                 || '</event>' as event_data
+                 || '</event>' as event_data,
+               cast(date_trunc('second', ts) as timestamp) as event_time
           from events""",
     # replication
     "groups": "select 'g' || cast(n_nationkey as string) as group_id, 'AG ' || n_name as name from nation",

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.predicates import as_column, moment
+from gaugeworks.functions.predicates import as_column, moment, require_utc
 
 INT_MAX = 2_147_483_647
 
@@ -126,12 +126,14 @@ def millis_between(a, b) -> Column:
 
 def window_bounds(as_of, window: int = 0, hours_back: int = -1) -> tuple[Column, Column]:
     """Start and end of the look-back window; the end is the top of an hour."""
+    require_utc()
     end = F.date_trunc("hour", moment(as_of) + F.make_dt_interval(hours=F.lit(window)))
     return end + F.make_dt_interval(hours=F.lit(hours_back)), end
 
 
 def hour_bucket(ts, tz: str = "UTC") -> tuple[Column, Column]:
     """Start and end of the UTC hour that holds ``ts``, shown in ``tz``."""
+    require_utc()
     start = F.date_trunc("hour", as_column(ts))
     return F.from_utc_timestamp(start, tz), F.from_utc_timestamp(start + F.expr("INTERVAL 1 HOUR"), tz)
 

@@ -38,10 +38,18 @@ def xml_item(event, kind: str, name: str, type_: str = "string") -> Column:
     return F.get(named, F.lit(0))["value"].try_cast(type_)
 
 
+_ATTRIBUTES = r"""(?:\s(?:"[^"]*"|'[^']*'|[^>"'])*?)?"""
+
+
 def nodes(document, tag: str) -> Column:
-    """Array of the raw ``tag`` elements in a document, with or without a body."""
-    pattern = rf"(?s)<{tag}(?=[\s>/])(?:[^>]*/>|.*?</{tag}>)"
-    return F.regexp_extract_all(as_column(document), F.lit(pattern), F.lit(0))
+    """Array of the raw ``tag`` elements in the values of a document's data items, with or without a body.
+
+    A ``>`` inside a quoted attribute does not end a tag.
+    """
+    value = rf"(?s)<data{_ATTRIBUTES}>(?:(?!</data>).)*?<value{_ATTRIBUTES}>((?:(?!</value>).)*)</value>"
+    element = rf"(?s)<{tag}{_ATTRIBUTES}(?:/>|>.*?</{tag}>)"
+    values = F.regexp_extract_all(as_column(document), F.lit(value), F.lit(1))
+    return F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(element), F.lit(0))))
 
 
 def explode_nodes(df: DataFrame, col: str, tag: str, alias: str) -> DataFrame:

@@ -8,14 +8,35 @@ from pyspark.sql import functions as F
 from gaugeworks.constants import DEADLOCK_EVENT, DEPRECATED_COUNTER_TEXT, DEPRECATION_FIELDS
 from gaugeworks.functions.predicates import moment, since
 from gaugeworks.functions.scalars import to_server_time, weekday_name, weekday_no
-from gaugeworks.functions.xml import event_head, event_struct, event_time, explode_nodes, xml_item
+from gaugeworks.functions.xml import event_head, event_struct, event_time, explode_nodes, nodes, xml_item
 from gaugeworks.plans.relational import lookup, report_order, top_k
 
 
+def time_of(events: DataFrame) -> Column:
+    """UTC time of a document: its typed column, or parsed from the document's head where that is absent."""
+    return F.col("event_time") if "event_time" in events.columns else event_time(event_head("event_data"))
+
+
 def event_times(events: DataFrame, event: str, keys=()) -> DataFrame:
-    """UTC times of one kind of event; the name filter reaches the scan, and only heads are parsed."""
+    """UTC times of one kind of event; the name filter reaches the scan, and no document is read for it."""
     named = events.filter(F.col("object_name") == event)
-    return named.select(*keys, event_time(event_head("event_data")).alias("entry_datetime"))
+    return named.select(*keys, time_of(events).alias("entry_datetime"))
+
+
+def as_new_as(events: DataFrame, n: int, keys=()) -> DataFrame:
+    """The documents at least as new as the ``n``-th newest one, found by their times alone.
+
+    Documents without a time count as oldest. Without a time column all documents are left.
+    """
+    if "event_time" not in events.columns:
+        return events
+    times = top_k(events.select(*keys, "event_time"), [F.desc("event_time")], n, keys)
+    all_timed = F.count("event_time") == F.count(F.lit(1))
+    oldest = times.groupBy(*keys).agg(F.when(all_timed, F.min("event_time")).alias("_oldest"))
+    if keys:
+        return events.join(oldest, list(keys)).filter("_oldest IS NULL OR event_time >= _oldest").drop("_oldest")
+    limit = oldest.select("_oldest").scalar()
+    return events.filter(limit.isNull() | (F.col("event_time") >= limit))
 
 
 def event_heatmap(
@@ -54,15 +75,17 @@ def deadlock_graphs(
 ) -> DataFrame:
     """The newest ``n`` deadlock graphs, one row per graph; events without one vanish.
 
-    Graphs are cut from the whole document as it is.
+    Graphs are cut from the values of data items, as they are. The newest ``n`` documents with a graph
+    are found first; only theirs are cut.
     """
-    reports = events.filter(F.col("object_name") == event)
-    graphs = explode_nodes(reports, "event_data", "deadlock", "deadlock_graph_xml").select(
+    reports = events.filter((F.col("object_name") == event) & (F.size(nodes("event_data", "deadlock")) > 0))
+    reports = reports.select(
         *keys,
         F.col("event_data").alias("raw_report"),
-        to_server_time(event_time(event_head("event_data")), utc_offset).alias("server_time"),
-        "deadlock_graph_xml",
+        to_server_time(time_of(events), utc_offset).alias("server_time"),
     )
+    reports = top_k(reports, [F.desc("server_time"), F.asc("raw_report")], n, keys)
+    graphs = explode_nodes(reports, "raw_report", "deadlock", "deadlock_graph_xml")
     newest = [F.desc("server_time"), F.asc("raw_report"), F.asc("deadlock_graph_xml")]
     return report_order(top_k(graphs, newest, n, keys), ordered, *keys, *newest)
 
@@ -100,9 +123,9 @@ def crack_events(
 ) -> DataFrame:
     """The newest ``n`` events as flat rows with their database's name.
 
-    Only the head of each document is parsed to find the newest ones; their items come after.
+    The newest ones are found by their times; documents are read for those and items parsed last.
     """
-    timed = events.withColumn("_at", event_time(event_head("event_data")))
+    timed = as_new_as(events, n, keys).withColumn("_at", time_of(events)).drop("event_time")
     newest = top_k(timed, [F.desc("_at"), F.asc("event_data")], n, keys)
     names = databases.select(*keys, "database_id", F.col("name").alias("database_name"))
     rows = lookup(shred(newest, fields, utc_offset), names, [*keys, "database_id"])

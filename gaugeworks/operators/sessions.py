@@ -1,9 +1,9 @@
 """Session reports: consolidated, one row per task, and blocking.
 
 Work on requests uses (session, request) and work on sessions uses (session) as the join key, so
-each group of tables is shuffled once for its key. Tables with many rows per session are combined,
-ranked or cut into parts before they meet the sessions, and long texts are fetched last, for the
-rows that are left.
+each group of tables is shuffled once for its key. Tables with many rows per session are combined
+or ranked before they meet the sessions, or stay rows of their own, and long texts are fetched last,
+for the rows that are left.
 """
 
 from __future__ import annotations
@@ -32,14 +32,13 @@ from gaugeworks.functions.scalars import (
 )
 from gaugeworks.functions.xml import list_to_xml
 from gaugeworks.plans.relational import (
-    LIST_ROWS,
     first_per,
     flag_parents,
     left_join_many,
     lookup,
     lookup_one,
+    nest,
     report_order,
-    split_large_groups,
     union_all,
 )
 
@@ -89,7 +88,6 @@ WHAT = (
 USE = tuple(c for name in COUNTERS for c in (name, CURRENT[name]))
 SUMMARY_COLUMNS = (
     "session_id",
-    "list_part",
     "state",
     "percent_complete",
     "login",
@@ -99,15 +97,12 @@ SUMMARY_COLUMNS = (
     *WHO,
     "listener_type",
     *WHAT,
-    "current_waits",
-    "aggregate_waits",
     "blocking_session",
     "active_threads",
     "dop",
     "head_blocker",
     "open_tran_count",
     *USE,
-    "tempdb_utilization",
     "submitted_batch",
     "query_cost",
     "query_plan",
@@ -233,10 +228,11 @@ def _sessions(
     )
     if only is not None:
         people = people.filter(only)
-    rows = left_join_many(people, connections, by_session)
+    # a session has few connections, requests and transactions, so plain joins on one key do
+    rows = lookup(people, connections, by_session)
     rows = flag_parents(rows, t.requests, "session_id", "blocking_session_id", "_blocks", keys)
-    rows = left_join_many(rows, requests, by_session, t.sessions)
-    rows = left_join_many(rows, transactions, by_session, t.sessions)
+    rows = lookup(rows, requests, by_session)
+    rows = lookup(rows, transactions, by_session)
 
     has_request = F.col("has_request").isNotNull()
     head = F.col("_blocks") & ((F.col("blocking_session_id") == 0) | ~has_request)
@@ -298,73 +294,104 @@ def _with_texts(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
     )
 
 
-def _session_lists(t: SessionTables, keys, rows: int) -> DataFrame:
-    """Waits, tempdb use and wait totals of each session as lists.
+WAIT_COLUMNS = ("exec_context_id", "resource_description", "wait_duration_ms", "wait_type")
+SPACE_COLUMNS = ("exec_context_id", "tempdb_allocations", "tempdb_current_allocations")
+TOTAL_COLUMNS = (
+    "wait_type",
+    "waiting_tasks_count",
+    "wait_time_ms",
+    "avg_wait_time_ms",
+    "max_wait_time_ms",
+    "signal_wait_time_ms",
+)
 
-    The three tables are stacked, so one aggregate and one join serve them all; a row without
-    children stands for each session, so that every session has its lists. A session with more than
-    ``rows`` children gets several rows, numbered in ``list_part``.
-    """
+
+def _children(t: SessionTables, keys) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Waits, tempdb use and wait totals of sessions, one row each."""
     by_session = [*keys, "session_id"]
-    waits = t.waiting_tasks.select(
-        *by_session,
-        F.xxhash64("waiting_task_address", "exec_context_id", "wait_type", "resource_description").alias("_id"),
-        F.struct("exec_context_id", "resource_description", "wait_duration_ms", "wait_type").alias("_wait"),
-    )
     allocated = F.col("user_objects_alloc_page_count") + F.col("internal_objects_alloc_page_count")
     freed = F.col("user_objects_dealloc_page_count") + F.col("internal_objects_dealloc_page_count")
     space = t.task_space.select(
         *by_session,
-        F.xxhash64("request_id", "exec_context_id").alias("_id"),
-        F.struct(
-            "request_id",
-            "exec_context_id",
-            pages_to_mb(allocated).alias("tempdb_allocations"),
-            pages_to_mb(allocated - freed).alias("tempdb_current_allocations"),
-        ).alias("_space"),
+        "request_id",
+        "exec_context_id",
+        pages_to_mb(allocated).alias("tempdb_allocations"),
+        pages_to_mb(allocated - freed).alias("tempdb_current_allocations"),
     )
     count, total = F.col("waiting_tasks_count"), F.col("wait_time_ms")
     average = F.try_divide(total.cast("decimal(20,1)"), count.cast("decimal(20,0)")).cast("decimal(38,4)")
     totals = t.session_waits.select(
         *by_session,
-        F.xxhash64("wait_type").alias("_id"),
-        F.struct(
-            (-count).alias("_order"),
-            "wait_type",
-            "waiting_tasks_count",
-            "wait_time_ms",
-            F.when(count > 0, average).otherwise(F.lit(0).cast("decimal(38,4)")).alias("avg_wait_time_ms"),
-            "max_wait_time_ms",
-            "signal_wait_time_ms",
-        ).alias("_total"),
+        "wait_type",
+        "waiting_tasks_count",
+        "wait_time_ms",
+        F.when(count > 0, average).otherwise(F.lit(0).cast("decimal(38,4)")).alias("avg_wait_time_ms"),
+        "max_wait_time_ms",
+        "signal_wait_time_ms",
     )
-    alone = t.sessions.select(*by_session).distinct()
-    children = split_large_groups(union_all(waits, space, totals, alone), by_session, ["_id"], rows, "list_part")
-    return children.groupBy(*by_session, "list_part").agg(
-        *[F.sort_array(F.collect_list(f"_{c}")).alias(f"_{c}s") for c in ("wait", "space", "total")]
+    return t.waiting_tasks.select(*by_session, *WAIT_COLUMNS), space, totals
+
+
+def session_children(t: SessionTables, *, keys=(), ordered: bool = True) -> DataFrame:
+    """The waits, tempdb use and wait totals that belong to the rows of ``session_summary``.
+
+    One row per child, told apart by ``kind`` (current_wait, tempdb, wait_total); columns of other
+    kinds are NULL. Tempdb use belongs to a request, the others to the session. Any number of
+    children of one session is fine, as nothing is gathered.
+    """
+    waits, space, totals = _children(t, keys)
+    people = t.sessions.filter("is_user_process").select(*keys, "session_id")
+    kinds = [c.withColumn("kind", F.lit(k)) for c, k in ((waits, "current_wait"), (space, "tempdb"), (totals, "wait_total"))]
+    # sessions are unique, so a child meets one at most
+    rows = lookup(union_all(*kinds), people, [*keys, "session_id"], "left_semi")
+    rows = report_order(
+        rows,
+        ordered,
+        *keys,
+        "session_id",
+        "kind",
+        F.desc("waiting_tasks_count"),
+        "request_id",
+        "exec_context_id",
+        "resource_description",
+        "wait_duration_ms",
+        "wait_type",
     )
+    columns = ("session_id", "kind", "request_id", *WAIT_COLUMNS, *SPACE_COLUMNS[1:], *TOTAL_COLUMNS[1:])
+    return rows.select(*keys, *columns)
 
 
-def _listed(entries: Column, columns) -> Column:
-    """A list of structs with the given columns; NULL when it is empty."""
-    shown = F.transform(entries, lambda e: F.struct(*[e[c].alias(c) for c in columns]))
-    return F.when(F.size(entries) > 0, shown)
+def _with_lists(rows: DataFrame, t: SessionTables, keys, as_xml: bool) -> DataFrame:
+    """The children of each row as lists of structs or as XML fragments; NULL where there are none."""
+    by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "request_id"]
+    waits, space, totals = _children(t, keys)
+    rows = lookup(rows, nest(waits, by_session, WAIT_COLUMNS, [F.col(c) for c in WAIT_COLUMNS], "_waits"), by_session)
+    own = nest(space, by_request, SPACE_COLUMNS, [F.col(c) for c in SPACE_COLUMNS], "tempdb_utilization")
+    rows = lookup(rows, own, by_request)
+    most_first = [-F.col("waiting_tasks_count"), F.col("wait_type")]
+    rows = lookup(rows, nest(totals, by_session, TOTAL_COLUMNS, most_first, "_totals"), by_session)
+    lists = {
+        "current_waits": (F.when(F.col("has_request"), F.col("_waits")), ("thread",)),
+        "tempdb_utilization": (F.col("tempdb_utilization"), ("thread",)),
+        "aggregate_waits": (F.when(F.col("state").isNotNull(), F.col("_totals")), ("wait", "waits")),
+    }
+    return rows.withColumns({name: list_to_xml(c, *tags) if as_xml else c for name, (c, tags) in lists.items()})
+
+
+LIST_COLUMNS = ("current_waits", "aggregate_waits", "tempdb_utilization")
 
 
 def session_summary(
-    t: SessionTables,
-    *,
-    server_name: str,
-    keys=(),
-    list_rows: int = LIST_ROWS,
-    lists_as_xml: bool = False,
-    ordered: bool = True,
+    t: SessionTables, *, server_name: str, keys=(), lists: str | None = None, ordered: bool = True
 ) -> DataFrame:
-    """One row per user session and request.
+    """One row per user session and request, always.
 
-    Waits, tempdb use and wait totals are lists of structs, or XML fragments. ``list_part`` is 0; a
-    session with more than ``list_rows`` children goes on in rows with further parts.
+    Waits, tempdb use and wait totals are rows of ``session_children``. ``lists="structs"`` or
+    ``lists="xml"`` adds them as nested columns as well; a nested value holds all children of its
+    session, so ask for it where their number is small.
     """
+    if lists not in (None, "structs", "xml"):
+        raise ValueError(f"lists must be None, 'structs' or 'xml', not {lists!r}")
     by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "request_id"]
     grants = t.memory_grants.select(
         *by_request, F.col("grant_time").alias("memory_grant_time"), "query_cost", "dop"
@@ -378,48 +405,12 @@ def session_summary(
         _sessions(t, requests, transactions, keys, F.col("is_user_process")), t, server_name, keys
     ).drop("_address_name")
     rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads").distinct()
-
     rows = lookup(rows, t.input_buffers.select(*by_request, "event_info"), by_request)
-    rows = lookup(rows, _session_lists(t, keys, list_rows), by_session, "inner")
-    own_space = F.filter("_spaces", lambda e: e["request_id"] == F.col("request_id"))
-    rows = rows.withColumns(
-        {
-            "current_waits": F.when(
-                F.col("has_request"),
-                _listed(
-                    F.col("_waits"), ("exec_context_id", "resource_description", "wait_duration_ms", "wait_type")
-                ),
-            ),
-            "tempdb_utilization": _listed(
-                own_space, ("exec_context_id", "tempdb_allocations", "tempdb_current_allocations")
-            ),
-            "aggregate_waits": F.when(
-                F.col("state").isNotNull(),
-                _listed(
-                    F.col("_totals"),
-                    (
-                        "wait_type",
-                        "waiting_tasks_count",
-                        "wait_time_ms",
-                        "avg_wait_time_ms",
-                        "max_wait_time_ms",
-                        "signal_wait_time_ms",
-                    ),
-                ),
-            ),
-        }
-    )
-    if lists_as_xml:
-        rows = rows.withColumns(
-            {
-                "current_waits": list_to_xml("current_waits", "thread"),
-                "tempdb_utilization": list_to_xml("tempdb_utilization", "thread"),
-                "aggregate_waits": list_to_xml("aggregate_waits", "wait", "waits"),
-            }
-        )
+    if lists:
+        rows = _with_lists(rows, t, keys, lists == "xml")
     rows = _with_texts(rows, t, keys)
-    rows = report_order(rows, ordered, *keys, F.desc("elapsed_ms"), "session_id", "list_part")
-    return rows.select(*keys, *SUMMARY_COLUMNS)
+    rows = report_order(rows, ordered, *keys, F.desc("elapsed_ms"), "session_id")
+    return rows.select(*keys, *SUMMARY_COLUMNS, *(LIST_COLUMNS if lists else ()))
 
 
 def longest_waits(waiting_tasks: DataFrame, keys=()) -> DataFrame:
@@ -476,7 +467,8 @@ def _tasks_of(rows: DataFrame, t: SessionTables, server_name: str, keys) -> Data
     parents = t.sessions.select(*by_session).join(
         t.requests.select(*by_session, "request_id"), by_session, "left"
     )
-    tasks = _task_rows(t, keys).select("*", request).drop("request_id")
+    # a task without a request belongs to no request, and not to the idle session either
+    tasks = _task_rows(t, keys).filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
     rows = left_join_many(rows, tasks, by_request, parents.select(*by_session, request))
     return _with_texts(rows, t, keys)
 

@@ -91,15 +91,28 @@ def schema_counts(objects, schemas, keys=(), ordered: bool = True) -> DataFrame:
     return report_order(named, ordered, *keys, "schema_name").select(*keys, "schema_name", "user_table_count")
 
 
-def resolve_object(objects, schemas, internal, name: str, database: str, default_schema: str) -> int:
+def resolve_object(
+    objects, schemas, internal, name: str, database: str, default_schema: str, keys=()
+) -> int | DataFrame:
     """The id whose space to report for a one- to three-part name; a queue gives its internal table.
 
-    Raises ``ValueError`` for another database, an unknown name, or an object without space.
+    For one server it is a number; another database, an unknown name, or an object without space raise
+    ``ValueError``. With ``keys`` it is a table of (keys, object_id): a name has an id of its own on each
+    server, and servers that lack it or keep no space for it have no row.
     """
     in_database = parse_name(name, 3)
     if in_database is not None and in_database != database:
         raise ValueError(f"{name} is not in the current database {database}")
-    schema_ids = schemas.filter(F.col("name") == (parse_name(name, 2) or default_schema)).select("schema_id")
+    schema_ids = schemas.filter(F.col("name") == (parse_name(name, 2) or default_schema)).select(*keys, "schema_id")
+    if keys:
+        named = objects.filter((F.col("name") == parse_name(name, 1)) & F.trim("type").isin(*SPACE_OBJECT_TYPES))
+        named = lookup(named, schema_ids, [*keys, "schema_id"], "left_semi").withColumn("_queue", F.trim("type") == "SQ")
+        queues = internal.filter(F.col("internal_type") == QUEUE_TABLE_TYPE).groupBy(*keys, "parent_id")
+        queues = queues.agg(F.min("object_id").alias("_table")).withColumnRenamed("parent_id", "object_id")
+        found = lookup(named.select(*keys, "object_id", "_queue"), queues, [*keys, "object_id"])
+        return found.select(*keys, F.when(F.col("_queue"), F.col("_table")).otherwise(F.col("object_id")).alias("object_id")).filter(
+            "object_id IS NOT NULL"
+        )
     found = (
         objects.filter(F.col("name") == parse_name(name, 1))
         .join(schema_ids, "schema_id", "left_semi")
@@ -132,7 +145,7 @@ def space_by_object(
     schemas,
     partitions,
     *,
-    object_id: int | None = None,
+    object_id: int | DataFrame | None = None,
     system_objects: bool = False,
     keys=(),
     ordered: bool = True,
@@ -140,9 +153,15 @@ def space_by_object(
     """Rows and space per object and partition, with its internal tables' pages, in KB text.
 
     Pages are summed per object and partition in one pass; each sum then counts for the object
-    itself and, if that is an internal table, once more for its parent.
+    itself and, if that is an internal table, once more for its parent. ``object_id`` is what
+    ``resolve_object`` gives: a number, or with ``keys`` a table of the object on each server.
     """
     keys = list(keys)
+
+    def only(df: DataFrame, column: str) -> DataFrame:
+        if isinstance(object_id, DataFrame):
+            return lookup(df, object_id.withColumnRenamed("object_id", column), [*keys, column], "left_semi")
+        return df.filter(optional_eq(column, object_id))
     place = [*keys, "object_id", "partition_number"]
     main = F.col("index_id") < 2
     overflow = F.col("lob_used_page_count") + F.col("row_overflow_used_page_count")
@@ -153,23 +172,19 @@ def space_by_object(
         "data": F.when(main, F.col("in_row_data_page_count") + overflow).otherwise(overflow),
         "rows": F.when(main, F.col("row_count")).otherwise(zero),
     }
-    parents = internal.filter(
-        F.col("internal_type").isin(*INTERNAL_SPACE_TYPES) & optional_eq("parent_id", object_id)
-    ).select(*keys, "object_id", "parent_id")
+    parents = only(internal.filter(F.col("internal_type").isin(*INTERNAL_SPACE_TYPES)), "parent_id")
+    parents = parents.select(*keys, "object_id", "parent_id")
     if object_id is not None:
-        inner = F.col("object_id").isin(object_id)
-        wanted = union_all(part_stats.filter(inner).select(*keys, "object_id"), parents.select(*keys, "object_id"))
+        own_ids = only(part_stats, "object_id").select(*keys, "object_id")
+        wanted = union_all(own_ids, parents.select(*keys, "object_id"))
         part_stats = lookup(part_stats, wanted.distinct(), [*keys, "object_id"], "left_semi")
     own = part_stats.groupBy(*place).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     targets = F.array(
         F.struct(F.col("object_id").alias("_target"), F.lit(True).alias("_own")),
         F.struct(F.col("parent_id").alias("_target"), F.lit(False).alias("_own")),
     )
-    attributed = (
-        lookup(own, parents, [*keys, "object_id"])
-        .select("*", F.inline(targets))
-        .filter(optional_eq("_target", object_id))
-        .withColumn("object_id", F.col("_target"))
+    attributed = only(lookup(own, parents, [*keys, "object_id"]).select("*", F.inline(targets)), "_target").withColumn(
+        "object_id", F.col("_target")
     )
     totals = (
         attributed.groupBy(*place)
@@ -188,7 +203,7 @@ def space_by_object(
         shown, schemas.select(*keys, "schema_id", quote_name("name").alias("schema_name")), [*keys, "schema_id"]
     )
     clustered = (
-        partitions.filter((F.col("index_id") == 1) & optional_eq("object_id", object_id))
+        only(partitions.filter(F.col("index_id") == 1), "object_id")
         .select(*place)
         .distinct()
         .withColumn("_clustered", F.lit(True))

@@ -7,12 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, IntegralType, LongType, NumericType
 
 from gaugeworks.functions.predicates import as_column
-from gaugeworks.plans.materialize import materialize
 
 BROADCAST_ROWS = 500_000
-LIST_ROWS = 10_000
 
 
 # joins
@@ -50,11 +49,11 @@ def first_match(
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, counted up to that limit.
+    """Whether ``df`` has at most ``max_rows`` rows. ``df`` should already be materialized.
 
-    ``df`` should be narrow and already materialized.
+    Every task counts its own rows and sends one number.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -86,21 +85,23 @@ def disjunctive_join(
     Each branch is ``(left column, right column, condition on the right row)`` and the conditions
     exclude one another. A right row gets the number of its branch, a left row appears once per
     branch, and one equi-join on (branch, value) does the rest: each table is read and shuffled
-    once, where the plain OR would compare every pair.
+    once, where the plain OR would compare every pair. Values keep their type when all columns have the
+    same; numbers of several types meet in the widest, and other mixtures are an error.
     """
+    kind = _common_type([left.schema[a].dataType for a, _, _ in branches] + [right.schema[b].dataType for _, b, _ in branches])
     number = reduce(
         lambda acc, b: acc.when(b[1][2], F.lit(b[0])),
         enumerate(branches),
         F.when(F.lit(False), F.lit(0)),
     )
     value = reduce(
-        lambda acc, b: acc.when(b[1][2], F.col(b[1][1]).cast("bigint")),
+        lambda acc, b: acc.when(b[1][2], F.col(b[1][1]).cast(kind)),
         enumerate(branches),
-        F.when(F.lit(False), F.lit(0).cast("bigint")),
+        F.when(F.lit(False), F.lit(None).cast(kind)),
     )
     tags = F.array(
         *[
-            F.struct(F.lit(i).alias("_branch"), F.col(column).cast("bigint").alias("_value"))
+            F.struct(F.lit(i).alias("_branch"), F.col(column).cast(kind).alias("_value"))
             for i, (column, _, _) in enumerate(branches)
         ]
     )
@@ -109,6 +110,20 @@ def disjunctive_join(
     return tagged_left.join(tagged_right, [*keys, "_branch", "_value"]).drop("_branch", "_value")
 
 
+def _common_type(kinds: list[DataType]) -> DataType:
+    """One type that holds the values of all of ``kinds`` as they are."""
+    if len(set(kinds)) == 1:
+        return kinds[0]
+    if all(isinstance(k, IntegralType) for k in kinds):
+        return LongType()
+    if all(isinstance(k, (IntegralType, DecimalType)) for k in kinds):
+        scale = max(k.scale for k in kinds if isinstance(k, DecimalType))
+        return DecimalType(38, scale)
+    if all(isinstance(k, NumericType) for k in kinds):
+        return DoubleType()
+    raise ValueError(f"keys of different kinds can't be compared: {', '.join(sorted({k.simpleString() for k in kinds}))}")
+
+
 def flag_parents(df: DataFrame, children: DataFrame, id_: str, parent: str, alias: str, keys=()) -> DataFrame:
     """Mark the rows some child points to; each row stays single however many children it has."""
     parents = (
@@ -188,44 +203,13 @@ def conditional_counts(df: DataFrame, by: Sequence[str], conditions: dict[str, C
     return df.groupBy(*by).agg(*[count_if(c).alias(name) for name, c in conditions.items()])
 
 
-def split_large_groups(df: DataFrame, keys: Sequence[str], identity: Sequence[str], rows: int, alias: str) -> DataFrame:
-    """Number the parts of each group so that a part has about ``rows`` rows at most.
+def nest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column], alias: str) -> DataFrame:
+    """Child rows as one sorted list of structs per parent.
 
-    Ordinary groups are one part, number 0. The groups above the limit are counted first, once, and
-    kept in the shared folder; there are at most rows-of-``df`` / ``rows`` of them and usually none.
-    ``identity`` tells the rows of a group apart.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    parts = materialize(sizes.select(*keys, F.ceil(F.col("_n") / rows).alias("_parts")))
-    if parts.isEmpty():
-        return df.withColumn(alias, F.lit(0))
-    spread = F.pmod(F.xxhash64(*identity), F.col("_parts"))
-    return (
-        df.join(broadcast_if_small(parts), list(keys), "left")
-        .withColumn(alias, F.coalesce(spread, F.lit(0)).cast("int"))
-        .drop("_parts")
-    )
-
-
-def nest(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    order: Sequence[Column],
-    alias: str,
-    rows: int = LIST_ROWS,
-    part: str = "list_part",
-) -> DataFrame:
-    """Child rows as a sorted list of structs per parent.
-
-    A parent with more than ``rows`` children gets several lists, numbered in ``part``, so no list
-    grows without bound and none is cut short; sorting holds within a list.
+    A list is one value in one row, so this is for children that are few per parent; where a parent
+    may have any number of them, join the child rows instead.
     """
     sort_names = [f"_{i}" for i in range(len(order))]
     entry = F.struct(*[c.alias(name) for c, name in zip(order, sort_names)], *[F.col(c) for c in columns])
-    listed = (
-        split_large_groups(df, keys, columns, rows, part)
-        .groupBy(*keys, part)
-        .agg(F.sort_array(F.collect_list(entry)).alias(alias))
-    )
+    listed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(alias))
     return listed.withColumn(alias, F.transform(alias, lambda e: F.struct(*[e[c].alias(c) for c in columns])))

@@ -73,7 +73,7 @@ TABLES = {
     "listener_ips": "listener_id STRING, ip_address STRING",
     "databases": "database_id INT, name STRING",
     # events
-    "raw_events": "object_name STRING, event_data STRING",
+    "raw_events": "object_name STRING, event_data STRING, event_time TIMESTAMP",
     # replication
     "groups": "group_id STRING, name STRING",
     "group_states": "group_id STRING",

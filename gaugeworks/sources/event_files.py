@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.functions.scalars import dir_of
-from gaugeworks.functions.xml import EVENT
+from gaugeworks.functions.xml import EVENT, event_head, event_time
+from gaugeworks.schemas import schema
 
 
 def event_glob(current_file: str, configured_name: str) -> str:
@@ -32,11 +34,25 @@ def read_events(spark: SparkSession, current_file: str, configured_name: str) ->
 
 
 def read_raw_events(spark: SparkSession, path: str, event: str | None = None) -> DataFrame:
-    """Raw documents (``object_name, event_data``) from Parquet; the name filter reaches the scan."""
-    events = spark.read.schema("object_name STRING, event_data STRING").parquet(path)
+    """Raw documents (``object_name, event_data, event_time``) from Parquet; the name filter reaches the scan.
+
+    Files without the time column give documents without it, whose times are parsed where needed.
+    """
+    held = spark.read.parquet(path).columns
+    columns = [f for f in schema("raw_events") if f.name in held]
+    events = spark.read.schema(StructType(columns)).parquet(path).select(*[f.name for f in columns])
     return events if event is None else events.filter(F.col("object_name") == event)
 
 
+def save_raw_events(events: DataFrame, path: str) -> None:
+    """Append raw documents in the layout to read them from: with their time as a column, in a folder per day.
+
+    Times are parsed here, once; later reads find what they need by day and by column.
+    """
+    timed = events if "event_time" in events.columns else events.withColumn("event_time", event_time(event_head("event_data")))
+    timed.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy("event_date").parquet(path)
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Write parsed events as XML files, one ``event`` element per row."""
     events.write.format("xml").option("rowTag", "event").option("rootTag", "events").mode("append").save(path)

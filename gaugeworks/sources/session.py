@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+#: To set when the session is made: checkpoints go when nothing refers to them any more.
+CLUSTER_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; sizes and the shuffle width stay the cluster's own."""
     for name, value in SETTINGS.items():

@@ -1,6 +1,8 @@
-"""Hourly aggregates over streams; late rows beyond the watermark are dropped.
+"""Hourly aggregates over streams.
 
-An hour comes out once the watermark has passed its end, so state is held for open hours only.
+State is held for open hours only; rows of an hour the watermark has passed are dropped and counted
+(``capture.late_rows``). ``capture.write_stream`` appends an hour when it is closed;
+``capture.write_changes`` also writes the open ones, so that ``capture.read_latest`` has every hour seen.
 """
 
 from __future__ import annotations

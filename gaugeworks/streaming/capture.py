@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gaugeworks.constants import DEPRECATION_EVENTS, DEPRECATION_FIELDS
 from gaugeworks.functions.xml import EVENT
 from gaugeworks.operators.events import flat_columns, shred
-from gaugeworks.plans.materialize import new_folder
 from gaugeworks.plans.relational import lookup
 
+BATCH = "batch"
+
 
 def event_stream(spark: SparkSession, src_dir: str, max_files: int | None = None) -> DataFrame:
     """Parsed events from the XML files that arrive in a folder."""
@@ -38,16 +42,45 @@ def write_stream(
 ) -> StreamingQuery:
     """Append a stream to Parquet; without a trigger interval it handles what is there and ends.
 
-    Progress is kept in the shared folder unless a place is given; a query that is to resume after a
-    restart must be given one.
+    Progress belongs to the output: it is kept below ``out_dir`` unless another lasting place is given,
+    so a restart goes on where the last run ended.
     """
     writer = df.writeStream.format("parquet").outputMode("append").option("path", out_dir)
-    writer = writer.option("checkpointLocation", checkpoint or new_folder(df.sparkSession, "stream"))
     if max_records_per_file is not None:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    if trigger is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=trigger).start()
+    return _start(writer, out_dir, trigger, checkpoint)
+
+
+def _start(writer, out_dir: str, trigger: str | None, checkpoint: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint or f"{out_dir.rstrip('/')}/_progress")
+    return (writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)).start()
+
+
+def write_changes(
+    df: DataFrame, out_dir: str, *, trigger: str | None = "5 seconds", checkpoint: str | None = None
+) -> StreamingQuery:
+    """Write every change of a stream's groups, open ones too; ``read_latest`` gives the groups.
+
+    A batch replaces its own folder, so a batch that runs again after a failure leaves nothing twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{BATCH}={number}")
+
+    return _start(df.writeStream.outputMode("update").foreachBatch(put), out_dir, trigger, checkpoint)
+
+
+def read_latest(spark: SparkSession, out_dir: str, schema: StructType, by: Sequence[str]) -> DataFrame:
+    """The last state of each group of what ``write_changes`` wrote."""
+    files = spark.read.schema(StructType([*schema, StructField(BATCH, LongType())]))
+    rest = [c for c in schema.names if c not in by]
+    last = files.parquet(out_dir).groupBy(*by).agg(F.max_by(F.struct(*rest), BATCH).alias("_last"))
+    return last.select(*[F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in schema.names])
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped for coming later than the watermark, over the batches the query still reports on."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
 def capture_events(

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gaugeworks.sources.session import SETTINGS, configure  # noqa: E402
+from gaugeworks.sources.session import CLUSTER_SETTINGS, SETTINGS, configure  # noqa: E402
 
 
 def make_session() -> SparkSession:
@@ -18,7 +18,7 @@ def make_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
     )
-    for name, value in SETTINGS.items():
+    for name, value in (SETTINGS | CLUSTER_SETTINGS).items():
         builder = builder.config(name, value)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,9 +5,8 @@ from dataclasses import fields
 import pytest
 from pyspark.sql import functions as F
 
-from bindings.tables import SELECTS, Bound
+from bindings.tables import Bound
 from gaugeworks.operators import cpu, events, memory, replicas, sessions, statistics, storage, workload
-from gaugeworks.plans.relational import LIST_ROWS
 from tests.check import rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -59,6 +58,8 @@ REPORTS = {
         t.runtime_stats, t.plans, t.queries, t.texts, t.workload_objects, metrics=("duration",), keys=k, **WINDOW
     ),
     "session_summary": lambda t, k: sessions.session_summary(session_tables(t), server_name="s", keys=k),
+    "session_children": lambda t, k: sessions.session_children(session_tables(t), keys=k),
+    "session_lists": lambda t, k: sessions.session_summary(session_tables(t), server_name="s", lists="xml", keys=k),
     "session_tasks": lambda t, k: sessions.session_tasks(session_tables(t), server_name="s", keys=k),
     "blocking": lambda t, k: sessions.blocking(session_tables(t), server_name="s", keys=k),
     "event_heatmap": lambda t, k: events.event_heatmap(t.raw_events, keys=k, days_back=30, **AT),
@@ -116,5 +117,12 @@ def test_fleet_equals_each_server(servers, name):
         assert rows(columns, mine) == rows(columns, alone.collect())
 
 
-def test_all_derived_tables_are_used():
-    assert LIST_ROWS > 0 and set(SELECTS)
+def test_one_name_is_another_object_on_each_server(spark):
+    """``resolve_object`` over a fleet gives each server's own id, and the report each server's own rows."""
+    frame = spark.createDataFrame
+    objects = frame([("a", 1, 1, "t", "U ", False), ("b", 9, 2, "t", "U ", False), ("b", 1, 2, "u", "U ", False)],
+                    "instance_id string, object_id int, schema_id int, name string, type string, is_ms_shipped boolean")
+    schemas = frame([("a", 1, "dbo"), ("b", 2, "dbo")], "instance_id string, schema_id int, name string")
+    internal = frame([], "instance_id string, object_id int, parent_id int, internal_type int")
+    found = storage.resolve_object(objects, schemas, internal, "t", "db", "dbo", KEYS)
+    assert {tuple(r) for r in found.collect()} == {("a", 1), ("b", 9)}

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.summaries import merge_summary
@@ -63,18 +64,23 @@ def test_first_per(spark):
     assert plan(first).count("WindowGroupLimit") == 2  # before and after the shuffle
 
 
-def test_nest_cuts_hot_groups_into_parts(spark):
+def test_nest(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i % 40}", i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v int")
-    nested = R.nest(df, ["k"], ["v"], [-F.col("v")], "vs", rows=100)
-    lists = [(r.k, r.list_part, [e.v for e in r.vs]) for r in nested.collect()]
-    assert sorted((k, v) for k, _, vs in lists for v in vs) == sorted(rows)
-    assert all(vs == sorted(vs, reverse=True) for _, _, vs in lists)
-    parts = [len(vs) for k, _, vs in lists if k == "hot"]
-    assert len(parts) == 10 and max(parts) < 200
-    assert all(p == 0 for k, p, _ in lists if k != "hot")
-    whole = R.nest(df, ["k"], ["v"], [F.col("v")], "vs")
-    assert {r.list_part for r in whole.collect()} == {0}
+    lists = {r.k: [e.v for e in r.vs] for r in R.nest(df, ["k"], ["v"], [-F.col("v")], "vs").collect()}
+    assert sorted((k, v) for k, vs in lists.items() for v in vs) == sorted(rows)
+    assert all(vs == sorted(vs, reverse=True) for vs in lists.values())
+
+
+def test_disjunctive_join_keeps_the_type_of_its_keys(spark):
+    left = spark.createDataFrame([(1.5, "a", 1)], "x double, s string, i int")
+    right = spark.createDataFrame([(1.2, "a", 1, 0), (1.5, "b", 2, 0)], "y double, t string, j bigint, kind int")
+    join = lambda a, b: R.disjunctive_join(left, right, [(a, b, F.col("kind") == 0)])
+    assert [r.y for r in join("x", "y").collect()] == [1.5]
+    assert [r.t for r in join("s", "t").collect()] == ["a"]
+    assert [r.j for r in join("i", "j").collect()] == [1]
+    with pytest.raises(ValueError):
+        join("s", "j")
 
 
 def test_lookups(spark):

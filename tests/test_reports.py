@@ -5,8 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.predicates import flag_in
 from gaugeworks.operators import cpu, events, memory, replicas, sessions, statistics, storage, workload
 from gaugeworks.schemas import TABLES, schema
+from gaugeworks.sources.event_files import read_raw_events, save_raw_events
 from gaugeworks.sources import tables as table_files
 
 
@@ -188,7 +190,7 @@ def chain(spark):
 
 
 def test_session_summary(chain):
-    result = {r.session_id: r for r in sessions.session_summary(chain, server_name="me").collect()}
+    result = {r.session_id: r for r in sessions.session_summary(chain, server_name="me", lists="structs").collect()}
     assert set(result) == {1, 2, 3, 4, 5}
     head = result[3]
     assert (head.head_blocker, head.state, head.transaction_name) == ("1", "Prepared", "t300")
@@ -210,7 +212,7 @@ def test_session_summary(chain):
 
 
 def test_session_summary_order_and_xml(chain):
-    result = sessions.session_summary(chain, server_name="me", lists_as_xml=True).collect()
+    result = sessions.session_summary(chain, server_name="me", lists="xml").collect()
     assert [r.session_id for r in result] == [3, 1, 2, 4, 5]
     assert result[0].aggregate_waits.startswith("<waits><wait><wait_type>many</wait_type>")
     assert result[0].tempdb_utilization.count("<thread>") == 1
@@ -238,7 +240,8 @@ def test_blocking(chain):
 
 
 def test_a_session_with_very_many_children(spark):
-    hot = [{"session_id": 1, "wait_type": f"w{i}", "waiting_tasks_count": i, "wait_time_ms": i} for i in range(500)]
+    """Equal children in any number never multiply a session's row."""
+    hot = [{"session_id": 1, "wait_type": "w", "waiting_tasks_count": 1, "wait_time_ms": 1}] * 50_000
     few = [{"session_id": 2, "wait_type": "w", "waiting_tasks_count": 1, "wait_time_ms": 1}]
     t = session_tables(
         spark,
@@ -246,13 +249,24 @@ def test_a_session_with_very_many_children(spark):
         requests=[{"session_id": i, "request_id": 0, "status": "running", "command": "S"} for i in (1, 2)],
         session_waits=[*hot, *few],
     )
-    result = sessions.session_summary(t, server_name="me", list_rows=50).collect()
-    parts = [r for r in result if r.session_id == 1]
-    assert len({r.list_part for r in parts}) == len(parts) > 5
-    seen = [e.wait_type for r in parts for e in r.aggregate_waits or ()]
-    assert sorted(seen) == sorted(h["wait_type"] for h in hot)
-    assert [len(r.aggregate_waits) for r in result if r.session_id == 2] == [1]
-    assert [r.aggregate_waits for r in result if r.session_id == 3] == [None]
+    assert sorted(r.session_id for r in sessions.session_summary(t, server_name="me").collect()) == [1, 2, 3]
+    listed = sessions.session_summary(t, server_name="me", lists="structs").collect()
+    assert {r.session_id: len(r.aggregate_waits or ()) for r in listed} == {1: 50_000, 2: 1, 3: 0}
+    children = sessions.session_children(t).groupBy("session_id", "kind").count().collect()
+    assert {tuple(r) for r in children} == {(1, "wait_total", 50_000), (2, "wait_total", 1)}
+    with pytest.raises(ValueError):
+        sessions.session_summary(t, server_name="me", lists="true")
+
+
+def test_a_task_without_request_is_no_task_of_an_idle_session(spark):
+    t = session_tables(
+        spark,
+        sessions=people(1),
+        input_buffers=[{"session_id": 1, "event_info": "x"}],
+        tasks=[{"task_address": "a", "session_id": 1, "exec_context_id": 0}],
+        waiting_tasks=[{"waiting_task_address": "a", "session_id": 1, "exec_context_id": 0, "wait_type": "W", "wait_duration_ms": 5}],
+    )
+    assert [(r.session_id, r.wait_type) for r in sessions.session_tasks(t, server_name="me").collect()] == [(1, None)]
 
 
 # replication
@@ -483,10 +497,13 @@ def test_thread_totals_and_schedulers(spark):
 
 
 def document(name, at, body=""):
-    return {"object_name": name, "event_data": f'<event name="{name}" timestamp="{at}">{body}</event>'}
+    time = datetime.fromisoformat(at.rstrip("Z"))
+    return {"object_name": name, "event_data": f'<event name="{name}" timestamp="{at}">{body}</event>', "event_time": time}
 
 
-def test_deadlocks(spark):
+@pytest.mark.parametrize("typed", [True, False])
+def test_deadlocks(spark, typed):
+    """With a column of times, and with times that are only in the documents."""
     report = '<data name="xml_report"><value>{}</value></data>'
     raw = table(
         spark,
@@ -495,6 +512,7 @@ def test_deadlocks(spark):
         document("xml_deadlock_report", "2024-01-01T23:59:59Z", report.format("")),
         document("other", "2024-01-07T11:00:00Z", report.format("<deadlock/>")),
     )
+    raw = raw if typed else raw.drop("event_time")
     graphs = events.deadlock_graphs(raw, utc_offset=60).collect()
     assert [r.deadlock_graph_xml for r in graphs] == ['<deadlock id="d1"><victim/></deadlock>', '<deadlock id="d2"/>']
     assert graphs[0].server_time == datetime(2024, 1, 7, 12)
@@ -506,6 +524,35 @@ def test_deadlocks(spark):
     assert events.last_event(raw, event="none").count() == 0
 
 
+def test_graphs_are_values_of_data_items(spark):
+    body = '<data name="r"><value><deadlock id="a>b"/></value></data><note><deadlock id="n"/></note>'
+    raw = table(spark, "raw_events", document("xml_deadlock_report", "2024-01-07T11:00:00Z", body))
+    assert [r.deadlock_graph_xml for r in events.deadlock_graphs(raw).collect()] == ['<deadlock id="a>b"/>']
+
+
+def test_raw_events_are_stored_with_their_time(spark, tmp_path):
+    raw = table(spark, "raw_events", document("e", "2024-01-07T11:00:00Z"), document("e", "2024-01-08T11:00:00Z"))
+    save_raw_events(raw.drop("event_time"), str(tmp_path / "raw"))
+    back = read_raw_events(spark, str(tmp_path / "raw"), "e")
+    assert sorted(r.event_time for r in back.collect()) == [datetime(2024, 1, 7, 11), datetime(2024, 1, 8, 11)]
+    assert back.columns == raw.columns
+    raw.select("object_name", "event_data").write.parquet(str(tmp_path / "old"))
+    old = read_raw_events(spark, str(tmp_path / "old"))
+    assert old.columns == ["object_name", "event_data"]
+    assert events.last_event(old, event="e").first().last_event_utc == datetime(2024, 1, 8, 11)
+
+
+def test_options_that_are_switches_take_bools_only(spark):
+    with pytest.raises(ValueError):
+        flag_in("is_ms_shipped", "false")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError):
+            events.event_heatmap(table(spark, "raw_events"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_feature_counters(spark):
     counters = table(spark, "counters", *[{"object_name": o, "instance_name": i, "cntr_value": v} for o, i, v in
                                           (("S:Deprecated Features", "a", 1), ("S:Deprecated Features", "b", 7), ("S:Other", "c", 9))])

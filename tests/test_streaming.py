@@ -10,7 +10,7 @@ from gaugeworks.functions.xml import EVENT
 from gaugeworks.plans.materialize import CHECKPOINT_DIR, new_folder, shared_dir
 from gaugeworks.sources.event_files import read_events
 from gaugeworks.streaming.aggregates import event_counts_stream, workload_buckets_stream
-from gaugeworks.streaming.capture import capture_events, event_stream, write_stream
+from gaugeworks.streaming.capture import capture_events, event_stream, late_rows, read_latest, write_changes, write_stream
 
 ONE = (
     '<event name="{name}" timestamp="2024-01-01T10:{minute:02}:00Z">'
@@ -34,12 +34,15 @@ def test_rotated_files_are_read_by_pattern(spark, tmp_path):
     assert sorted(r._timestamp[14:16] for r in events.collect()) == ["01", "02", "03"]
 
 
-def test_capture_keeps_the_wanted_events_and_resumes(spark, tmp_path):
-    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+@pytest.mark.parametrize("place", [None, "progress"])
+def test_capture_keeps_the_wanted_events_and_resumes(spark, tmp_path, place):
+    """Also where no place for the progress is named."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    progress = {"checkpoint": str(tmp_path / place)} if place else {}
     write_file(source, "a.xml", (DEPRECATION_EVENTS[0], 1), ("other", 2))
 
     def capture():
-        query = capture_events(spark, str(source), out, trigger=None, checkpoint=progress, max_records_per_file=1)
+        query = capture_events(spark, str(source), out, trigger=None, max_records_per_file=1, **progress)
         query.awaitTermination()
         return spark.read.parquet(out)
 
@@ -83,6 +86,23 @@ def test_counts_drop_late_rows_and_hold_open_hours(spark, tmp_path):
     assert run() == {(9, 3), (10, 2)}
 
 
+def test_changes_hold_open_hours_and_late_rows_are_counted(spark, tmp_path):
+    schema, out = "ts timestamp, event_type string", str(tmp_path / "out")
+
+    def run(*times):
+        rows = [(datetime.fromisoformat(f"2024-01-01T{t}"), "click") for t in times]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        counts = event_counts_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "10 minutes")
+        query = write_changes(counts, out, trigger=None)
+        query.awaitTermination()
+        latest = read_latest(spark, out, counts.schema, ("bucket_start", "bucket_end", "event_type"))
+        return {(r.bucket_start.hour, r.occurances) for r in latest.collect()}, late_rows(query)
+
+    assert run("09:10", "09:50", "10:05") == ({(9, 2), (10, 1)}, 0)
+    assert run("09:59", "10:20") == ({(9, 3), (10, 2)}, 0)
+    assert run("09:30", "12:00") == ({(9, 3), (10, 2), (12, 1)}, 1)
+
+
 def test_streamed_summaries_equal_the_batch(spark, tmp_path):
     rows = [
         (datetime(2024, 1, 1, 9 + i // 40, i % 60), i % 4, "Regular", 1 + i % 5, float(i), i, i + 3, 2.0)
