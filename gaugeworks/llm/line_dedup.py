@@ -50,6 +50,8 @@ def dedup_lines(
         .where(F.col(keeper + "s") >= min_docs)
         .drop(keeper + "s")
     )
+    # written, so that the lines meet them in a join of two shuffles, whose hot keys are split
+    shared = written(shared, "shared-lines")
     gone = F.col(keeper).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(keeper))
     marked = (
         lines.join(shared, [h1, h2], "left")
