@@ -1,5 +1,5 @@
 """The reports bound to the driver's test tables."""
 
-from bindings import events, fleet, memory, pieces, replicas, sessions, storage, streaming, workload
+from bindings import events, fleet, memory, options, pieces, replicas, sessions, storage, streaming, workload
 
-MODULES = (workload, sessions, events, replicas, storage, memory, streaming, pieces, fleet)
+MODULES = (workload, sessions, events, replicas, storage, memory, streaming, pieces, options, fleet)

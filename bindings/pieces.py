@@ -298,18 +298,19 @@ def _quoted(b):
     )
 
 
-@piece(
-    "a15_event_files",
-    f"""select event_type, event_time, feature, message, session_id
-          from ({EVENT_SQL['f20_shredded_events']}) where event_type <> 'xml_deadlock_report'""",
-)
+@piece("a15_event_files", EVENT_SQL["f20_shredded_events"])
 def _event_files(b):
-    """The events as rotated XML files, read back by the pattern for one capture."""
+    """The events as rotated XML files of one capture, in a folder that also holds another capture's file."""
     spark = b.raw_events.sparkSession
-    folder = new_folder(spark, "event-files")
-    wanted = b.raw_events.filter("object_name <> 'xml_deadlock_report'")
-    write_events(wanted.select(event_struct("event_data").alias("e")).select("e.*"), folder)
-    read = read_events(spark, f"{folder}/part-now.xml", "part.xml")
+    folder, aside = new_folder(spark, "event-files"), new_folder(spark, "event-files")
+    parsed = b.raw_events.select(event_struct("event_data").alias("e")).select("e.*")
+    write_events(parsed, folder)
+    write_events(parsed.limit(5).coalesce(1), aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    other = next(f.getPath() for f in files.listStatus(path(aside)) if f.getPath().getName().startswith("part-"))
+    if not files.rename(other, path(folder, "other_0_1.xml")):
+        raise OSError(f"{other} could not be moved")
     flat = flat_columns(F.struct("_name", "_timestamp", "data", "action"))
-    return read.select(*[flat[c].alias(c) for c in ("event_type", "event_time", "feature", "message", "session_id")])
+    return read_events(spark, f"{folder}/part-now.xml", "part.xml").select(*[c.alias(name) for name, c in flat.items()])
 

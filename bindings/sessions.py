@@ -14,7 +14,7 @@ from bindings.memory import duration
 from bindings.tables import Bound
 
 SERVER = "server01"
-WATCHED = "KENYA"
+WATCHED = "NATION_11"
 
 
 def _tables(spark, sf_dir):

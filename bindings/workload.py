@@ -97,26 +97,28 @@ RANKS = {
 }
 
 
-def top_sql(rank_by: str, extra: str = "") -> str:
+def top_sql(rank_by: str, extra: str = "", metric: str = "duration", min_plans: int = 1, extra_column: str = "") -> str:
+    rank = RANKS[rank_by].replace("duration", metric).replace("0.001", str(METRIC_SCALES[metric]))
+    shown = f", {extra_column}" if extra_column else ""
     return f"""
     with base as (
-      select p.query_id, t.query_sql_text, q.object_id, {rounded(RANKS[rank_by])} as rank_value
+      select p.query_id, t.query_sql_text, q.object_id, {rounded(rank)} as rank_value
         from runtime_stats rs
         join plans p on p.plan_id = rs.plan_id
         join queries q on q.query_id = p.query_id
         join texts t on t.query_text_id = q.query_text_id
        where {WINDOW} {extra}
        group by p.query_id, t.query_sql_text, q.object_id
-      having count(distinct p.plan_id) >= 1
+      having count(distinct p.plan_id) >= {min_plans}
        order by rank_value desc nulls last, p.query_id limit 25)
-    select b.query_id, k.*, b.query_sql_text, p.query_plan, coalesce(o.name, '') as object_name
+    select b.query_id, k.*, b.query_sql_text, p.query_plan, coalesce(o.name, '') as object_name{shown}
       from base b
       join plans p on p.query_id = b.query_id
       join (select rs.plan_id, rs.execution_type_desc as execution_type,
                    cast(sum(rs.count_executions) as bigint) as count_executions,
                    date_trunc('hour', rs.last_execution_time) as bucket_start,
                    date_trunc('hour', rs.last_execution_time) + interval 1 hour as bucket_end,
-                   {merged("duration")}
+                   {merged(metric)}
               from runtime_stats rs where {WINDOW} {extra}
              group by rs.plan_id, rs.execution_type_desc, date_trunc('hour', rs.last_execution_time)) k
         on k.plan_id = p.plan_id

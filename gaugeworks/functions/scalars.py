@@ -179,17 +179,21 @@ def qualified_name(schema, name) -> Column:
 def parse_name(name: str, part: int) -> str | None:
     """Part of a dotted name, counted from the right (1 is the object, 3 the database).
 
-    Parts may stand in brackets, in which a dot is an ordinary character.
+    Parts may stand in brackets, in which a dot is an ordinary character and ``]]`` is a bracket.
     """
-    parts, current, quoted = [], "", False
-    for ch in name:
-        if ch == "." and not quoted:
+    parts, current, quoted, at = [], "", False, 0
+    while at < len(name):
+        ch, pair = name[at], name[at : at + 2]
+        if quoted and pair == "]]":
+            current, at = current + "]", at + 1
+        elif ch in "[]":
+            quoted = ch == "["
+        elif ch == "." and not quoted:
             parts.append(current)
             current = ""
-            continue
-        quoted = (quoted or ch == "[") and ch != "]"
-        if ch not in "[]":
+        else:
             current += ch
+        at += 1
     parts.append(current)
     return parts[-part] or None if part <= len(parts) else None
 
