@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ CODEWORDS = 512
 CODES = 4
 FILTERS_PER_VECTOR = 16  # of each code
 CELL_ROWS = 512
+FLUSH_ROWS = 8192  # more than a cell has
+CELL = ("label", "dim", "filter", "first", "second")
 
 
 class ProductCode:
@@ -90,6 +92,79 @@ def unit_rows(block: np.ndarray) -> np.ndarray:
     return block / np.linalg.norm(block, axis=1)[:, None]
 
 
+def cell_begins(table: pa.Table) -> np.ndarray:
+    """Where a new cell begins in rows sorted by cell."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for name in CELL:
+        column = table.column(name).combine_chunks()
+        new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)))
+    return np.flatnonzero(new)
+
+
+def _linked(table: pa.Table, begins: np.ndarray, width: str, min_cosine: float) -> Iterator[pa.RecordBatch]:
+    """Of whole cells: each vector's number of links that count here, and links that connect them."""
+    if not len(begins):
+        return
+    plain = {c: table.column(c).to_numpy() for c in ("dim", "filter", "first", "second", "chunk", "copies", "rep")}
+    raw = table.column("raw").to_pylist()
+    filters = table.column("filters").combine_chunks()
+    at, values = np.asarray(filters.offsets), np.asarray(filters.values)
+    own = lambda i: values[at[i] : at[i + 1]]
+    sizes = np.diff(np.append(begins, table.num_rows))
+    across = plain["first"] != plain["second"]
+    pairs = []
+
+    def hits(rows: np.ndarray) -> np.ndarray:
+        """Of cells of one size (a row each): which pairs reach the threshold."""
+        block = unit_rows(np.frombuffer(b"".join(raw[i] for i in rows.ravel()), width).reshape(rows.size, -1).astype(float))
+        block = block.reshape(*rows.shape, -1)
+        found = np.triu(block @ block.transpose(0, 2, 1) >= min_cosine, 1)
+        other = plain["chunk"][rows]
+        return found & ~(across[rows[:, :1, None]] & (other[:, :, None] == other[:, None, :]))
+
+    for dim, size in sorted(set(zip(plain["dim"][begins].tolist(), sizes.tolist()))):
+        cells = begins[(sizes == size) & (plain["dim"][begins] == dim)][:, None] + np.arange(size)
+        step = max(1, 4_000_000 // (size * max(size, dim)))
+        for k in range(0, len(cells) if size > 1 else 0, step):
+            rows = cells[k : k + step]
+            for cell, found in zip(rows, hits(rows)):
+                if not found.any():
+                    continue
+                used = np.flatnonzero(found.any(axis=0) | found.any(axis=1))
+                # pairs with a smaller common filter count there
+                lower = [f[f < plain["filter"][cell[0]]] for f in map(own, cell[used])]
+                names, column, count = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
+                both = count[column] > 1
+                if both.any():
+                    inside = np.zeros((len(used), len(names)), dtype=np.float32)
+                    inside[np.repeat(np.arange(len(used)), [len(f) for f in lower])[both], column[both]] = 1
+                    inside = inside[:, count > 1]
+                    found[np.ix_(used, used)] &= inside @ inside.T == 0
+                one, two = np.nonzero(found)
+                pairs.append(cell[np.stack([one, two])])
+    if not pairs:
+        return
+    one, two = np.concatenate(pairs, axis=1)
+    n = np.zeros(table.num_rows, dtype=np.int64)
+    np.add.at(n, one, plain["copies"][two])
+    np.add.at(n, two, plain["copies"][one])
+    some = pa.array(np.flatnonzero(n))
+    names, place = np.unique(plain["rep"], return_inverse=True)
+    forest = Forest(len(names))
+    for i, j in zip(place[one].tolist(), place[two].tolist()):
+        forest.union(i, j)
+    links = names[np.array(forest.edges, dtype=int).reshape(-1, 2)]
+    columns = ["label", "h1", "h2", "n", "a", "b"]
+    keys = [table.column(c).combine_chunks().take(some) for c in columns[:3]]
+    none = lambda count, kind=pa.int64(): pa.nulls(count, kind)
+    if len(some):
+        yield pa.record_batch([*keys, pa.array(n[np.asarray(some)]), none(len(some)), none(len(some))], names=columns)
+    if len(links):
+        empty = [none(len(links), keys[0].type), *(none(len(links)) for _ in range(3))]
+        yield pa.record_batch([*empty, pa.array(links[:, 0]), pa.array(links[:, 1])], names=columns)
+
+
 def link_vectors(
     vectors: DataFrame,
     *,
@@ -162,53 +237,27 @@ def link_vectors(
     )
     cells = met.join(payload, (F.col("label") == F.col("l")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")))
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        units = unit_rows(np.stack([np.frombuffer(raw, width) for raw in cell["raw"]]).astype(float))
-        hit = np.triu(units @ units.T >= min_cosine, 1)
-        if cell["first"].iloc[0] != cell["second"].iloc[0]:
-            chunks = cell["chunk"].to_numpy()
-            hit &= chunks[:, None] != chunks
-        used = np.flatnonzero(hit.any(axis=0) | hit.any(axis=1))
-        if len(used):
-            # pairs with a smaller common filter count there
-            lower = [f[f < cell["filter"].iloc[0]] for f in cell["filters"].iloc[used]]
-            names, column, count = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(len(used)), [len(f) for f in lower])
-            both = count[column] > 1
-            inside = np.zeros((len(used), len(names)), dtype=np.float32)
-            inside[row[both], column[both]] = 1
-            inside = inside[:, count > 1]
-            hit[np.ix_(used, used)] &= inside @ inside.T == 0
-        one, two = np.nonzero(hit)
-        copies, rep = cell["copies"].to_numpy(), cell["rep"].to_numpy()
-        n = np.zeros(len(cell), dtype=np.int64)
-        np.add.at(n, one, copies[two])
-        np.add.at(n, two, copies[one])
-        forest = Forest(len(cell))
-        for i, j in zip(one.tolist(), two.tolist()):
-            forest.union(i, j)
-        links = np.array(forest.edges, dtype=int).reshape(-1, 2)
-        some = np.flatnonzero(n)
-        keys = {c: [*cell[c].iloc[some], *([None] * len(links))] for c in ("h1", "h2")}
-        # a row is a vector's number of links, or a link of two classes
-        return pd.DataFrame(
-            {
-                "label": [cell["label"].iloc[0]] * (len(some) + len(links)),
-                "h1": pd.array(keys["h1"], dtype="Int64"),
-                "h2": pd.array(keys["h2"], dtype="Int64"),
-                "n": pd.array([*n[some], *([None] * len(links))], dtype="Int64"),
-                "a": pd.array([*([None] * len(some)), *rep[links[:, 0]]], dtype="Int64"),
-                "b": pd.array([*([None] * len(some)), *rep[links[:, 1]]], dtype="Int64"),
-            }
-        )
+    kinds = f"label {kind}, h1 long, h2 long, n long, a long, b long"
 
-    columns = [*bucket, "first", "second", "chunk", "h1", "h2", "rep", "copies", "raw", "filters"]
-    compared = written(
-        cells.select(*columns)
-        .groupBy(*bucket, "first", "second")
-        .applyInPandas(compare, f"label {kind}, h1 long, h2 long, n long, a long, b long"),
-        "vector-links",
-    )
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within the cells; rows come sorted by cell. A row is a vector's number of links, or a link of two classes."""
+        held, size = [], 0
+        for batch in arrow_batches(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FLUSH_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                begins = cell_begins(table)
+                yield from _linked(table.slice(0, begins[-1]), begins[:-1], width, min_cosine)
+                rest = table.slice(begins[-1])
+                held, size = rest.to_batches(), 0
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from _linked(table, cell_begins(table), width, min_cosine)
+
+    columns = [*CELL, "chunk", "h1", "h2", "rep", "copies", "raw", "filters"]
+    by_cell = cells.select(*columns).repartition(*CELL).sortWithinPartitions(*CELL)
+    compared = written(by_cell.mapInArrow(compare, kinds), "vector-links")
     counts = compared.where("n is not null").groupBy(*key).agg(F.sum("n").alias("n"))
     found = connected_components(compared.where("a is not null").select("a", "b"))
     judged = (
