@@ -31,7 +31,6 @@ CONTAINERS = (
     "html body div section article main nav header footer aside form ul ol dl table tr td th blockquote figure fieldset details "
     "dialog menu search"
 ).split()
-VOID = "area base br col embed hr img input link meta param source track wbr".split()
 # Words in class, id and role that name the two kinds of regions.
 ASIDE = (
     "nav navbar navigation menu sidebar sidebars aside footer foot header masthead topbar banner ad ads advert adverts advertisement "
@@ -40,7 +39,8 @@ ASIDE = (
     "breadcrumb breadcrumbs pagination pager widget popup modal overlay toolbar tags copyright legal complementary contentinfo "
     "search form skip outbrain taboola teaser"
 ).split()
-MAIN = "article post entry story content main body text maincontent articlebody".split()
+MAIN = "article post entry story content main maincontent articlebody".split()
+OWN_HEADER = "article post entry story".split()  # with these, a header is the text's own
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -49,9 +49,9 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _PART = re.compile(r"[a-z]+")
-_UNSEEN, _BLOCKS, _CONTAINERS, _VOID, _ASIDE, _MAIN = map(frozenset, (UNSEEN, BLOCKS, CONTAINERS, VOID, ASIDE, MAIN))
+_UNSEEN, _BLOCKS, _CONTAINERS, _ASIDE, _MAIN, _OWN_HEADER = map(frozenset, (UNSEEN, BLOCKS, CONTAINERS, ASIDE, MAIN, OWN_HEADER))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "heading", "outside")
 
 
 @dataclass
@@ -66,8 +66,9 @@ class _Block:
 def _named(attrs: str) -> set[str]:
     found = set()
     for values in _NAMED.findall(attrs):
-        whole = "".join(values).lower()
-        found.update(_PART.findall(whole))
+        for name in "".join(values).lower().split():
+            parts = set(_PART.findall(name))
+            found |= parts - {"header", "head"} if parts & _OWN_HEADER else parts
     return found
 
 
@@ -150,11 +151,15 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 
 
 def features(own: list[list[float]]) -> np.ndarray:
-    """The features of a page's blocks, neighbours included; outside the page there are no words."""
+    """The features of a page's blocks, neighbours included; outside the page there are no words.
+
+    The last one tells blocks outside the main regions of a page that has such regions.
+    """
     a = np.array(own, dtype=float).reshape(-1, 5)
     none = np.zeros((1, 2))
     before, after = np.vstack([none, a[:-1, :2]])[: len(a)], np.vstack([a[1:, :2], none])[: len(a)]
-    return np.hstack([a[:, :2], before, after, a[:, 2:]])
+    outside = (a[:, 3] == 0) & (a[:, 3] > 0).any()
+    return np.hstack([a[:, :2], before, after, a[:, 2:], outside[:, None]])
 
 
 class DecisionTree:

@@ -21,11 +21,20 @@ PAGES = (
     <div id="footer">- All rights reserved {_LONG}</div></body>""",
     f"""<body><div class="topbar">- Sign in</div><div class="post-body"><h2>+ A post</h2><p>+ {_LONG}</p><ol><li>+ step</li><li>+ another step</li></ol>
     </div><div class="related"><h3>- Related</h3><p>- {_LONG}</p></div><div class="newsletter">- Subscribe for more. {_LONG}</div></body>""",
+    # text outside the article, and paragraphs of the article that are links
+    f"""<body><div>- Ten years of news, every day.</div><article><h1>+ A list of links</h1><p>+ {_LONG}</p><p><a href=/1>+ The first thing</a></p>
+    <p><a href=/2>+ The second thing is longer</a></p><ul><li><a href=/3>+ third</a><li><a href=/4>+ fourth</a></ul><p>+ That was all.</p></article>
+    <p>- {_LONG}</p><div>- Made somewhere with care.</div><div>- {_LONG} {_LONG}</div></body>""",
+    f"""<body><p>- Today it rains.</p><main><h2>+ Sources</h2><p><a href=/1>+ one</a></p><p><a href=/2>+ two</a></p><p>+ {_LONG}</p></main><p>- {_LONG}</p>
+    <div><a href=/5>- Terms</a></div></body>""",
     # nothing is named: words, links and neighbours decide
     f"""<body><div><a href=/1>- Home</a> <a href=/2>About</a> <a href=/3>Contact</a></div><div><a href=/4>- Archive</a></div><div><h1>+ Plain page</h1>
     <p>+ {_LONG}</p><p>+ {_LONG} {_LONG}</p><p>+ {_LONG}</p></div><div><a href=/5>- Next</a> <a href=/6>Previous</a></div><div>- Copyright</div></body>""",
     f"""<body><p><a href=/1>- Index</a></p><h1>+ Another one</h1><p>+ {_LONG} {_LONG}</p><p>+ {_LONG} <a href=/2>see there</a></p>
     <p><a href=/3>- Back to the top of it</a></p><p><a href=/4>- Print</a></p></body>""",
     f"""<body><div><p>+ {_LONG}</p><p>+ {_LONG}</p></div></body>""",
+    f"""<body><p>+ Yes.</p><p>+ {_LONG}</p><p>+ No, not at all.</p><p>+ {_LONG}</p><p>+ So it was.</p><p>+ {_LONG}</p></body>""",
+    "+ plain text of a few words",
+    f"""<p>+ A line.</p><p>+ {_LONG}</p><p>+ Another line of it.</p><p>+ The last one.</p>""",
     f"""<body><table><tr><td><a href=/1>- One</a><td><a href=/2>- Two</a></table><p>+ {_LONG}</p><p>+ {_LONG}</p><p><a href=/3>- More of this</a></p></body>""",
 )
