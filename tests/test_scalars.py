@@ -195,7 +195,8 @@ def test_xml_items(spark):
 
 
 def test_xml_nodes(spark):
-    text = '<v><deadlock id="d1"><victim/></deadlock><deadlock id="d2"/><deadlock-list/></v>'
+    inside = '<deadlock id="d1"><victim/></deadlock><deadlock id="d2"/><deadlock-list/>'
+    text = f'<event><note>{inside}</note><data name="a>b"><value>{inside}</value></data><data><text>{inside}</text></data></event>'
     assert value(spark, X.nodes(F.lit(text), "deadlock")) == [
         '<deadlock id="d1"><victim/></deadlock>',
         '<deadlock id="d2"/>',
