@@ -195,7 +195,8 @@ def judge(
     x = [F.element_at("x", i + 1) for i in range(P)]
     for _ in range(STEPS):
         near = keyed.join(estimate, "key").select("key", "x", _distance(F.col("centre"), F.col("inverse")).alias("d"))
-        limit = near.groupBy("key").agg(F.percentile_approx("d", INNER, 1000).alias("limit"))
+        # written, so that Spark knows how small it is and need not deal out the rows by group
+        limit = written(near.groupBy("key").agg(F.percentile_approx("d", INNER, 1000).alias("limit")), "quality-limit")
         sums = (
             near.join(limit, "key")
             .where("d <= limit")
