@@ -13,8 +13,9 @@ least overlap. As in DivideSkip the L longest lists are set aside, the short one
 found T - L times or more are probed in the long lists by binary search, and the exact overlap decides.
 A search can stop when all sets not yet searched belong to one component.
 
-Large blocks are cut into cells of bounded size. All sets are first compared with one set of the block;
-only those not linked to it are searched against all others. Equal sets are searched once.
+Large blocks are cut into cells of bounded size, of sizes that can be partners. All sets are first compared
+with one set of the block; only those not linked to it are searched against the others. Equal sets are
+searched once.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from gaugeworks.llm.common import arrow_batches, prepare, slices, text_arrays, w
 from gaugeworks.llm.components import Forest, connected_components
 
 SLICE_BYTES = 1 << 20
-CELL_SHINGLES = 400_000
+CELL_SHINGLES = 1_000_000
+MARK_BITS = 1 << 24  # 2 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -165,6 +167,24 @@ def search(sets: list[np.ndarray], queries: np.ndarray, jaccard: Jaccard, forest
             open_.sort(key=lambda i: forest.find(i) != common)  # the largest component waits
 
 
+def only_marked(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose whole number may be one of ``marks`` (one column); none of those is lacking.
+
+    The marks set bits of a map of fixed size, which every task gets. Rows that pass by chance are for
+    the caller's join to drop; a join then need not move the others.
+    """
+    value = F.pmod(F.xxhash64(F.col(marks.columns[0])), F.lit(MARK_BITS))
+    one = F.lit(1)  # bucket and bit numbers start at 1
+    bits = marks.select(value.alias("m")).groupBy(F.bitmap_bucket_number(F.col("m") + one).alias("m_bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("m") + one)).alias("m_bits"))
+    own = F.pmod(F.xxhash64(F.col(column)), F.lit(MARK_BITS)) + one
+    placed = df.withColumns({"m_own": F.bitmap_bucket_number(own), "m_at": F.bitmap_bit_position(own)})
+    joined = placed.join(F.broadcast(bits), F.col("m_own") == F.col("m_bucket"))  # at most MARK_BITS / 8 bytes
+    byte = F.conv(F.hex(F.substring("m_bits", (F.shiftright("m_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("m_at", F.lit(8)))), F.lit(2)) == 1
+    return joined.where(hit).select(*df.columns)
+
+
 def join_similar(
     docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -224,33 +244,42 @@ def join_similar(
     copies = placed.join(classes.withColumnRenamed("block", "its").drop("n"), ["h1", "h2"]).where("block = its and id <> rep").select(
         F.col("rep").alias("a"), F.col("id").alias("b")
     )
+    # large blocks are cut by size class, since partners are at most one class apart, and then by a hash
     weight = classes.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
-    cut = weight.select(F.col("block").alias("its"), F.ceil(F.col("weight") / CELL_SHINGLES).cast("int").alias("chunks"))
-    reps = written(
-        classes.join(cut, F.col("block") == F.col("its"))
-        .drop("its")
-        .withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("h1", "h2"), F.col("chunks"))).otherwise(0).cast("int")),
-        "shingle-classes",
-    )
+    weight = weight.select(F.col("block").alias("its"), (F.col("weight") > CELL_SHINGLES).alias("large"))
+    size_class = F.floor(F.log(F.col("n")) / (math.log(jaccard.den / jaccard.num) * (1 + 1e-6) if jaccard.num < jaccard.den else 1e-3))
+    sized = classes.join(weight, F.col("block") == F.col("its")).drop("its")
+    sized = written(sized.withColumn("band", F.when(F.col("large"), size_class).otherwise(0).cast("int")), "shingle-classes")
+    cut = sized.groupBy("block", "band", "large").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("chunks"))
+    cut = written(cut.where("large").select(F.col("block").alias("c_block"), F.col("band").alias("c_band"), "chunks"), "shingle-cuts")
+    in_cut = (F.col("block") == F.col("c_block")) & (F.col("band") == F.col("c_band"))
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("h1", "h2"), F.col("chunks"))).otherwise(0).cast("int")
+    reps = sized.join(cut, in_cut, "left").withColumn("chunk", part)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
             raw = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
             yield pa.record_batch([batch.column(c) for c in names] + [raw], names=[*names, "set"])
 
-    names = ["block", "chunk", "chunks", "rep"]
+    names = ["block", "band", "chunk", "large", "rep"]
     wanted = reps.select(F.col("rep").alias("r"), *[c for c in names if c != "rep"], "h1", "h2")
-    chosen = texts.join(wanted, F.col("id") == F.col("r")).withColumnRenamed("r", "rep")
-    loaded = chosen.select(*names, "text").mapInArrow(load, "block long, chunk int, chunks int, rep long, set binary")
+    chosen = only_marked(texts, "id", wanted.select("r")).join(wanted, F.col("id") == F.col("r")).withColumnRenamed("r", "rep")
+    loaded = chosen.select(*names, "text").mapInArrow(load, "block long, band int, chunk int, large boolean, rep long, set binary")
+    loaded = written(loaded, "shingle-sets")
     # an id with several texts may stand for one of them only; each of its sets comes along
-    small = loaded.where("chunks = 1").withColumn("other", F.lit(0)).withColumn("asks", F.lit(True))
+    small = loaded.where("not large").select(
+        "*", F.col("band").alias("other_band"), F.col("chunk").alias("other"), F.lit(True).alias("asks")
+    )
 
-    large = written(loaded.where("chunks > 1"), "shingle-large")
-    pivots = large.groupBy("block", "chunks").agg(F.min_by("set", "rep").alias("pivot"), F.min("rep").alias("pivot_id"))
-    per_chunk = pivots.select(
-        F.col("block").alias("p_block"), "pivot", "pivot_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p_chunk")
+    large = loaded.where("large")
+    pivots = large.groupBy("block").agg(F.min_by("set", "rep").alias("pivot"), F.min("rep").alias("pivot_id"))
+    every = cut.select("c_block", F.col("c_band").alias("p_band"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p_chunk"))
+    per_chunk = pivots.join(every, F.col("block") == F.col("c_block")).select(
+        F.col("block").alias("p_block"), "p_band", "p_chunk", "pivot", "pivot_id"
+    )
+    compared = large.join(
+        per_chunk, (F.col("block") == F.col("p_block")) & (F.col("band") == F.col("p_band")) & (F.col("chunk") == F.col("p_chunk"))
     )
-    compared = large.join(per_chunk, (F.col("block") == F.col("p_block")) & (F.col("chunk") == F.col("p_chunk")))
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
@@ -270,16 +299,21 @@ def join_similar(
     hub_links = tested.where("linked and rep <> pivot_id").select(F.col("pivot_id").alias("a"), F.col("rep").alias("b"))
     askers = tested.groupBy("rep").agg(F.bool_and("linked").alias("linked")).where("not linked").select(F.col("rep").alias("asker"))
     asking = large.join(askers, F.col("rep") == F.col("asker"), "left_semi")
-    # each chunk of askers meets each chunk of the block
-    counts = written(asking.select("block", "chunk").distinct(), "shingle-asking")
-    meet = counts.select(F.col("block").alias("m_block"), F.col("chunk").alias("m_chunk"))
-    asked = large.join(meet, F.col("block") == F.col("m_block")).select(
-        "block", F.col("m_chunk").alias("chunk"), F.col("chunk").alias("other"), "rep", "set", F.lit(False).alias("asks")
-    )
-    askers_out = asking.select(
-        "block", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "rep", "set", F.lit(True).alias("asks")
+    # each chunk of askers meets each chunk of the classes its partners can be in
+    near = lambda c: F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1))))
+    meet = written(asking.select("block", "band", "chunk").distinct(), "shingle-asking").select(
+        F.col("block").alias("m_block"), F.col("band").alias("m_band"), F.col("chunk").alias("m_chunk"), near("band").alias("m_near")
     )
-    columns = ["block", "chunk", "other", "rep", "set", "asks"]
+    asked = large.join(meet, (F.col("block") == F.col("m_block")) & (F.col("band") == F.col("m_near"))).select(
+        "block", F.col("m_band").alias("band"), F.col("m_chunk").alias("chunk"), F.col("band").alias("other_band"),
+        F.col("chunk").alias("other"), "rep", "set", F.lit(False).alias("asks"),
+    )
+    askers_out = asking.withColumn("near", near("band")).join(cut, (F.col("block") == F.col("c_block")) & (F.col("near") == F.col("c_band")))
+    askers_out = askers_out.select(
+        "block", "band", "chunk", F.col("near").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"),
+        "rep", "set", F.lit(True).alias("asks"),
+    )
+    columns = ["block", "band", "chunk", "other_band", "other", "rep", "set", "asks"]
     cells = small.select(*columns).unionByName(asked.select(*columns)).unionByName(askers_out.select(*columns))
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
@@ -290,7 +324,7 @@ def join_similar(
         ends = np.array(forest.edges, dtype=int).reshape(-1, 2)
         return pd.DataFrame({"a": rep[ends[:, 0]], "b": rep[ends[:, 1]]}, dtype="int64")
 
-    links = cells.groupBy("block", "chunk", "other").applyInPandas(link, "a long, b long")
+    links = cells.groupBy("block", "band", "chunk", "other_band", "other").applyInPandas(link, "a long, b long")
     found = connected_components(links.unionByName(copies).unionByName(hub_links))
     return digests.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
