@@ -13,9 +13,8 @@ least overlap. As in DivideSkip the L longest lists are set aside, the short one
 found T - L times or more are probed in the long lists by binary search, and the exact overlap decides.
 A search can stop when all sets not yet searched belong to one component.
 
-Large blocks are cut into cells of bounded size, of sizes that can be partners. All sets are first compared
-with one set of the block; only those not linked to it are searched against the others. Equal sets are
-searched once.
+Large blocks are cut by size class, as partners are at most one class apart, and into cells of bounded size;
+a set goes to the cells of its own and the two next classes. Equal sets are searched once.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from gaugeworks.llm.common import arrow_batches, prepare, slices, text_arrays, w
 from gaugeworks.llm.components import Forest, connected_components
 
 SLICE_BYTES = 1 << 20
-CELL_SHINGLES = 1_000_000
+CELL_SHINGLES = 3_000_000
 MARK_BITS = 1 << 24  # 2 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -250,82 +249,59 @@ def join_similar(
     size_class = F.floor(F.log(F.col("n")) / (math.log(jaccard.den / jaccard.num) * (1 + 1e-6) if jaccard.num < jaccard.den else 1e-3))
     sized = classes.join(weight, F.col("block") == F.col("its")).drop("its")
     sized = written(sized.withColumn("band", F.when(F.col("large"), size_class).otherwise(0).cast("int")), "shingle-classes")
-    cut = sized.groupBy("block", "band", "large").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("chunks"))
-    cut = written(cut.where("large").select(F.col("block").alias("c_block"), F.col("band").alias("c_band"), "chunks"), "shingle-cuts")
-    in_cut = (F.col("block") == F.col("c_block")) & (F.col("band") == F.col("c_band"))
-    part = F.when(F.col("large"), F.pmod(F.xxhash64("h1", "h2"), F.col("chunks"))).otherwise(0).cast("int")
-    reps = sized.join(cut, in_cut, "left").withColumn("chunk", part)
+    cut = sized.where("large").groupBy("block", "band").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("chunks"))
+    cut = written(cut, "shingle-cuts")
+
+    def cells_with(step: int, alias: str) -> DataFrame:
+        """The chunks of the size class ``step`` above each class."""
+        return cut.select(F.col("block").alias(f"b{alias}"), (F.col("band") - step).alias(f"d{alias}"), F.col("chunks").alias(alias))
+
+    same = lambda alias: (F.col("block") == F.col(f"b{alias}")) & (F.col("band") == F.col(f"d{alias}"))
+    reps = sized
+    for step, alias in ((0, "own"), (1, "above"), (-1, "below")):
+        reps = reps.join(cells_with(step, alias), same(alias), "left")
+    chunk = F.pmod(F.xxhash64("h1", "h2"), F.col("own")).cast("int")
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda low, c, high, o: F.struct(
+        low.alias("low"), c.cast("int").alias("chunk"), high.alias("high"), o.cast("int").alias("other")
+    )
+    own, above, below = (F.coalesce(F.col(c), F.lit(0)) for c in ("own", "above", "below"))
+    band = F.col("band")
+    # a chunk meets the chunks of its own size class and of the next ones; where it is the only one of its
+    # class, it meets itself on the way
+    alone = (own == 1) & (above + below > 0)
+    with_own = F.when(alone, F.array().cast("array<int>")).otherwise(places(own))
+    meets = F.concat(
+        F.transform(with_own, lambda o: cell(band, F.least(chunk, o), band, F.greatest(chunk, o))),
+        F.transform(places(above), lambda o: cell(band, chunk, band + 1, o)),
+        F.transform(places(below), lambda o: cell(band - 1, o, band, chunk)),
+    )
+    single = F.array(cell(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
+    reps = reps.select("block", "rep", F.when(F.col("large"), meets).otherwise(single).alias("cells"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
             raw = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
             yield pa.record_batch([batch.column(c) for c in names] + [raw], names=[*names, "set"])
 
-    names = ["block", "band", "chunk", "large", "rep"]
-    wanted = reps.select(F.col("rep").alias("r"), *[c for c in names if c != "rep"], "h1", "h2")
+    names = ["block", "cells", "rep"]
+    wanted = written(reps.select(F.col("rep").alias("r"), "block", "cells"), "shingle-cells")
     chosen = only_marked(texts, "id", wanted.select("r")).join(wanted, F.col("id") == F.col("r")).withColumnRenamed("r", "rep")
-    loaded = chosen.select(*names, "text").mapInArrow(load, "block long, band int, chunk int, large boolean, rep long, set binary")
-    loaded = written(loaded, "shingle-sets")
+    cells_type = wanted.schema["cells"].dataType.simpleString()
+    loaded = chosen.select(*names, "text").mapInArrow(load, f"block long, cells {cells_type}, rep long, set binary")
     # an id with several texts may stand for one of them only; each of its sets comes along
-    small = loaded.where("not large").select(
-        "*", F.col("band").alias("other_band"), F.col("chunk").alias("other"), F.lit(True).alias("asks")
-    )
-
-    large = loaded.where("large")
-    pivots = large.groupBy("block").agg(F.min_by("set", "rep").alias("pivot"), F.min("rep").alias("pivot_id"))
-    every = cut.select("c_block", F.col("c_band").alias("p_band"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("p_chunk"))
-    per_chunk = pivots.join(every, F.col("block") == F.col("c_block")).select(
-        F.col("block").alias("p_block"), "p_band", "p_chunk", "pivot", "pivot_id"
-    )
-    compared = large.join(
-        per_chunk, (F.col("block") == F.col("p_block")) & (F.col("band") == F.col("p_band")) & (F.col("chunk") == F.col("p_chunk"))
-    )
-
-    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
-            linked = []
-            for a, b in zip(batch.column("set"), batch.column("pivot")):
-                one, two = (np.frombuffer(x.as_py(), "<u8") for x in (a, b))
-                overlap = len(np.intersect1d(one, two, assume_unique=True))
-                linked.append(bool(jaccard.holds(overlap, len(one), len(two))))
-            yield pa.record_batch(
-                [batch.column("block"), batch.column("rep"), batch.column("pivot_id"), pa.array(linked)], names=["block", "rep", "pivot_id", "linked"]
-            )
-
-    tested = written(
-        compared.select("block", "rep", "pivot_id", "set", "pivot").mapInArrow(with_pivot, "block long, rep long, pivot_id long, linked boolean"),
-        "shingle-pivots",
-    )
-    hub_links = tested.where("linked and rep <> pivot_id").select(F.col("pivot_id").alias("a"), F.col("rep").alias("b"))
-    askers = tested.groupBy("rep").agg(F.bool_and("linked").alias("linked")).where("not linked").select(F.col("rep").alias("asker"))
-    asking = large.join(askers, F.col("rep") == F.col("asker"), "left_semi")
-    # each chunk of askers meets each chunk of the classes its partners can be in
-    near = lambda c: F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1))))
-    meet = written(asking.select("block", "band", "chunk").distinct(), "shingle-asking").select(
-        F.col("block").alias("m_block"), F.col("band").alias("m_band"), F.col("chunk").alias("m_chunk"), near("band").alias("m_near")
-    )
-    asked = large.join(meet, (F.col("block") == F.col("m_block")) & (F.col("band") == F.col("m_near"))).select(
-        "block", F.col("m_band").alias("band"), F.col("m_chunk").alias("chunk"), F.col("band").alias("other_band"),
-        F.col("chunk").alias("other"), "rep", "set", F.lit(False).alias("asks"),
-    )
-    askers_out = asking.withColumn("near", near("band")).join(cut, (F.col("block") == F.col("c_block")) & (F.col("near") == F.col("c_band")))
-    askers_out = askers_out.select(
-        "block", "band", "chunk", F.col("near").alias("other_band"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"),
-        "rep", "set", F.lit(True).alias("asks"),
-    )
-    columns = ["block", "band", "chunk", "other_band", "other", "rep", "set", "asks"]
-    cells = small.select(*columns).unionByName(asked.select(*columns)).unionByName(askers_out.select(*columns))
+    cells = loaded.select("block", F.explode("cells").alias("cell"), "rep", "set").select("block", "cell.*", "rep", "set")
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, "<u8") for s in cell["set"]]
         forest = Forest(len(sets))
-        search(sets, np.flatnonzero(cell["asks"]), jaccard, forest)
+        search(sets, np.arange(len(sets)), jaccard, forest)
         rep = cell["rep"].to_numpy()
         ends = np.array(forest.edges, dtype=int).reshape(-1, 2)
         return pd.DataFrame({"a": rep[ends[:, 0]], "b": rep[ends[:, 1]]}, dtype="int64")
 
-    links = cells.groupBy("block", "band", "chunk", "other_band", "other").applyInPandas(link, "a long, b long")
-    found = connected_components(links.unionByName(copies).unionByName(hub_links))
+    links = cells.groupBy("block", "low", "chunk", "high", "other").applyInPandas(link, "a long, b long")
+    found = connected_components(links.unionByName(copies))
     return digests.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )

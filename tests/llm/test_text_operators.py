@@ -114,7 +114,7 @@ def components_by_hand(rows, k, num, den):
     return Counter((r[0], len(s), None if r[0] is None else find(r[0])) for r, s in zip(rows, sets))
 
 
-@pytest.mark.parametrize("k, num, den, cell", [(4, 85, 100, 1_000_000), (5, 4, 5, 1_000_000), (4, 85, 100, 100), (1, 4, 5, 60)])
+@pytest.mark.parametrize("k, num, den, cell", [(4, 85, 100, 3_000_000), (5, 4, 5, 3_000_000), (4, 85, 100, 100), (1, 4, 5, 60)])
 def test_shingle_join(spark, monkeypatch, k, num, den, cell):
     monkeypatch.setattr(ngram_join, "CELL_SHINGLES", cell)
     rows = invented(k * 7 + cell, n_docs=90)
