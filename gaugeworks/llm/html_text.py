@@ -22,7 +22,8 @@ from gaugeworks.llm.common import arrow_batches, prepare
 from gaugeworks.llm.labelled_blocks import PAGES
 
 # HTML's element names by role.
-UNSEEN = "head script style noscript template iframe object svg math canvas select option textarea button title audio video".split()
+UNSEEN = "script style noscript template iframe object svg math canvas select option textarea button title audio video".split()
+RAW = "script style noscript iframe textarea title".split()  # nothing but their own end tag is markup in them
 BLOCKS = (
     "html body p div section article main nav header footer aside form ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset legend details summary dialog menu hr center search"
@@ -47,6 +48,8 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
+_SCRIPT_PART = re.compile(r"(?P<open><!--)|(?P<shut>-->)|<(?P<end>/?)script(?=[\s/>])", re.I)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _PART = re.compile(r"[a-z]+")
 _UNSEEN, _BLOCKS, _CONTAINERS, _ASIDE, _MAIN, _OWN_HEADER = map(frozenset, (UNSEEN, BLOCKS, CONTAINERS, ASIDE, MAIN, OWN_HEADER))
@@ -88,10 +91,36 @@ def _region(name: str, attrs: str, above: tuple[bool, bool]) -> tuple[bool, bool
     return aside, main
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where an element with raw text ends that holds what follows ``at``; without an end tag, the page's end."""
+    ends = _RAW_END[name]
+    first = ends.search(page, at)
+    if first is None:
+        return len(page)
+    if name == "script" and page.find("<!--", at, first.start()) >= 0:
+        # between <!-- and --> a script may hold script elements as text
+        hidden = nested = False
+        part = _SCRIPT_PART.search(page, at)
+        while part:
+            if part["open"]:
+                hidden = True
+            elif part["shut"]:
+                hidden = nested = False
+            elif not part["end"]:
+                nested = hidden
+            elif nested:
+                nested = False
+            elif end := ends.match(page, part.start()):
+                return end.end()
+            part = _SCRIPT_PART.search(page, part.start() + 2)
+    return first.end()
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Texts of a page's blocks with words in them, in order, each with its own features."""
     found: list[_Block] = []
     now, unseen, in_link = _Block(), None, False
+    opened, unclosed = 0, set()
     stack: list[tuple[str, tuple[bool, bool]]] = [("", (False, False))]
 
     def close(heading: bool = False) -> None:
@@ -101,21 +130,37 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         aside, main = stack[-1][1]
         now = _Block(aside=aside, main=main, heading=heading)
 
-    for token in _TOKEN.finditer(page):
+    tokens = _TOKEN.finditer(page)
+    while (token := next(tokens, None)) or unseen:
+        if token is None:
+            # never closed: the rest of the page is not its content
+            unclosed.add(unseen)
+            unseen, tokens = None, _TOKEN.finditer(page, opened)
+            continue
         name = token["name"] or token["name2"]
         if name:
             name, end = name.lower(), bool(token["end"] or token["end2"])
+            attrs = token["attrs"] or ""
+            void = attrs.rstrip().endswith("/")
+            if name in _RAW_END and not end:
+                # a self-closed element has nothing to skip
+                if not (void and (name == "iframe" or unseen in ("svg", "math"))):
+                    tokens = _TOKEN.finditer(page, _raw_end(page, name, token.end()))
+                if name == "title" and not unseen:
+                    close()
+                continue
+            if unseen == "option" and (name in _BLOCKS or name in ("option", "optgroup", "select", "datalist")):
+                unseen = None  # its end tag is optional
             if unseen:
                 unseen = None if end and name == unseen else unseen
                 continue
-            attrs = token["attrs"] or ""
-            if not end and name in _UNSEEN:
-                # a void or self-closed element has nothing to skip
-                unseen = None if attrs.rstrip().endswith("/") and name in ("svg", "math", "object", "iframe") else name
-                if name == "title" or name == "head":
-                    close()
+            if not end and name in _UNSEEN and name not in unclosed:
+                if not (void and name in ("svg", "math", "object")):
+                    unseen, opened = name, token.end()
                 continue
-            if name == "a":
+            if name == "head":
+                close()  # what may stand in it has no text or is unseen; anything else ends it
+            elif name == "a":
                 in_link = not end
             elif name == "br":
                 if now.text:

@@ -108,6 +108,23 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><body><article><p>One.<p>Two.</article>", ["One.", "Two."]),
+        ("<html><head><title>x</title><meta charset=utf-8><article><p>One.</article>", ["One."]),
+        ("<p>One.<script>for(var i=0;i<n;i++){f()}</script><p>Two.<script>g()</script>", ["One.", "Two."]),
+        ("<head><style>a<b{}</style><script>if(a<b)c('</p>')</SCRIPT ></head><p>One.", ["One."]),
+        ("<p>One.<script><!-- a </script><p>Two.", ["One.", "Two."]),
+        ("<p>One.<script><!-- w('<script>x</script>') //--></script><p>Two.<textarea>a <b </textarea><p>Three.", ["One.", "Two.", "Three."]),
+        ("<datalist><option>a<option>b</datalist><p>One.<select><option>c<option>d</select><p>Two.", ["One.", "Two."]),
+        ("<svg><title>t</title><style/><text>a</text></svg><p>One.<canvas><p>Two.", ["One.", "Two."]),
+    ],
+)
+def test_unseen_elements_end(page, texts):
+    assert [text for text, _ in html_text.blocks(page)] == texts
+
+
 def test_articles_of_the_test_pages(spark):
     """The markup of these pages is simple enough to cut out the article by hand."""
     import html
