@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ ASIDE = (
     "breadcrumb breadcrumbs pagination pager widget popup modal overlay toolbar tags copyright legal complementary contentinfo "
     "search form skip outbrain taboola teaser"
 ).split()
+REGIONS = "nav aside footer menu dialog search".split()  # elements that are such regions themselves
 MAIN = "article post entry story content main maincontent articlebody".split()
 OWN_HEADER = "article post entry story".split()  # with these, a header is the text's own
 
@@ -52,17 +54,29 @@ _RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW
 _SCRIPT_PART = re.compile(r"(?P<open><!--)|(?P<shut>-->)|<(?P<end>/?)script(?=[\s/>])", re.I)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _PART = re.compile(r"[a-z]+")
-_UNSEEN, _BLOCKS, _CONTAINERS, _ASIDE, _MAIN, _OWN_HEADER = map(frozenset, (UNSEEN, BLOCKS, CONTAINERS, ASIDE, MAIN, OWN_HEADER))
+_UNSEEN, _BLOCKS, _CONTAINERS, _ASIDE, _REGIONS, _MAIN, _OWN_HEADER = map(
+    frozenset, (UNSEEN, BLOCKS, CONTAINERS, ASIDE, REGIONS, MAIN, OWN_HEADER)
+)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "heading", "outside")
 
 
+class _Place(NamedTuple):
+    """Where an element stands: the regions and the article that hold it."""
+
+    aside: bool = False
+    main: bool = False
+    fixed: bool = False  # set aside by an element that is never a wrapper
+    wrappers: tuple[int, ...] = ()  # other elements that set it aside, outside any article
+    article: int = 0  # the outermost one
+    aside_inside: bool = False  # set aside by an element inside that article
+
+
 @dataclass
 class _Block:
     text: list[str] = field(default_factory=list)
     link_words: int = 0
-    aside: bool = False
-    main: bool = False
+    place: _Place = _Place()
     heading: bool = False
 
 
@@ -75,20 +89,54 @@ def _named(attrs: str) -> set[str]:
     return found
 
 
-def _region(name: str, attrs: str, above: tuple[bool, bool]) -> tuple[bool, bool]:
-    """Whether what an element holds is set aside, and whether it is in a main region."""
-    aside, main = above
-    words = _named(attrs) if attrs else ()
-    if name in ("nav", "aside", "footer", "form", "menu", "dialog", "search") or (name == "header" and not main):
-        aside = True
-    elif name in ("article", "main"):
+def _region(name: str, attrs: str, above: _Place, serial: int) -> _Place:
+    """The place of what an element holds; ``serial`` tells elements apart."""
+    main, words = above.main, _named(attrs) if attrs else set()
+    named_aside, named_main = not _ASIDE.isdisjoint(words), not _MAIN.isdisjoint(words)
+    sets_aside = name in _REGIONS or name == "form" or (name == "header" and not main)
+    if name in ("article", "main"):
+        main = True
+    elif named_aside and name not in ("html", "body"):
+        sets_aside = True
+    elif named_main:
         main = True
-    if words:
-        if not _ASIDE.isdisjoint(words) and name not in ("html", "body", "article", "main"):
-            aside = True
-        elif not _MAIN.isdisjoint(words):
-            main = True
-    return aside, main
+    place = above._replace(main=main)
+    if sets_aside:
+        place = place._replace(aside=True)
+        if above.article:
+            return place._replace(aside_inside=True)
+        return place._replace(fixed=True) if name in _REGIONS or name == "header" else place._replace(wrappers=(*above.wrappers, serial))
+    if above.fixed or above.article:
+        return place
+    if name == "main":
+        # a page has one, so that what it stands in are wrappers
+        return place._replace(aside=False, wrappers=())
+    return place._replace(article=serial) if name == "article" and (named_main or not named_aside) else place
+
+
+def _lift_wrappers(found: list[_Block]) -> None:
+    """Undo what wrappers set aside where the page's articles stand in them.
+
+    Of the page's articles the ones least deep in regions set aside count, of these the ones in the region
+    that holds the longest of them, if it is longer than the main text that is in no article and not set
+    aside. Articles elsewhere (comments, teasers) stay set aside.
+    """
+    n_words: dict[int, int] = {}
+    wrappers: dict[int, tuple[int, ...]] = {}
+    outside = 0
+    for b in found:
+        if b.place.article and not b.place.aside_inside:
+            n_words[b.place.article] = n_words.get(b.place.article, 0) + len("".join(b.text).split())
+            wrappers[b.place.article] = b.place.wrappers
+        elif b.place.main and not b.place.aside and not b.place.article:
+            outside += len("".join(b.text).split())
+    if n_words:
+        least = min(map(len, wrappers.values()))
+        longest = max((k for k in n_words if len(wrappers[k]) == least), key=n_words.get)
+        if n_words[longest] > outside:
+            for b in found:
+                if b.place.article and b.place.wrappers == wrappers[longest]:
+                    b.place = b.place._replace(aside=b.place.aside_inside)
 
 
 def _raw_end(page: str, name: str, at: int) -> int:
@@ -121,14 +169,13 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     found: list[_Block] = []
     now, unseen, in_link = _Block(), None, False
     opened, unclosed = 0, set()
-    stack: list[tuple[str, tuple[bool, bool]]] = [("", (False, False))]
+    stack: list[tuple[str, _Place]] = [("", _Place())]
 
     def close(heading: bool = False) -> None:
         nonlocal now
         if now.text:
             found.append(now)
-        aside, main = stack[-1][1]
-        now = _Block(aside=aside, main=main, heading=heading)
+        now = _Block(place=stack[-1][1], heading=heading)
 
     tokens = _TOKEN.finditer(page)
     while (token := next(tokens, None)) or unseen:
@@ -170,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                     stack[1:] = []
                 if name in _CONTAINERS and not attrs.rstrip().endswith("/"):
                     if not end:
-                        stack.append((name, _region(name, attrs, stack[-1][1])))
+                        stack.append((name, _region(name, attrs, stack[-1][1], token.end())))
                     elif any(n == name for n, _ in stack):
                         while stack.pop()[0] != name:
                             pass
@@ -178,19 +225,20 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 else:
                     close(heading=not end and name[0] == "h" and name[1:].isdigit())
                     if not end and attrs:
-                        now.aside, now.main = _region(name, attrs, stack[-1][1])
+                        now.place = _region(name, attrs, stack[-1][1], token.end())
         elif token["text"] is not None and not unseen:
             text = html.unescape(token["text"])
             now.text.append(text)
             if in_link:
                 now.link_words += len(text.split())
     close()
+    _lift_wrappers(found)
 
     out = []
     for b in found:
         words = "".join(b.text).split()
         if words:
-            own = [len(words), min(1.0, b.link_words / len(words)), float(b.aside), float(b.main), float(b.heading)]
+            own = [len(words), min(1.0, b.link_words / len(words)), float(b.place.aside), float(b.place.main), float(b.heading)]
             out.append((" ".join(words), own))
     return out
 
@@ -198,12 +246,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 def features(own: list[list[float]]) -> np.ndarray:
     """The features of a page's blocks, neighbours included; outside the page there are no words.
 
-    The last one tells blocks outside the main regions of a page that has such regions.
+    The last one tells blocks outside the main regions of a page that has such regions, not set aside.
     """
     a = np.array(own, dtype=float).reshape(-1, 5)
     none = np.zeros((1, 2))
     before, after = np.vstack([none, a[:-1, :2]])[: len(a)], np.vstack([a[1:, :2], none])[: len(a)]
-    outside = (a[:, 3] == 0) & (a[:, 3] > 0).any()
+    outside = (a[:, 3] == 0) & ((a[:, 3] > 0) & (a[:, 2] == 0)).any()
     return np.hstack([a[:, :2], before, after, a[:, 2:], outside[:, None]])
 
 

@@ -27,6 +27,12 @@ PAGES = (
     <p>- {_LONG}</p><div>- Made somewhere with care.</div><div>- {_LONG} {_LONG}</div></body>""",
     f"""<body><p>- Today it rains.</p><main><h2>+ Sources</h2><p><a href=/1>+ one</a></p><p><a href=/2>+ two</a></p><p>+ {_LONG}</p></main><p>- {_LONG}</p>
     <div><a href=/5>- Terms</a></div></body>""",
+    # wrappers that are named like the regions they hold
+    f"""<body><div class="layout has-sidebar"><div class="content no-comments"><article><h1>+ A wrapped headline</h1><p>+ {_LONG}</p><p>+ Yes.</p>
+    <div class="share">- Share</div><p>+ {_LONG}</p></article><div id="comments"><article class="comment"><p>- {_LONG}</p></article></div></div>
+    <div class="sidebar"><p>- {_LONG}</p><a href=/1>- more</a></div></div><footer>- {_LONG}</footer></body>""",
+    f"""<body><form id="aspnet"><div>- Site</div><main><h1>+ All of the page is a form</h1><p>+ {_LONG}</p><p>+ So it is.</p><form><label>- Your mail</label>
+    </form><aside>- {_LONG}</aside></main><div>- {_LONG}</div></form></body>""",
     # nothing is named: words, links and neighbours decide
     f"""<body><div><a href=/1>- Home</a> <a href=/2>About</a> <a href=/3>Contact</a></div><div><a href=/4>- Archive</a></div><div><h1>+ Plain page</h1>
     <p>+ {_LONG}</p><p>+ {_LONG} {_LONG}</p><p>+ {_LONG}</p></div><div><a href=/5>- Next</a> <a href=/6>Previous</a></div><div>- Copyright</div></body>""",

@@ -125,6 +125,28 @@ def test_unseen_elements_end(page, texts):
     assert [text for text, _ in html_text.blocks(page)] == texts
 
 
+_SAID = "This paragraph has a number of words, so that it is as long as text usually is, and then it ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='has-sidebar'><article><h1>+ T</h1><p>+ {_SAID}<p>+ No.</article><div class=sidebar><p>{_SAID}</div></div>",
+        f"<form action=/><main><p>+ {_SAID}<p>+ No.<form><p>{_SAID}</form><aside>{_SAID}</aside></main><p>{_SAID}</form>",
+        f"<div class='content no-comments'><article><p>+ {_SAID}</article><ol class=comments><li><article><p>{_SAID} {_SAID}</article></ol></div>",
+        f"<article><p>+ {_SAID}</article><div class=related><article><p>{_SAID} {_SAID}</article></div>",
+        f"<div class='has-sidebar'><div class=promo><article><p>{_SAID}</article></div><article><p>+ {_SAID}</article></div>",
+        f"<main><div class='has-sidebar'><article><p>+ {_SAID}<div class=ad>Buy it.</div><p>+ No.</article></div></main>",
+        f"<main><p>+ {_SAID} {_SAID}</p><div id=comments><article><p>{_SAID}</article><article><p>{_SAID}</article></div></main>",
+        f"<aside><article><p>{_SAID}</article></aside><p>+ {_SAID}",
+    ],
+)
+def test_wrappers_do_not_set_articles_aside(page):
+    found = html_text.blocks(page)
+    main = html_text.train().predict(html_text.features([own for _, own in found]))
+    assert main.tolist() == [text.startswith("+ ") for text, _ in found]
+
+
 def test_articles_of_the_test_pages(spark):
     """The markup of these pages is simple enough to cut out the article by hand."""
     import html
