@@ -27,15 +27,22 @@ MAX_REPEAT_PERCENT = 30
 SLICE_BYTES = 1 << 20
 
 #: Part of a group's rows inside the estimate, and the factor that makes its covariance consistent
-#: for a normal distribution in five dimensions: 0.75 / P(chi2(7) <= 6.626), 6.626 = chi2(5) at 0.75.
-INNER = 0.75
-CONSISTENCY = 1.41
-#: Squared distance beyond which a row is an outlier, far out in the tail of chi2(5).
-CUTOFF = 60.0
+#: for a normal distribution in five dimensions: 0.5 / P(chi2(7) <= 4.351), 4.351 = chi2(5) at 0.5.
+INNER = 0.5
+CONSISTENCY = 1.912
+#: Squared distance up to which rows count in the last estimate, chi2(5) at 0.975, and its factor:
+#: 0.975 / P(chi2(7) <= 12.833). Without it the inner half's estimate rejects the longest clean texts.
+LAST_WITHIN = 12.833
+LAST_CONSISTENCY = 1.0555
+#: Squared distance beyond which a row is an outlier, chi2(5) at 0.999.
+CUTOFF = 20.515
 #: Standard deviations below which a statistic is not told apart: clean texts share many exact values.
-FLOOR = (0.25, 0.10, 0.15, 0.20, 0.12)
+#: Alone, and without spread, a statistic rejects at 3.1 times the usual words, 1.6 times their length, 1 symbol
+#: per 100 characters, 1.5 repeated lines per 100 words or 13 % of words in repeated passages.
+FLOOR = (0.25, 0.10, 0.15, 0.20, 0.08)
 MIN_GROUP = 50
-STEPS = 4
+#: An estimate stands still when a step lowers the logarithm of its determinant by less.
+STILL = 1e-3
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -128,22 +135,42 @@ def _distance(centre: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _with_inverse(sums: DataFrame) -> DataFrame:
-    """Estimates per group from sums over the rows inside: centre and inverse covariance."""
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with no variance, in any direction, below that of ``FLOOR``; larger ones stay."""
+    scale = np.outer(FLOOR, FLOOR)
+    values, vectors = np.linalg.eigh(cov / scale)
+    return (vectors * np.maximum(values, 1)) @ vectors.T * scale
+
+
+def _sums(inside: DataFrame, *also: Column) -> DataFrame:
+    """Number, sums and sums of products per group, from which ``_with_inverse`` makes estimates."""
+    x = [F.element_at("x", i + 1) for i in range(P)]
+    return inside.groupBy("key").agg(
+        F.count("*").cast("double").alias("n"),
+        F.array(*(F.sum(v) for v in x)).alias("first"),
+        F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("second"),
+        *also,
+    )
+
+
+def _with_inverse(sums: DataFrame, consistency: float) -> DataFrame:
+    """Estimates per group from sums over the rows inside: centre, inverse covariance, size, and if it stands still."""
 
     def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            centres, inverses = [], []
+            centres, inverses, sizes = [], [], []
             for n, first, second in zip(frame["n"], frame["first"], frame["second"]):
                 centre, cov = np.array(first) / n, np.zeros((P, P))
                 for (i, j), s in zip(_PAIRS, second):
                     cov[i, j] = cov[j, i] = s / n - centre[i] * centre[j]
-                cov = CONSISTENCY * cov + np.diag(np.square(FLOOR))
+                cov = floored(consistency * cov)
                 centres.append(centre.tolist())
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
-            yield frame[["key"]].assign(centre=centres, inverse=inverses)
+                sizes.append(float(np.linalg.slogdet(cov)[1]))
+            still = np.array(sizes) > frame["size"].to_numpy(float) - STILL
+            yield frame[["key"]].assign(centre=centres, inverse=inverses, size=sizes, still=still)
 
-    return sums.mapInPandas(invert, "key string, centre array<double>, inverse array<double>")
+    return sums.mapInPandas(invert, "key string, centre array<double>, inverse array<double>, size double, still boolean")
 
 
 def judge(
@@ -157,9 +184,10 @@ def judge(
     """Per row: id, the five statistics, ``base_failed``, ``distance`` (squared) and ``kept``.
 
     Estimates come from rows that pass the base rules. A group of fewer than ``MIN_GROUP`` such rows is
-    judged with the other small groups of its first column (the language), then with all that is left;
-    where even those are few, ``distance`` is null and the base rules decide. Null groups are groups of
-    their own. A null text has no words and fails. Repeated rows stay; an empty table gives no rows.
+    judged with the other small groups of its first column (the language); where those are few, by the
+    estimate over all rows, and ``distance`` is null, as it would be from no group of the row's own. Where
+    even all rows are few, the base rules decide. Null groups are groups of their own. A null text has no
+    words and fails. Repeated rows stay; an empty table gives no rows.
     """
     stats = statistics(docs, id_col=id_col, text_col=text_col, group_cols=group_cols)
     rows = written(stats.withColumn("x", F.array(*transformed())), "quality")
@@ -181,40 +209,38 @@ def judge(
     )
     keys = written(keys, "quality-keys")
     same = F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1"))
-    keyed = good.join(keys, same).select("key", "x")
+    keyed = good.join(keys.where(F.col("key") != "all"), same).select("key", "x")
+    if not keys.where(F.col("key") == "all").isEmpty():
+        keyed = keyed.unionByName(good.select(F.lit("all").alias("key"), "x"))
 
     centre = [F.percentile_approx(F.element_at("x", i + 1), 0.5, 1000) for i in range(P)]
     spread = [F.percentile_approx(F.element_at("x", i + 1), F.array(F.lit(0.25), F.lit(0.75)), 1000) for i in range(P)]
-    start = keyed.groupBy("key").agg(F.array(*centre).alias("centre"), F.array(*spread).alias("spread"))
+    start = keyed.groupBy("key").agg(F.array(*centre).alias("centre"), F.array(*spread).alias("spread"), F.count("*").alias("n"))
+    start = start.where(F.col("n") >= MIN_GROUP)
     # a first diagonal estimate: medians, and quartiles as of a normal distribution
     sd = [(F.element_at("spread", i + 1)[1] - F.element_at("spread", i + 1)[0]) / 1.349 for i in range(P)]
     zero = F.lit(0.0)
-    diagonal = [1 / (sd[i] * sd[i] + FLOOR[i] ** 2) if i == j else zero for i in range(P) for j in range(P)]
-    estimate = written(start.select("key", "centre", F.array(*diagonal).alias("inverse")), "quality-estimate")
+    diagonal = [1 / F.greatest(sd[i] * sd[i], F.lit(FLOOR[i] ** 2)) if i == j else zero for i in range(P) for j in range(P)]
+    size, still = F.lit(float("inf")).alias("size"), F.lit(False).alias("still")
+    estimate = written(start.select("key", "centre", F.array(*diagonal).alias("inverse"), size, still), "quality-estimate")
 
-    x = [F.element_at("x", i + 1) for i in range(P)]
-    for _ in range(STEPS):
-        near = keyed.join(estimate, "key").select("key", "x", _distance(F.col("centre"), F.col("inverse")).alias("d"))
+    # each step lowers every moving group's determinant by a factor, and floors bound it, so that this ends
+    while not (moving := estimate.where("not still")).isEmpty():
+        near = keyed.join(moving, "key").select("key", "x", "size", _distance(F.col("centre"), F.col("inverse")).alias("d"))
         # written, so that Spark knows how small it is and need not deal out the rows by group
         limit = written(near.groupBy("key").agg(F.percentile_approx("d", INNER, 1000).alias("limit")), "quality-limit")
-        sums = (
-            near.join(limit, "key")
-            .where("d <= limit")
-            .groupBy("key")
-            .agg(
-                F.count("*").cast("double").alias("n"),
-                F.array(*(F.sum(v) for v in x)).alias("first"),
-                F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("second"),
-            )
-            .where(F.col("n") >= INNER * MIN_GROUP / 2)
-        )
-        estimate = written(_with_inverse(sums), "quality-estimate")
-
-    verdict = rows.join(keys.join(estimate, "key", "left"), same, "left").withColumn(
-        "distance", F.when(~F.col("base_failed"), _distance(F.col("centre"), F.col("inverse")))
-    )
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
-    return verdict.select(F.col("id").alias(id_col), *STATISTICS, "base_failed", "distance", kept.alias("kept"))
+        sums = _sums(near.join(limit, "key").where("d <= limit"), F.max("size").alias("size"))
+        estimate = written(estimate.where("still").unionByName(_with_inverse(sums, CONSISTENCY)), "quality-estimate")
+
+    near = keyed.join(estimate, "key").where(_distance(F.col("centre"), F.col("inverse")) <= LAST_WITHIN)
+    last = _sums(near.select("key", "x"), F.lit(float("inf")).alias("size"))
+    estimate = written(_with_inverse(last, LAST_CONSISTENCY), "quality-estimate")
+
+    squared = _distance(F.col("centre"), F.col("inverse"))
+    verdict = rows.join(keys.join(estimate, "key", "left"), same, "left").withColumn("squared", F.when(~F.col("base_failed"), squared))
+    kept = ~F.col("base_failed") & (F.col("squared").isNull() | (F.col("squared") <= cutoff))
+    distance = F.when(F.col("key") != "all", F.col("squared")).alias("distance")
+    return verdict.select(F.col("id").alias(id_col), *STATISTICS, "base_failed", distance, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -196,6 +196,34 @@ def test_quality_rejects_outliers_of_their_group_only(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in clean}
 
 
+def test_quality_floors_only_small_variances():
+    assert np.allclose(quality.floored(np.zeros((5, 5))), np.diag(np.square(quality.FLOOR)))
+    wide = np.diag([4.0, 1.0, 1.0, 1.0, 1.0]) + 0.5
+    assert np.allclose(quality.floored(wide), wide)
+    assert np.linalg.cond(quality.floored(np.ones((5, 5)))) < 1e4
+
+
+def test_quality_rejects_moderate_junk_large_parts_and_small_groups(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    clean = [(i, " ".join(words(rng.randint(150, 300))), "en", "s1") for i in range(150)]
+    symbols = [(1000 + i, " ".join(words(180) + [word() + "#" for _ in range(20)]), "en", "s1") for i in range(3)]
+    passage = words(25)  # no line is repeated
+    passages = [(1100 + i, " ".join(passage + words(75) + passage + words(75)), "en", "s1") for i in range(3)]
+    verdict = {r.doc_id: r for r in quality.judge(frame(spark, clean + symbols + passages)).collect()}
+    assert sum(verdict[r[0]].kept for r in clean) >= 148
+    assert not any(verdict[r[0]].kept or verdict[r[0]].base_failed for r in symbols + passages)
+
+    # more than a third of a group, and a language too small for an estimate of its own
+    many = [(2000 + i, " ".join(w + "%" for w in words(200)), "en", "s1") for i in range(85)]
+    few = [(3000 + i, " ".join(words(200)), "xx", f"t{i}") for i in range(3)]
+    few_odd = [(3100 + i, " ".join(w + "%%" for w in words(200)), "xx", f"t{i}") for i in range(3)]
+    verdict = {r.doc_id: r for r in quality.judge(frame(spark, clean + many + few + few_odd)).collect()}
+    assert sum(verdict[r[0]].kept for r in clean) >= 148 and all(verdict[r[0]].kept for r in few)
+    assert not any(verdict[r[0]].kept for r in many + few_odd)
+
+
 # ---- BPE and token counts
 
 HARD = [
