@@ -6,7 +6,8 @@ when its inner product with the direction is large. List decoding finds all filt
 block by block, dropping beginnings that cannot reach the threshold any more, without looking at all
 directions. Vectors of one label that pass a common filter are compared exactly. Codes of few blocks, and
 several of them in rotations of their own, keep the number of filters a vector passes near its mean: with
-the settings here 998 of 1000 random pairs of cosine 0.93 in 64 dimensions meet, and more above it.
+the settings here 998 of 1000 random pairs of cosine 0.93 in 64 dimensions meet, and more above it. Vectors of
+few components have codes of one block, with caps and words by the angle of a link.
 
 Equal vectors are one row with a count. A bucket (label and filter) of many vectors is cut into cells of
 bounded size. A pair counts in its smallest common filter only. Cells give one number per vector and the
@@ -31,6 +32,8 @@ BLOCKS = 2
 CODEWORDS = 512
 CODES = 4
 FILTERS_PER_VECTOR = 16  # of each code
+SMALL_DIM = 12  # below, a code is one block
+SMALL_WORDS = 4096  # of such a block, at most
 CELL_ROWS = 512
 FLUSH_ROWS = 8192  # more than a cell has
 CELL = ("label", "dim", "filter", "first", "second")
@@ -76,14 +79,31 @@ class ProductCode:
         return found
 
 
+def small_code(dim: int, per_vector: int, min_cosine: float, seed: int) -> ProductCode:
+    """One block for vectors of few components, most of which are far from every sum of words of several blocks.
+
+    Caps are twice as wide as the angle of a link, or wider, so that those of linked vectors overlap well,
+    and there are as many words as bring a vector into ``per_vector`` caps on average.
+    """
+    trial = np.random.RandomState(seed).normal(size=(200_000, dim))
+    cosines = trial[:, 0] / np.linalg.norm(trial, axis=1)
+    widest = np.cos(min(np.pi, 2 * np.arccos(np.clip(min_cosine, -1, 1))))
+    threshold = min(widest, float(np.quantile(cosines, max(0.0, 1 - per_vector / SMALL_WORDS)))) - 1e-9
+    code = ProductCode(dim, 1, max(1, round(per_vector / np.mean(cosines >= threshold))), per_vector, seed)
+    code.threshold = threshold
+    return code
+
+
 @lru_cache(8)
-def product_codes(dim: int, blocks: int, codewords: int, codes: int, per_vector: int, seed: int) -> list[ProductCode]:
+def product_codes(dim: int, blocks: int, codewords: int, codes: int, per_vector: int, min_cosine: float, seed: int) -> list[ProductCode]:
+    if dim < SMALL_DIM:
+        return [small_code(dim, per_vector, min_cosine, seed + k) for k in range(codes)]
     return [ProductCode(dim, blocks, codewords, per_vector, seed + k) for k in range(codes)]
 
 
 def decode_all(codes: list[ProductCode], unit: np.ndarray) -> list[np.ndarray]:
     """The sorted numbers of the filters each vector passes, of all codes."""
-    every = codes[0].words[0].shape[1] ** len(codes[0].words)
+    every = max(c.words[0].shape[1] ** len(c.words) for c in codes)
     return [np.concatenate([f + k * every for k, f in enumerate(found)]) for found in zip(*(c.decode(unit) for c in codes))]
 
 
@@ -204,7 +224,7 @@ def link_vectors(
             filters = [None] * len(lists)
             for dim in {len(v) for v in lists}:
                 at = [k for k, v in enumerate(lists) if len(v) == dim]
-                own = product_codes(dim, blocks, codewords, codes, per_vector, seed)
+                own = product_codes(dim, blocks, codewords, codes, per_vector, min_cosine, seed)
                 for k, found in zip(at, decode_all(own, unit_rows(np.stack([lists[k] for k in at])))):
                     filters[k] = found
             names = [*key, "rep", "copies"]

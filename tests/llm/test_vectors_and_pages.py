@@ -86,6 +86,22 @@ def test_list_decoding_finds_every_filter():
         assert (got == want)[sure].all()
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 5, 6, 8, 11, 12, 64])
+def test_linked_pairs_meet_in_a_filter(dim):
+    own = embedding_dedup
+    codes = own.product_codes(dim, own.BLOCKS, own.CODEWORDS, own.CODES, own.FILTERS_PER_VECTOR, 0.93, 7)
+    for cosine in (0.931, 0.97, 0.999):
+        random_ = np.random.RandomState(dim)
+        one, other = own.unit_rows(random_.normal(size=(500, dim))), random_.normal(size=(500, dim))
+        if dim > 1:
+            other -= (other * one).sum(axis=1)[:, None] * one
+            two = cosine * one + np.sqrt(1 - cosine**2) * own.unit_rows(other)
+        else:
+            two = one
+        met = [len(np.intersect1d(f, g)) > 0 for f, g in zip(own.decode_all(codes, one), own.decode_all(codes, two))]
+        assert np.mean(met) >= 0.99
+
+
 # ---- pages
 
 
