@@ -281,8 +281,11 @@ def join_similar(
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
-            raw = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), words)], pa.binary())
-            yield pa.record_batch([batch.column(c) for c in names] + [raw], names=[*names, "set"])
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), words)]
+            # an id may have texts without words besides; their empty sets link with nothing
+            some = pa.array([k for k, s in enumerate(sets) if s], pa.int64())
+            raw = pa.array([s for s in sets if s], pa.binary())
+            yield pa.record_batch([batch.column(c).take(some) for c in names] + [raw], names=[*names, "set"])
 
     names = ["block", "cells", "rep"]
     wanted = written(reps.select(F.col("rep").alias("r"), "block", "cells"), "shingle-cells")

@@ -150,6 +150,13 @@ def test_every_similar_pair_shares_a_signature(num, den):
         ngram_join.Jaccard(1, 2)
 
 
+def test_ngram_join_of_an_id_with_a_text_without_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words), "en", "s1"), (1, None, "en", "s1"), (1, " \n", "en", "s1"), (2, " ".join([*words, "x"]), "en", "s1")]
+    found = ngram_join.join_similar(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(1, 0, 1), (1, 0, 1), (1, 56, 1), (2, 57, 1)]
+
+
 # ---- quality rules
 
 
