@@ -20,4 +20,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE = {"op1_line_dedup": OP1}
+
+def _half(h: str) -> str:
+    """One half of a fingerprint: bits whose votes outweigh those against them."""
+    return " + ".join(f"(CASE WHEN 2 * sum(w * (({h} >> {i}) & 1)) > sum(w) THEN {1 << i} ELSE 0 END)::HUGEINT" for i in range(64))
+
+
+OP11 = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), placed AS (
+    SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM texts
+), edited AS (
+    SELECT a.doc_id, a.n, a.next_id, a.text, left(a.text, a.n - a.n // 3) || left(b.text, a.n // 3) AS edited
+    FROM placed a JOIN texts b ON b.doc_id = a.next_id
+), both_texts AS (
+    SELECT doc_id, 0 AS kind, text FROM edited UNION ALL SELECT doc_id, 1, edited FROM edited
+), words AS (
+    SELECT doc_id, kind, regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+') AS ws FROM both_texts
+), term_rows AS (
+    SELECT doc_id, kind, unnest(CASE WHEN len(ws) = 0 THEN [''] WHEN len(ws) = 1 THEN ws
+        ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS term FROM words
+), hashed AS (
+    SELECT doc_id, kind, least(length(term), 16)::BIGINT AS w, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h1,
+        ('0x' || substr(md5(term), 17, 16))::UBIGINT AS h2 FROM term_rows
+), voted AS (
+    SELECT doc_id, kind, ({_half("h1")})::UBIGINT AS f1, ({_half("h2")})::UBIGINT AS f2 FROM hashed GROUP BY doc_id, kind
+), prints AS (
+    SELECT o.doc_id, o.f1, o.f2, e.f1 AS e1, e.f2 AS e2 FROM voted o JOIN voted e ON o.doc_id = e.doc_id AND o.kind = 0 AND e.kind = 1
+), near AS (
+    SELECT q.doc_id, count(*) - 1 AS n_near FROM prints q, prints p
+    WHERE q.doc_id % 50 = 0 AND bit_count(xor(q.f1, p.f1)::BIT) + bit_count(xor(q.f2, p.f2)::BIT) <= 6 GROUP BY q.doc_id
+)
+SELECT d.doc_id, d.n AS n_chars, sha256(d.edited) AS edited_sha256, format('{{:016x}}{{:016x}}', o.f1, o.f2) AS fingerprint,
+    format('{{:016x}}{{:016x}}', o.e1, o.e2) AS edited_fingerprint,
+    1.0::DOUBLE - (bit_count(xor(o.f1, o.e1)::BIT) + bit_count(xor(o.f2, o.e2)::BIT)) / 128.0::DOUBLE AS near_edited,
+    1.0::DOUBLE - (bit_count(xor(o.f1, x.f1)::BIT) + bit_count(xor(o.f2, x.f2)::BIT)) / 128.0::DOUBLE AS near_next, near.n_near
+FROM edited d JOIN prints o USING (doc_id) JOIN prints x ON x.doc_id = d.next_id LEFT JOIN near ON near.doc_id = d.doc_id
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op11_simhash": OP11}

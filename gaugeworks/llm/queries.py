@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, embedding_dedup, html_text, language, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from gaugeworks.llm import bpe, embedding_dedup, html_text, language, line_dedup, mixing, ngram_join, quality, simhash, token_counts, warc
 from gaugeworks.llm.oracles import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit() and callable(query)
 }
