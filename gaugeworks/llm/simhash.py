@@ -1,6 +1,6 @@
 """SimHash fingerprints of 128 bits, and the fingerprints within a Hamming radius.
 
-Built-in functions throughout. A text's terms are its pairs of neighbouring words; each term's MD5
+Built-in functions throughout. A text's terms are its pairs of neighbouring words; each term's hash
 votes for or against every bit, weighted by the term's length. The votes are 64 sums per text, two
 counts of 32 bits in each, so the terms are rows that are added up where they are made: no term is
 shuffled, and a very long text is one row of sums.
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import hash128, written
 
 BITS = 128
 HEAVIEST = 16  # a term weighs its code points, this many at most
@@ -48,8 +48,7 @@ def vote(texts: DataFrame, keys: list[str]) -> DataFrame:
     hashed = (
         texts.select(*keys, words_of(F.col("text")).alias("words"))  # a column of its own, so a text is split once
         .select(*keys, F.explode(terms(F.col("words"))).alias("term"))
-        .withColumns({"digest": F.md5("term"), "w": F.least(F.char_length("term"), F.lit(HEAVIEST)).cast("long")})
-        .select(*keys, "w", *(F.conv(F.substring("digest", at, 16), 16, -10).cast("long").alias(h) for h, at in (("h1", 1), ("h2", 17))))
+        .select(*keys, F.least(F.char_length("term"), F.lit(HEAVIEST)).cast("long").alias("w"), *hash128(F.col("term"), ("h1", "h2")))
     )
     sums = [
         F.sum(F.shiftright(h, i).bitwiseAND(F.lit(_LANES)) * F.col("w")).alias(f"{h}_{i}") for h in ("h1", "h2") for i in range(32)
@@ -156,9 +155,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per distinct (id, text): ``id``, ``f1``, ``f2`` and ``fingerprint`` (32 hex digits). A null text is an empty one: zeros."""
+    """Per distinct (id, text): the id, ``f1``, ``f2`` and ``fingerprint`` (32 hex digits). A null text is an empty one: zeros."""
     rows = _rows(docs, id_col, text_col)
-    return vote(rows, ["id", "r1", "r2"]).select("id", "f1", "f2", as_text("f1", "f2").alias("fingerprint"))
+    return vote(rows, ["id", "r1", "r2"]).select(F.col("id").alias(id_col), "f1", "f2", as_text("f1", "f2").alias("fingerprint"))
 
 
 def in_order(ids: DataFrame) -> DataFrame:
