@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, embedding_dedup, html_text, language, line_dedup, mixing, ngram_join, quality, simhash, token_counts, vector_codes, warc
+from gaugeworks.llm import bpe, embedding_dedup, html_text, language, line_dedup, mixing, ngram_join, quality, simhash, spelling, token_counts, vector_codes, warc
 from gaugeworks.llm.oracles import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edits(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
