@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gaugeworks.operators import events
+from gaugeworks.plans.materialize import new_folder
+from gaugeworks.sources.event_files import read_raw_events, save_raw_events
 from bindings.tables import Bound
 
 AS_OF = "2024-01-31 00:00:00"
+# a thousand attributes instead of one
+SHORT = '<deadlock id="d'
+LONG = "<deadlock " + "".join(f'a{i}="{i}>" ' for i in range(1000)) + 'id="d'
 
 
 def _heatmap(spark, sf_dir):
@@ -20,6 +27,14 @@ def _graphs(spark, sf_dir):
     return events.deadlock_graphs(Bound(spark, sf_dir).raw_events, utc_offset=-90)
 
 
+def _long_graphs(spark, sf_dir):
+    """Graphs with very long tags, from documents stored with their time and number of graphs."""
+    folder = new_folder(spark, "raw")
+    lengthened = F.replace("event_data", F.lit(SHORT), F.lit(LONG))
+    save_raw_events(Bound(spark, sf_dir).raw_events.drop("event_time").withColumn("event_data", lengthened), folder)
+    return events.deadlock_graphs(read_raw_events(spark, folder), utc_offset=-90)
+
+
 def _raw(spark, sf_dir):
     return events.raw_events(Bound(spark, sf_dir).raw_events)
 
@@ -41,6 +56,7 @@ QUERIES = {
     "a11_event_heatmap": _heatmap,
     "a12_last_event": _last,
     "a13_deadlock_graphs": _graphs,
+    "a13_long_tags": _long_graphs,
     "a16_raw_events": _raw,
     "a17_cracked_events": _cracked,
     "f20_shredded_events": _shredded,
@@ -113,3 +129,8 @@ ORACLE = {
     select object_name, instance_name as deprecated_feature, cntr_value as use_count
       from counters where object_name like '%Deprecated Features%'""",
 }
+
+ORACLE["a13_long_tags"] = f"""
+    select replace(raw_report, '{SHORT}', '{LONG}') as raw_report, server_time,
+           replace(deadlock_graph_xml, '{SHORT}', '{LONG}') as deadlock_graph_xml
+      from ({ORACLE["a13_deadlock_graphs"]})"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import predicates as P
 from gaugeworks.operators import events, replicas, statistics, storage, workload
 from gaugeworks.plans.materialize import materialize, new_folder
-from gaugeworks.plans.relational import disjunctive_join, union_all
+from gaugeworks.plans.relational import disjunctive_join, numbered, union_all
 from gaugeworks.sources.tables import load, save
 from bindings.replicas import ORACLE as REPLICA_SQL
 from bindings.storage import ORACLE as STORAGE_SQL
@@ -18,6 +18,7 @@ from bindings.workload import AS_OF, HOURS_BACK, top_sql
 
 OBJECT = 5
 SHIFT = 1_000_000
+CAPTURED = "case plan_id % 3 when 0 then timestamp '2024-05-01 23:59:59' when 1 then timestamp '2024-05-02 00:00:00' else timestamp '2024-05-03 12:00:00' end"
 GROUP = "AG NATION_11"
 
 
@@ -81,7 +82,7 @@ def _mixed_keys(b) -> DataFrame:
 
 
 def _all_documents(b) -> DataFrame:
-    return events.raw_events(b.raw_events.select("object_name", "event_data"), n=2_000_000_000)
+    return events.raw_events(b.raw_events.select("object_name", "event_data"), n=None)
 
 
 def _saved(b) -> DataFrame:
@@ -91,6 +92,16 @@ def _saved(b) -> DataFrame:
     return load(spark, folder, "runtime_stats").select(*b.runtime_stats.columns)
 
 
+def _saved_dates(b) -> DataFrame:
+    """Snapshots of three days, saved as they come, of which two are read."""
+    spark = b.runtime_stats.sparkSession
+    folder = new_folder(spark, "tables")
+    taken = b.runtime_stats.withColumns({"instance_id": F.lit("one"), "captured_at": F.expr(CAPTURED)})
+    for k in range(3):
+        save(taken.filter(F.col("plan_id") % 3 == k), folder, "runtime_stats", by_date=True, mode="append")
+    return load(spark, folder, "runtime_stats", fleet=True, dates=("2024-05-02", "2024-05-03")).select(*taken.columns)
+
+
 def _work_table(b) -> DataFrame:
     """One work table, read by three reports in a run."""
     work = materialize(storage.rowgroup_workset(b.tables, b.schemas, b.indexes, b.partitions, b.row_groups))
@@ -103,26 +114,20 @@ def _work_table(b) -> DataFrame:
     return union_all(*shown)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """A report with the place of each row; small reports only, as they are numbered in one task."""
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("_place"))).drop("_place")
-
-
 def _space_order(b) -> DataFrame:
     report = storage.space_by_object(b.partition_stats, b.internal_tables, b.objects, b.schemas, b.partitions, system_objects=True)
-    return _numbered(report).select("schema_name", "name", "partition_number", "place")
+    return numbered(report).select("schema_name", "name", "partition_number", "place")
 
 
 def _top_order(b) -> DataFrame:
-    return _numbered(_top(rank_by="total")(b)).select("query_id", "plan_id", "bucket_start", "place")
+    return numbered(_top(rank_by="total")(b)).select("query_id", "plan_id", "bucket_start", "place")
 
 
 def _allocation_order(b) -> DataFrame:
     report = storage.allocations(b.tables, b.schemas, b.indexes, b.partitions, b.row_groups, b.allocation_units)
     # equal rows may stand in any order, so places are given per object
-    places = _numbered(report).groupBy("object_name").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    return places.select("object_name", F.dense_rank().over(Window.orderBy("first")).alias("place"), (F.col("last") - F.col("first") + 1).alias("n"))
+    places = numbered(report).groupBy("object_name").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    return numbered(places.orderBy("first")).select("object_name", "place", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 BOUND = {
@@ -138,6 +143,7 @@ BOUND = {
     "p10_capture_off": _capture_off,
     "j07_mixed_keys": _mixed_keys,
     "a16_all_documents": _all_documents,
+    "s01_saved_dates": _saved_dates,
     "s01_saved_table": _saved,
     "s06_work_table": _work_table,
     "o04_space_order": _space_order,
@@ -180,6 +186,7 @@ ORACLE = {
       join (values (1), (7), (30)) k(k) on k.k = case when r.r_regionkey = 0 then l.l_quantity else l.l_tax end""",
     "a16_all_documents": "select event_data from raw_events",
     "s01_saved_table": "select * from runtime_stats",
+    "s01_saved_dates": f"select *, 'one' as instance_id, {CAPTURED} as captured_at from runtime_stats where plan_id % 3 > 0",
     "s06_work_table": f"""
     select 'detail' as report, table_name, index_name, cast(total_rows as bigint) as n from ({STORAGE_SQL['a26_rowgroup_detail']})
     union all
@@ -188,7 +195,7 @@ ORACLE = {
     select 'fragments', table_name, index_name, fragments from ({STORAGE_SQL['a28_rowgroup_fragments']})""",
     "o04_space_order": f"""
     select {quoted('s.name')} as schema_name, {quoted('o.name')} as name, t.partition_number,
-           cast(row_number() over (order by t.pages desc, t.object_id, t.partition_number) as int) as place
+           row_number() over (order by t.pages desc, t.object_id, t.partition_number) as place
       from (select coalesce(own.object_id, 0) as object_id, own.partition_number, own.pages + coalesce(sum(k.reserved_page_count), 0) as pages
               from (select object_id, partition_number, sum(reserved_page_count) as pages from partition_stats group by all) own
               left join internal_tables it on it.parent_id = own.object_id
@@ -199,9 +206,9 @@ ORACLE = {
       left join schemas s on s.schema_id = o.schema_id""",
     "o05_top_order": f"""
     select query_id, plan_id, bucket_start,
-           cast(row_number() over (order by rank_value desc nulls last, query_id, bucket_start, plan_id) as int) as place
+           row_number() over (order by rank_value desc nulls last, query_id, bucket_start, plan_id) as place
       from ({top_sql('total', extra_column='b.rank_value')})""",
     "o07_allocation_order": f"""
-    select object_name, cast(dense_rank() over (order by object_name nulls first) as int) as place, cast(count(*) as int) as n
+    select object_name, dense_rank() over (order by object_name nulls first) as place, count(*) as n
       from ({STORAGE_SQL['a25_allocations']}) group by object_name""",
 }

@@ -38,20 +38,34 @@ def xml_item(event, kind: str, name: str, type_: str = "string") -> Column:
     return F.get(named, F.lit(0))["value"].try_cast(type_)
 
 
-_ATTRIBUTES = r"""(?:\s(?:"[^"]*"|'[^']*'|[^>"'])*?)?"""
+# Runs are possessive and stop at the next tag, so a match neither goes back nor recurses, however long a
+# tag or a body is, and an unclosed quote ends the attempt.
+_TAG_END = r"""(?=[\s/>])(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""
+
+
+def _until(name: str) -> str:
+    """All up to the element's end tag."""
+    return rf"(?:[^<]++|<(?!/{name}>))*+"
 
 
 def nodes(document, tag: str) -> Column:
     """Array of the raw ``tag`` elements in the values of a document's data items, with or without a body.
 
-    A ``>`` inside a quoted attribute does not end a tag.
+    A ``>`` inside a quoted attribute does not end a tag. Elements that are not closed are left out.
     """
-    value = rf"(?s)<data{_ATTRIBUTES}>(?:(?!</data>).)*?<value{_ATTRIBUTES}>((?:(?!</value>).)*)</value>"
-    element = rf"(?s)<{tag}{_ATTRIBUTES}(?:/>|>.*?</{tag}>)"
+    before = r"(?:[^<]++|<(?!/data>|value[\s/>]))*+"
+    value = rf"<data{_TAG_END}{before}<value{_TAG_END}({_until('value')})</value>"
+    element = rf"<{tag}{_TAG_END}(?:(?<=/>)|{_until(tag)}</{tag}>)"
     values = F.regexp_extract_all(as_column(document), F.lit(value), F.lit(1))
     return F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(element), F.lit(0))))
 
 
+def node_count(document, tag: str) -> Column:
+    """How many elements ``nodes`` gives; documents that don't name the tag are not searched."""
+    named = F.coalesce(as_column(document).contains(f"<{tag}"), F.lit(False))
+    return F.when(named, F.size(nodes(document, tag))).otherwise(F.lit(0))
+
+
 def explode_nodes(df: DataFrame, col: str, tag: str, alias: str) -> DataFrame:
     """One row per ``tag`` element; documents without one vanish."""
     return df.withColumn(alias, F.explode(nodes(col, tag)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.constants import DEADLOCK_EVENT, DEPRECATED_COUNTER_TEXT, DEPRECATION_FIELDS
 from gaugeworks.functions.predicates import moment, since
 from gaugeworks.functions.scalars import to_server_time, weekday_name, weekday_no
-from gaugeworks.functions.xml import event_head, event_struct, event_time, explode_nodes, nodes, xml_item
+from gaugeworks.functions.xml import event_head, event_struct, event_time, explode_nodes, node_count, xml_item
 from gaugeworks.plans.relational import lookup, report_order, top_k
 
 
@@ -23,20 +23,21 @@ def event_times(events: DataFrame, event: str, keys=()) -> DataFrame:
     return named.select(*keys, time_of(events).alias("entry_datetime"))
 
 
-def as_new_as(events: DataFrame, n: int, keys=()) -> DataFrame:
-    """The documents at least as new as the ``n``-th newest one, found by their times alone.
+def as_new_as(events: DataFrame, n: int, keys=(), time: str = "event_time") -> DataFrame:
+    """The documents at least as new as the ``n``-th newest one, found by the column ``time`` alone.
 
     Documents without a time count as oldest. Without a time column all documents are left.
     """
-    if "event_time" not in events.columns:
+    if time not in events.columns:
         return events
-    times = top_k(events.select(*keys, "event_time"), [F.desc("event_time")], n, keys)
-    all_timed = F.count("event_time") == F.count(F.lit(1))
-    oldest = times.groupBy(*keys).agg(F.when(all_timed, F.min("event_time")).alias("_oldest"))
+    times = top_k(events.select(*keys, time), [F.desc(time)], n, keys)
+    all_timed = F.count(time) == F.count(F.lit(1))
+    oldest = times.groupBy(*keys).agg(F.when(all_timed, F.min(time)).alias("_oldest"))
     if keys:
-        return events.join(oldest, list(keys)).filter("_oldest IS NULL OR event_time >= _oldest").drop("_oldest")
+        new_enough = F.col("_oldest").isNull() | (F.col(time) >= F.col("_oldest"))
+        return events.join(oldest, list(keys)).filter(new_enough).drop("_oldest")
     limit = oldest.select("_oldest").scalar()
-    return events.filter(limit.isNull() | (F.col("event_time") >= limit))
+    return events.filter(limit.isNull() | (F.col(time) >= limit))
 
 
 def event_heatmap(
@@ -76,23 +77,27 @@ def deadlock_graphs(
     """The newest ``n`` deadlock graphs, one row per graph; events without one vanish.
 
     Graphs are cut from the values of data items, as they are. The newest ``n`` documents with a graph
-    are found first; only theirs are cut.
+    are found first; only theirs are cut. Where the number of graphs and the time are columns
+    (``save_raw_events``), those two decide and only the newest documents are read; where they are not,
+    every document of that name is searched.
     """
-    reports = events.filter((F.col("object_name") == event) & (F.size(nodes("event_data", "deadlock")) > 0))
-    reports = reports.select(
-        *keys,
-        F.col("event_data").alias("raw_report"),
-        to_server_time(time_of(events), utc_offset).alias("server_time"),
-    )
+    counted = "graph_count" in events.columns
+    holds = (F.col("graph_count") if counted else node_count("event_data", "deadlock")) > 0
+    reports = events.filter((F.col("object_name") == event) & holds)
+    reports = reports.withColumn("server_time", to_server_time(time_of(events), utc_offset))
+    if counted and "event_time" in events.columns:
+        reports = as_new_as(reports, n, keys, "server_time")
+    reports = reports.select(*keys, F.col("event_data").alias("raw_report"), "server_time")
     reports = top_k(reports, [F.desc("server_time"), F.asc("raw_report")], n, keys)
     graphs = explode_nodes(reports, "raw_report", "deadlock", "deadlock_graph_xml")
     newest = [F.desc("server_time"), F.asc("raw_report"), F.asc("deadlock_graph_xml")]
     return report_order(top_k(graphs, newest, n, keys), ordered, *keys, *newest)
 
 
-def raw_events(events: DataFrame, n: int = 100) -> DataFrame:
-    """Any ``n`` documents."""
-    return events.select("event_data").limit(n)
+def raw_events(events: DataFrame, n: int | None = 100) -> DataFrame:
+    """Any ``n`` documents; all of them, and no limit in the plan, where ``n`` is None."""
+    documents = events.select("event_data")
+    return documents if n is None else documents.limit(n)
 
 
 def flat_columns(event: Column, fields=DEPRECATION_FIELDS, utc_offset=0) -> dict[str, Column]:

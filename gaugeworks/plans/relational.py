@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, IntegralType, LongType, NumericType
 
 from gaugeworks.functions.predicates import as_column
+from gaugeworks.plans.materialize import materialize
 
 BROADCAST_ROWS = 500_000
 
@@ -185,6 +186,24 @@ def report_order(df: DataFrame, ordered: bool, *by) -> DataFrame:
     return df.orderBy(*by) if ordered else df
 
 
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted ``df`` with their place in it, from 1; rows are numbered where they are.
+
+    A place is the row's own number in its partition plus the rows of all partitions before. The sorted
+    rows are written once, so that both counts see the same partitions; what a single task sees is one
+    count per partition.
+    """
+    own_bits = 33  # of a monotonically increasing number, below those of the partition
+    held = materialize(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", own_bits)
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << own_bits) - 1))
+    placed = held.join(F.broadcast(counts), part == F.col("_part"))  # a row per partition
+    return placed.select(*df.columns, (F.col("_ahead") + inside + 1).alias(name))
+
+
 # aggregates
 
 

@@ -74,6 +74,7 @@ TABLES = {
     "databases": "database_id INT, name STRING",
     # events
     "raw_events": "object_name STRING, event_data STRING, event_time TIMESTAMP",
+    "stored_events": "object_name STRING, event_data STRING, event_time TIMESTAMP, graph_count INT",
     # replication
     "groups": "group_id STRING, name STRING",
     "group_states": "group_id STRING",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gaugeworks.functions.scalars import dir_of
-from gaugeworks.functions.xml import EVENT, event_head, event_time
+from gaugeworks.functions.xml import EVENT, event_head, event_time, node_count
 from gaugeworks.schemas import schema
 
+DAY = "event_date"
+
 
 def event_glob(current_file: str, configured_name: str) -> str:
     """Pattern for all files of a capture.
@@ -33,24 +35,32 @@ def read_events(spark: SparkSession, current_file: str, configured_name: str) ->
     )
 
 
-def read_raw_events(spark: SparkSession, path: str, event: str | None = None) -> DataFrame:
-    """Raw documents (``object_name, event_data, event_time``) from Parquet; the name filter reaches the scan.
+def read_raw_events(spark: SparkSession, path: str, event: str | None = None, days: tuple | None = None) -> DataFrame:
+    """Raw documents from Parquet, with the columns of ``save_raw_events`` that are there; the name filter reaches the scan.
 
-    Files without the time column give documents without it, whose times are parsed where needed.
+    Files without the time or the number of graphs give documents without it, and it is parsed where
+    needed. ``days`` (first and last, UTC) reads the folders of those days only; documents without a
+    time are of no day.
     """
     held = spark.read.parquet(path).columns
-    columns = [f for f in schema("raw_events") if f.name in held]
-    events = spark.read.schema(StructType(columns)).parquet(path).select(*[f.name for f in columns])
+    columns = [f for f in schema("stored_events") if f.name in held]
+    events = spark.read.schema(StructType(columns)).parquet(path)
+    if days is not None:
+        first, last = (F.lit(day).cast("date") for day in days)
+        events = events.filter(F.col(DAY).cast("date").between(first, last))
+    events = events.select(*[f.name for f in columns])
     return events if event is None else events.filter(F.col("object_name") == event)
 
 
 def save_raw_events(events: DataFrame, path: str) -> None:
-    """Append raw documents in the layout to read them from: with their time as a column, in a folder per day.
+    """Append raw documents in the layout to read them from: with their time and their number of deadlock
+    graphs as columns, in a folder per day.
 
-    Times are parsed here, once; later reads find what they need by day and by column.
+    Both are parsed here, once; later reads find what they need by day and by column.
     """
-    timed = events if "event_time" in events.columns else events.withColumn("event_time", event_time(event_head("event_data")))
-    timed.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy("event_date").parquet(path)
+    derived = {"event_time": event_time(event_head("event_data")), "graph_count": node_count("event_data", "deadlock")}
+    told = events.withColumns({name: c for name, c in derived.items() if name not in events.columns})
+    told.withColumn(DAY, F.to_date("event_time")).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:
