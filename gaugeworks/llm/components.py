@@ -23,9 +23,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # written, so that links and minima meet in a join of two shuffles, and a centre of very many links is split
+        centres = written(smallest, "links")
         large = (
             both.where("v > u")
-            .join(smallest, F.col("u") == F.col("w"))
+            .join(centres, F.col("u") == F.col("w"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
@@ -35,6 +37,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         new = written(contracted.select("e.u", "e.v").where("u <> v").distinct(), "links")
         before, seen = seen, _fingerprint(new)
         remove(held)
+        remove(centres)
         held = new
         if seen == before:
             break

@@ -35,7 +35,7 @@ from gaugeworks.llm.components import Forest, connected_components
 
 SLICE_BYTES = 1 << 20
 CELL_SHINGLES = 3_000_000
-MARK_BITS = 1 << 24  # 2 MB
+MARK_BITS, LARGEST_MAP = 16, 1 << 27  # bits for each marked id; of a map, 16 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -169,16 +169,20 @@ def search(sets: list[np.ndarray], queries: np.ndarray, jaccard: Jaccard, forest
 def only_marked(df: DataFrame, column: str, marks: DataFrame) -> DataFrame:
     """The rows of ``df`` whose whole number may be one of ``marks`` (one column); none of those is lacking.
 
-    The marks set bits of a map of fixed size, which every task gets. Rows that pass by chance are for
-    the caller's join to drop; a join then need not move the others.
+    The marks set bits of a map that every task gets. Rows that pass by chance are for the caller's
+    join to drop; a join then need not move the others. For so many marks that the map would be too
+    large to send around, nothing is left out ahead of that join.
     """
-    value = F.pmod(F.xxhash64(F.col(marks.columns[0])), F.lit(MARK_BITS))
+    size = 1 << (MARK_BITS * max(marks.count(), 1 << 12)).bit_length()
+    if size > LARGEST_MAP:
+        return df
+    value = F.pmod(F.xxhash64(F.col(marks.columns[0])), F.lit(size))
     one = F.lit(1)  # bucket and bit numbers start at 1
     bits = marks.select(value.alias("m")).groupBy(F.bitmap_bucket_number(F.col("m") + one).alias("m_bucket"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("m") + one)).alias("m_bits"))
-    own = F.pmod(F.xxhash64(F.col(column)), F.lit(MARK_BITS)) + one
+    own = F.pmod(F.xxhash64(F.col(column)), F.lit(size)) + one
     placed = df.withColumns({"m_own": F.bitmap_bucket_number(own), "m_at": F.bitmap_bit_position(own)})
-    joined = placed.join(F.broadcast(bits), F.col("m_own") == F.col("m_bucket"))  # at most MARK_BITS / 8 bytes
+    joined = placed.join(F.broadcast(bits), F.col("m_own") == F.col("m_bucket"))  # at most LARGEST_MAP / 8 bytes
     byte = F.conv(F.hex(F.substring("m_bits", (F.shiftright("m_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("m_at", F.lit(8)))), F.lit(2)) == 1
     return joined.where(hit).select(*df.columns)
@@ -279,24 +283,17 @@ def join_similar(
     single = F.array(cell(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
     reps = reps.select("block", "rep", F.when(F.col("large"), meets).otherwise(single).alias("cells"))
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"), words)]
-            # an id may have texts without words besides; their empty sets link with nothing
-            some = pa.array([k for k, s in enumerate(sets) if s], pa.int64())
-            raw = pa.array([s for s in sets if s], pa.binary())
-            yield pa.record_batch([batch.column(c).take(some) for c in names] + [raw], names=[*names, "set"])
-
-    names = ["block", "cells", "rep"]
     wanted = written(reps.select(F.col("rep").alias("r"), "block", "cells"), "shingle-cells")
-    chosen = only_marked(texts, "id", wanted.select("r")).join(wanted, F.col("id") == F.col("r")).withColumnRenamed("r", "rep")
-    cells_type = wanted.schema["cells"].dataType.simpleString()
-    loaded = chosen.select(*names, "text").mapInArrow(load, f"block long, cells {cells_type}, rep long, set binary")
-    # an id with several texts may stand for one of them only; each of its sets comes along
-    cells = loaded.select("block", F.explode("cells").alias("cell"), "rep", "set").select("block", "cell.*", "rep", "set")
+    chosen = only_marked(texts, "id", wanted.select("r")).join(wanted, F.col("id") == F.col("r"))
+    # texts go to the cells, and sets are made there: a set is several times as large, and does not compress.
+    # an id with several texts may stand for one of them only; each of its texts comes along
+    cells = chosen.select("block", F.explode("cells").alias("cell"), F.col("r").alias("rep"), "text").select("block", "cell.*", "rep", "text")
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, "<u8") for s in cell["set"]]
+        sets = list(shingle_sets(pa.array(cell["text"], pa.large_string()), words))
+        # an id may have texts without words besides; their empty sets link with nothing
+        some = np.array([len(s) > 0 for s in sets], dtype=bool)
+        cell, sets = cell[some], [s for s in sets if len(s)]
         forest = Forest(len(sets))
         search(sets, np.arange(len(sets)), jaccard, forest)
         rep = cell["rep"].to_numpy()
