@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, line_dedup, mixing, ngram_join, quality
-from gaugeworks.llm.common import prepare, written
+from gaugeworks.llm.common import prepare, remove, written
 from gaugeworks.llm.queries import VOCABULARY
 
 
@@ -51,8 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again as the next one's input."""
+    """All stages over ``documents``; each stage's result is written and read again as the next one's input.
+
+    A stage's input is deleted when its own result is written; the last result stays for the caller.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        result = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            remove(docs)
+        docs = result
     return docs
