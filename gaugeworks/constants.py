@@ -47,6 +47,7 @@ METRIC_SCALES = {
     "tempdb_space_used": 8,
     "clr_time": 0.001,
 }
+MAX_EVENT_FILE_BYTES = 50 << 20  # an event file of a capture
 CAPTURE_ON = 2  # actual_state of a workload capture that is reading and writing
 ABORTED_EXECUTION = 3  # execution_type of an aborted execution
 

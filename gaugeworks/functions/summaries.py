@@ -63,6 +63,32 @@ RANKS = {
 }
 
 
+def partial_summary(metric: str, count: str = COUNT) -> dict[str, tuple[Column, str]]:
+    """What records of one metric come to, as parts that add up: per column, the aggregate and how parts are joined."""
+    avg, spread, n = F.col(f"avg_{metric}"), F.col(f"stdev_{metric}"), F.col(count)
+    return {
+        f"weighted_{metric}": (F.sum(avg * n), "sum"),
+        f"squares_{metric}": (F.sum(spread * spread * n), "sum"),
+        f"least_{metric}": (F.min(f"min_{metric}"), "min"),
+        f"most_{metric}": (F.max(f"max_{metric}"), "max"),
+    }
+
+
+def finished_summary(metric: str, scale: float | None = None, count: str = COUNT) -> list[Column]:
+    """The columns of ``merge_summary`` from the joined parts."""
+    weighted, squares, least, most = (F.col(name) for name in partial_summary(metric, count))
+    pooled, factor = F.sqrt(ratio(squares, F.col(count))), _scale(metric, scale)
+    values = {
+        "total": weighted.cast("double") * factor,
+        "avg": ratio(weighted, F.col(count)) * factor,
+        "min": least.cast("double") * factor,
+        "max": most.cast("double") * factor,
+        "stdev": pooled * factor,
+    }
+    variation = F.coalesce(round_dec(ratio(pooled * F.col(count), weighted), 2), F.lit(0.0))
+    return [*(round_dec(v, 2).alias(f"{name}_{metric}") for name, v in values.items()), variation.alias(f"variation_{metric}")]
+
+
 def merge_summary(metric: str, scale: float | None = None, count: str = COUNT) -> list[Column]:
     """The six merged aggregates of one metric, rounded to two digits."""
     merged = [round_dec(merge(metric, scale, count), 2).alias(f"{name}_{metric}") for name, merge in RANKS.items()]
