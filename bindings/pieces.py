@@ -283,6 +283,29 @@ def _slices(b):
     )
 
 
+@piece(
+    "f16_wide_characters",
+    """with statements as (
+           select r.session_id, r.request_id, replace(t.text, 'e', '😀') as text, r.statement_start_offset // 2 as first,
+                  (case when r.statement_end_offset = -1 then 2 * (length(t.text) + length(t.text) - length(replace(t.text, 'e', '')))
+                        else r.statement_end_offset end - r.statement_start_offset) // 2 + 1 as n
+             from requests r join sql_texts t on t.sql_handle = r.sql_handle),
+       characters as (
+           select *, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as pos from statements),
+       placed as (
+           select *, sum(1 + cast(unicode(ch) > 65535 as int)) over (partition by session_id, request_id order by pos) as upto
+             from characters)
+       select session_id, request_id,
+              coalesce(string_agg(ch, '' order by pos) filter (upto - 1 - cast(unicode(ch) > 65535 as int) >= first and upto <= first + n),
+                       any_value(text)) as statement
+         from placed group by session_id, request_id""",
+)
+def _wide_slices(b):
+    statement = S.statement_slice("wide", "statement_start_offset", "statement_end_offset")
+    wide = b.sql_texts.withColumn("wide", F.replace("text", F.lit("e"), F.lit("😀")))
+    return R.lookup(b.requests, wide, "sql_handle", "inner").select("session_id", "request_id", statement.alias("statement"))
+
+
 @piece(
     "f17_names",
     """select object_id, '[' || replace(name, ']', ']]') || ']' as quoted, nullif(type_desc, '') as kind,

@@ -198,16 +198,27 @@ def parse_name(name: str, part: int) -> str | None:
     return parts[-part] or None if part <= len(parts) else None
 
 
+UTF16 = "UTF-16LE"
+
+
 def statement_slice(text, start, end) -> Column:
     """The statement between two byte offsets of UTF-16 text.
 
-    An end of -1 means the end of the text; an empty slice gives the whole text. Characters outside
-    the basic plane count as one, not as two units.
+    An end of -1 means the end of the text; an empty slice gives the whole text. Offsets count UTF-16
+    units, two for a character beyond the basic plane; such a character that an offset cuts in half is
+    left out.
     """
     text, start, end = as_column(text), as_column(start), as_column(end)
-    stop = F.when(end == -1, F.length(text) * 2).otherwise(end)
-    piece = F.substring(text, (int_div(start, 2) + 1).cast("int"), (int_div(stop - start, 2) + 1).cast("int"))
-    return F.coalesce(F.nullif(piece, F.lit("")), text)
+    units = F.encode(text, UTF16)
+    stop = F.when(end == -1, F.octet_length(units)).otherwise(end)
+    piece = F.substring(units, (int_div(start, 2) * 2 + 1).cast("int"), ((int_div(stop - start, 2) + 1) * 2).cast("int"))
+    n = F.octet_length(piece)
+    high_byte = lambda at: F.hex(F.substring(piece, at, F.lit(1)))
+    # the second half of a pair in front, the first half of one at the end
+    before = F.when(high_byte(F.lit(2)).between("DC", "DF"), 2).otherwise(0)
+    behind = F.when(high_byte(n).between("D8", "DB"), 2).otherwise(0)
+    whole = F.substring(piece, before + 1, n - before - behind)
+    return F.coalesce(F.nullif(F.decode(whole, UTF16), F.lit("")), text)
 
 
 def dir_of(path: str) -> str:

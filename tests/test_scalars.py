@@ -54,6 +54,13 @@ def test_unwrap_ms(spark):
         ("select 1", 400, 500, "select 1"),  # nothing there: the whole text
         (None, 0, -1, None),
         ("select 1", None, None, "select 1"),
+        ("x😀yz", 0, -1, "x😀yz"),
+        ("x😀yz", 2, 4, "😀"),
+        ("x😀yz", 4, 6, "y"),  # begins inside the pair
+        ("x😀yz", 0, 2, "x"),  # ends inside it
+        ("x😀yz", 4, 4, "x😀yz"),  # nothing but half a pair: the whole text
+        ("😀😀é", 6, -1, "é"),
+        ("", 0, -1, ""),
     ],
 )
 def test_statement_slice(spark, text, start, end, piece):
