@@ -74,9 +74,7 @@ AT = {"as_of": event_reports.AS_OF}
 REPORTS = {
     "a01_top_total": lambda t: _workload(workload.top_queries, t),
     "a07_all_metrics": lambda t: _workload(workload.workload_buckets, t),
-    "a08_session_summary": lambda t: session_reports._lists_as_text(
-        sessions.session_summary(_sessions(t), server_name=session_reports.SERVER, lists="structs", keys=KEYS)
-    ),
+    "a08_session_summary": lambda t: sessions.session_summary(_sessions(t), server_name=session_reports.SERVER, keys=KEYS),
     "a09_session_tasks": lambda t: sessions.session_tasks(_sessions(t), server_name=session_reports.SERVER, keys=KEYS),
     "a10_blocking": lambda t: sessions.blocking(
         _sessions(t), server_name=session_reports.SERVER, watch_databases=[session_reports.WATCHED], keys=KEYS

@@ -13,6 +13,7 @@ from gaugeworks.plans.relational import nest
 from bindings.memory import duration
 from bindings.tables import Bound
 
+NAMED = tuple(range(1, 400))  # sessions that shall have their children as lists
 SERVER = "server01"
 WATCHED = "NATION_11"
 
@@ -29,7 +30,19 @@ def _as_text(column, names):
 
 
 def _summary(spark, sf_dir):
-    return _lists_as_text(sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER, lists="structs"))
+    return sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER)
+
+
+def _lists(spark, sf_dir):
+    """Nested lists for the sessions that are named; the others have none."""
+    tables = _tables(spark, sf_dir)
+    return _lists_as_text(sessions.session_summary(tables, server_name=SERVER, lists="structs", list_sessions=NAMED))
+
+
+def _places(spark, sf_dir):
+    return sessions.session_children(_tables(spark, sf_dir), places=True).withColumns(
+        {c: (F.col(c) * 128).cast("bigint") for c in sessions.SPACE_COLUMNS[1:]}
+    )
 
 
 def _lists_as_text(wide):
@@ -125,7 +138,9 @@ def _boundaries(spark, sf_dir):
 
 QUERIES = {
     "a08_session_summary": _summary,
+    "a08_session_lists": _lists,
     "a08_children": _children,
+    "a08_child_places": _places,
     "a08_xml": _xml,
     "a09_session_tasks": _tasks,
     "a10_blocking": _blocking,
@@ -325,3 +340,17 @@ ORACLE = {
            date_diff('hour', a, b) as hours
       from shifted""",
 }
+
+_LISTS = ("current_waits", "aggregate_waits", "tempdb_utilization")
+_listed = ORACLE["a08_session_summary"]
+ORACLE |= {
+    "a08_session_summary": f"select * exclude ({', '.join(_LISTS)}) from ({_listed})",
+    "a08_session_lists": f"""
+    select * exclude ({', '.join(_LISTS)}),
+           {', '.join(f"case when session_id in ({', '.join(map(str, NAMED))}) then {c} end as {c}" for c in _LISTS)}
+      from ({_listed})""",
+    "a08_child_places": f"""
+    select *, row_number() over (partition by session_id, kind order by waiting_tasks_count desc, request_id nulls first,
+             exec_context_id nulls first, resource_description nulls first, wait_duration_ms nulls first, wait_type nulls first) as place
+      from ({ORACLE["a08_children"]})""",
+}

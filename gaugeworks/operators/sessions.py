@@ -8,7 +8,8 @@ for the rows that are left.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from gaugeworks.functions.scalars import (
     unwrap_ms,
 )
 from gaugeworks.functions.xml import list_to_xml
+from gaugeworks.plans.materialize import materialize
 from gaugeworks.plans.relational import (
     first_per,
     flag_parents,
@@ -38,6 +40,7 @@ from gaugeworks.plans.relational import (
     lookup,
     lookup_one,
     nest,
+    numbered,
     report_order,
     union_all,
 )
@@ -66,6 +69,13 @@ class SessionTables:
     listener_ips: DataFrame
     databases: DataFrame
 
+    def of_sessions(self, ids: Sequence[int] | None) -> SessionTables:
+        """The children of these sessions only, for nested lists; of all sessions where ``ids`` is None."""
+        if ids is None:
+            return self
+        wanted = F.col("session_id").isin(*ids) if ids else F.lit(False)
+        return replace(self, **{n: getattr(self, n).filter(wanted) for n in ("waiting_tasks", "task_space", "session_waits")})
+
 
 COUNTERS = ("cpu_time", "reads", "logical_reads", "writes")
 CURRENT = {c: "current_cpu" if c == "cpu_time" else f"current_{c}" for c in COUNTERS}
@@ -332,33 +342,36 @@ def _children(t: SessionTables, keys) -> tuple[DataFrame, DataFrame, DataFrame]:
     return t.waiting_tasks.select(*by_session, *WAIT_COLUMNS), space, totals
 
 
-def session_children(t: SessionTables, *, keys=(), ordered: bool = True) -> DataFrame:
+def session_children(t: SessionTables, *, keys=(), ordered: bool = True, places: bool = False) -> DataFrame:
     """The waits, tempdb use and wait totals that belong to the rows of ``session_summary``.
 
     One row per child, told apart by ``kind`` (current_wait, tempdb, wait_total); columns of other
     kinds are NULL. Tempdb use belongs to a request, the others to the session. Any number of
-    children of one session is fine, as nothing is gathered.
+    children of one session is fine, as nothing is gathered: ``places`` adds each child's ``place`` among
+    its session's children of its kind, counted over all rows where they lie and not per session.
     """
     waits, space, totals = _children(t, keys)
     people = t.sessions.filter("is_user_process").select(*keys, "session_id")
     kinds = [c.withColumn("kind", F.lit(k)) for c, k in ((waits, "current_wait"), (space, "tempdb"), (totals, "wait_total"))]
     # sessions are unique, so a child meets one at most
     rows = lookup(union_all(*kinds), people, [*keys, "session_id"], "left_semi")
-    rows = report_order(
-        rows,
-        ordered,
-        *keys,
-        "session_id",
-        "kind",
+    group = [*keys, "session_id", "kind"]
+    order = [
+        *group,
         F.desc("waiting_tasks_count"),
         "request_id",
         "exec_context_id",
         "resource_description",
         "wait_duration_ms",
         "wait_type",
-    )
+    ]
     columns = ("session_id", "kind", "request_id", *WAIT_COLUMNS, *SPACE_COLUMNS[1:], *TOTAL_COLUMNS[1:])
-    return rows.select(*keys, *columns)
+    if places:
+        counted = numbered(rows.select(*keys, *columns).orderBy(*order))
+        starts = materialize(counted.groupBy(*group).agg(F.min("place").alias("_start")))
+        rows = lookup(counted, starts, group, "inner").withColumn("place", F.col("place") - F.col("_start") + 1)
+        columns = (*columns, "place")
+    return report_order(rows, ordered, *order).select(*keys, *columns)
 
 
 def _with_lists(rows: DataFrame, t: SessionTables, keys, as_xml: bool) -> DataFrame:
@@ -382,13 +395,19 @@ LIST_COLUMNS = ("current_waits", "aggregate_waits", "tempdb_utilization")
 
 
 def session_summary(
-    t: SessionTables, *, server_name: str, keys=(), lists: str | None = None, ordered: bool = True
+    t: SessionTables,
+    *,
+    server_name: str,
+    keys=(),
+    lists: str | None = None,
+    list_sessions: Sequence[int] | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """One row per user session and request, always.
 
     Waits, tempdb use and wait totals are rows of ``session_children``. ``lists="structs"`` or
-    ``lists="xml"`` adds them as nested columns as well; a nested value holds all children of its
-    session, so ask for it where their number is small.
+    ``lists="xml"`` adds them as nested columns as well. A nested value holds all children of its
+    session, so name the sessions that shall have them (``list_sessions``); they are NULL for the others.
     """
     if lists not in (None, "structs", "xml"):
         raise ValueError(f"lists must be None, 'structs' or 'xml', not {lists!r}")
@@ -407,7 +426,7 @@ def session_summary(
     rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads").distinct()
     rows = lookup(rows, t.input_buffers.select(*by_request, "event_info"), by_request)
     if lists:
-        rows = _with_lists(rows, t, keys, lists == "xml")
+        rows = _with_lists(rows, t.of_sessions(list_sessions), keys, lists == "xml")
     rows = _with_texts(rows, t, keys)
     rows = report_order(rows, ordered, *keys, F.desc("elapsed_ms"), "session_id")
     return rows.select(*keys, *SUMMARY_COLUMNS, *(LIST_COLUMNS if lists else ()))
