@@ -1,14 +1,17 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over shallow features.
 
 A page becomes a flat sequence of text blocks (what stands between the ends of block elements). Each block
-is described by its own number of words and link density, those of its neighbours, and what its
-ancestors are called; a decision tree, trained on a small labelled table, tells main text from the rest.
+is described by its own number of words and link density, those of its neighbours, whether it is a
+heading, and the kind of region its ancestors name, if any; a decision tree, trained on a small labelled
+table in which most pages name nothing, tells main text from the rest.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -45,12 +48,11 @@ REGIONS = "nav aside footer menu dialog search".split()  # elements that are suc
 MAIN = "article post entry story content main maincontent articlebody".split()
 OWN_HEADER = "article post entry story".split()  # with these, a header is the text's own
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S,
-)
-_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("[\"'>]")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+# html.unescape turns digits into a number, whose length Python limits
+_LEADING_ZEROS, _NO_CHARACTER = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 _SCRIPT_PART = re.compile(r"(?P<open><!--)|(?P<shut>-->)|<(?P<end>/?)script(?=[\s/>])", re.I)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _PART = re.compile(r"[a-z]+")
@@ -58,7 +60,75 @@ _UNSEEN, _BLOCKS, _CONTAINERS, _ASIDE, _REGIONS, _MAIN, _OWN_HEADER = map(
     frozenset, (UNSEEN, BLOCKS, CONTAINERS, ASIDE, REGIONS, MAIN, OWN_HEADER)
 )
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "heading", "outside")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "region")
+
+
+class _Token(NamedTuple):
+    """A tag (with a name) or a stretch of text."""
+
+    end: int  # where it ends
+    name: str = ""
+    closing: bool = False
+    attrs: str = ""
+    text: str | None = None
+
+
+def _tag_end(page: str, at: int, hopeless: set[int]) -> int | None:
+    """Behind the ``>`` of a tag whose attributes begin at ``at``; None where all of them are in quotes.
+
+    ``hopeless`` keeps the quotes from which no such end was found, so that they are tried once a page.
+    """
+    tried = []
+    while sign := _QUOTE_OR_END.search(page, at):
+        if page[sign.start()] == ">":
+            return sign.end()
+        if sign.start() in hopeless:
+            break
+        tried.append(sign.start())
+        at = page.find(page[sign.start()], sign.end()) + 1
+        if not at:
+            break
+    hopeless.update(tried)
+    return None
+
+
+def _tokens(page: str, at: int, hopeless: set[int]) -> Iterator[_Token]:
+    """Tags and texts from ``at`` on; what does not become a tag is text. Every part is looked at a few times at most."""
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            yield _Token(end, text=page[at:end])
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            yield _Token(len(page) if end < 3 else end)
+            end = len(page) if end < 3 else end
+        elif (first := page.find(">", at)) < 0:
+            end = len(page)  # no tag ends any more
+            yield _Token(end, text=page[at:])
+        else:
+            closing = page[at + 1] == "/"
+            name = _NAME.match(page, at + 1 + closing)
+            if name:
+                # a tag whose quotes don't fit ends at its first ``>``
+                end = _tag_end(page, name.end(), hopeless)
+                attrs = page[name.end() : end - 1] if end else ""
+                end = end or first + 1
+                yield _Token(end, name[0].lower(), closing, attrs)
+            elif page[at + 1] in "!?/":
+                end = first + 1
+                yield _Token(end)
+            else:
+                end = at + 1
+                yield _Token(end, text="<")
+        at = end
+
+
+def _decoded(text: str) -> str:
+    """A text with its character references replaced; a number beyond all characters is none of them."""
+    if "&#" in text:
+        text = _NO_CHARACTER.sub("\ufffd", _LEADING_ZEROS.sub("&#", text))
+    return html.unescape(text) if "&" in text else text
 
 
 class _Place(NamedTuple):
@@ -67,7 +137,7 @@ class _Place(NamedTuple):
     aside: bool = False
     main: bool = False
     fixed: bool = False  # set aside by an element that is never a wrapper
-    wrappers: tuple[int, ...] = ()  # other elements that set it aside, outside any article
+    wrappers: tuple[int, int] = (0, 0)  # other elements that set it aside, outside any article: how many, the innermost
     article: int = 0  # the outermost one
     aside_inside: bool = False  # set aside by an element inside that article
 
@@ -105,12 +175,12 @@ def _region(name: str, attrs: str, above: _Place, serial: int) -> _Place:
         place = place._replace(aside=True)
         if above.article:
             return place._replace(aside_inside=True)
-        return place._replace(fixed=True) if name in _REGIONS or name == "header" else place._replace(wrappers=(*above.wrappers, serial))
+        return place._replace(fixed=True) if name in _REGIONS or name == "header" else place._replace(wrappers=(above.wrappers[0] + 1, serial))
     if above.fixed or above.article:
         return place
     if name == "main":
         # a page has one, so that what it stands in are wrappers
-        return place._replace(aside=False, wrappers=())
+        return place._replace(aside=False, wrappers=(0, 0))
     return place._replace(article=serial) if name == "article" and (named_main or not named_aside) else place
 
 
@@ -122,7 +192,7 @@ def _lift_wrappers(found: list[_Block]) -> None:
     aside. Articles elsewhere (comments, teasers) stay set aside.
     """
     n_words: dict[int, int] = {}
-    wrappers: dict[int, tuple[int, ...]] = {}
+    wrappers: dict[int, tuple[int, int]] = {}
     outside = 0
     for b in found:
         if b.place.article and not b.place.aside_inside:
@@ -131,8 +201,8 @@ def _lift_wrappers(found: list[_Block]) -> None:
         elif b.place.main and not b.place.aside and not b.place.article:
             outside += len("".join(b.text).split())
     if n_words:
-        least = min(map(len, wrappers.values()))
-        longest = max((k for k in n_words if len(wrappers[k]) == least), key=n_words.get)
+        least = min(depth for depth, _ in wrappers.values())
+        longest = max((k for k in n_words if wrappers[k][0] == least), key=n_words.get)
         if n_words[longest] > outside:
             for b in found:
                 if b.place.article and b.place.wrappers == wrappers[longest]:
@@ -141,9 +211,9 @@ def _lift_wrappers(found: list[_Block]) -> None:
 
 def _raw_end(page: str, name: str, at: int) -> int:
     """Where an element with raw text ends that holds what follows ``at``; without an end tag, the page's end."""
-    ends = _RAW_END[name]
-    first = ends.search(page, at)
-    if first is None:
+    first = _RAW_END[name].search(page, at)
+    behind = page.find(">", first.end()) + 1 if first else 0
+    if not behind:
         return len(page)
     if name == "script" and page.find("<!--", at, first.start()) >= 0:
         # between <!-- and --> a script may hold script elements as text
@@ -158,10 +228,10 @@ def _raw_end(page: str, name: str, at: int) -> int:
                 nested = hidden
             elif nested:
                 nested = False
-            elif end := ends.match(page, part.start()):
-                return end.end()
+            else:
+                return page.find(">", part.end()) + 1 or len(page)
             part = _SCRIPT_PART.search(page, part.start() + 2)
-    return first.end()
+    return behind
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
@@ -170,6 +240,8 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     now, unseen, in_link = _Block(), None, False
     opened, unclosed = 0, set()
     stack: list[tuple[str, _Place]] = [("", _Place())]
+    open_names: Counter[str] = Counter()
+    hopeless: set[int] = set()
 
     def close(heading: bool = False) -> None:
         nonlocal now
@@ -177,22 +249,20 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             found.append(now)
         now = _Block(place=stack[-1][1], heading=heading)
 
-    tokens = _TOKEN.finditer(page)
+    tokens = _tokens(page, 0, hopeless)
     while (token := next(tokens, None)) or unseen:
         if token is None:
             # never closed: the rest of the page is not its content
             unclosed.add(unseen)
-            unseen, tokens = None, _TOKEN.finditer(page, opened)
+            unseen, tokens = None, _tokens(page, opened, hopeless)
             continue
-        name = token["name"] or token["name2"]
+        name, end, attrs = token.name, token.closing, token.attrs
         if name:
-            name, end = name.lower(), bool(token["end"] or token["end2"])
-            attrs = token["attrs"] or ""
             void = attrs.rstrip().endswith("/")
             if name in _RAW_END and not end:
                 # a self-closed element has nothing to skip
                 if not (void and (name == "iframe" or unseen in ("svg", "math"))):
-                    tokens = _TOKEN.finditer(page, _raw_end(page, name, token.end()))
+                    tokens = _tokens(page, _raw_end(page, name, token.end), hopeless)
                 if name == "title" and not unseen:
                     close()
                 continue
@@ -203,7 +273,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
                 continue
             if not end and name in _UNSEEN and name not in unclosed:
                 if not (void and name in ("svg", "math", "object")):
-                    unseen, opened = name, token.end()
+                    unseen, opened = name, token.end
                 continue
             if name == "head":
                 close()  # what may stand in it has no text or is unseen; anything else ends it
@@ -215,19 +285,22 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             elif name in _BLOCKS:
                 if name == "body" and not end:
                     stack[1:] = []
+                    open_names.clear()
                 if name in _CONTAINERS and not attrs.rstrip().endswith("/"):
                     if not end:
-                        stack.append((name, _region(name, attrs, stack[-1][1], token.end())))
-                    elif any(n == name for n, _ in stack):
-                        while stack.pop()[0] != name:
-                            pass
+                        stack.append((name, _region(name, attrs, stack[-1][1], token.end)))
+                        open_names[name] += 1
+                    elif open_names[name]:
+                        while (shut := stack.pop()[0]) != name:
+                            open_names[shut] -= 1
+                        open_names[name] -= 1
                     close()
                 else:
                     close(heading=not end and name[0] == "h" and name[1:].isdigit())
                     if not end and attrs:
-                        now.place = _region(name, attrs, stack[-1][1], token.end())
-        elif token["text"] is not None and not unseen:
-            text = html.unescape(token["text"])
+                        now.place = _region(name, attrs, stack[-1][1], token.end)
+        elif token.text is not None and not unseen:
+            text = _decoded(token.text)
             now.text.append(text)
             if in_link:
                 now.link_words += len(text.split())
@@ -246,44 +319,42 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 def features(own: list[list[float]]) -> np.ndarray:
     """The features of a page's blocks, neighbours included; outside the page there are no words.
 
-    The last one tells blocks outside the main regions of a page that has such regions, not set aside.
+    Names of elements and classes are one of them, the region: 1 in a main region, -1 in one that is set aside
+    or outside the main regions of a page that has any, 0 where nothing is named.
     """
     a = np.array(own, dtype=float).reshape(-1, 5)
     none = np.zeros((1, 2))
     before, after = np.vstack([none, a[:-1, :2]])[: len(a)], np.vstack([a[1:, :2], none])[: len(a)]
-    outside = (a[:, 3] == 0) & ((a[:, 3] > 0) & (a[:, 2] == 0)).any()
-    return np.hstack([a[:, :2], before, after, a[:, 2:], outside[:, None]])
+    aside, main = a[:, 2] > 0, a[:, 3] > 0
+    region = np.where(aside, -1, np.where(main, 1, -1 if (main & ~aside).any() else 0))
+    return np.hstack([a[:, :2], before, after, a[:, 4:], region[:, None]])
 
 
 class DecisionTree:
     """A small classification tree: the split that lowers Gini impurity most, to a depth and a leaf size."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 5, leaf: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 9, leaf: int = 2):
         self.value = bool(y.mean() >= 0.5) if len(y) else True
         self.split = None
         if depth and 0 < y.sum() < len(y):
-            best = min(
-                (
-                    (self._impurity(y[low]) + self._impurity(y[~low]), k, at)
-                    for k in range(x.shape[1])
-                    for at in self._cuts(x[:, k])
-                    if min((low := x[:, k] <= at).sum(), (~low).sum()) >= leaf
-                ),
-                default=None,
-            )
-            if best and best[0] < self._impurity(y) - 1e-9:
+            before = _impurity(y.sum(), len(y))
+            best = min((self._best_cut(x[:, k], y, leaf, k) for k in range(x.shape[1])), key=lambda cut: cut[:2])
+            if best[0] < before - 1e-9:
                 _, k, at = best
                 low = x[:, k] <= at
                 self.split = k, at, DecisionTree(x[low], y[low], depth - 1, leaf), DecisionTree(x[~low], y[~low], depth - 1, leaf)
 
     @staticmethod
-    def _impurity(y: np.ndarray) -> float:
-        return 2 * y.sum() * (1 - y.mean()) if len(y) else 0.0
-
-    @staticmethod
-    def _cuts(values: np.ndarray) -> list[float]:
-        found = np.unique(values)
-        return ((found[1:] + found[:-1]) / 2).tolist()
+    def _best_cut(values: np.ndarray, y: np.ndarray, leaf: int, k: int) -> tuple[float, int, float]:
+        order = np.argsort(values, kind="stable")
+        sorted_values, yes = values[order], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        fits = (sorted_values[1:] > sorted_values[:-1]) & (n >= leaf) & (len(y) - n >= leaf)
+        if not fits.any():
+            return math.inf, k, 0.0
+        both = _impurity(yes[:-1], n) + _impurity(yes[-1] - yes[:-1], len(y) - n)
+        at = int(np.argmin(np.where(fits, both, math.inf)))
+        return float(both[at]), k, float(sorted_values[at] + sorted_values[at + 1]) / 2
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.split is None:
@@ -293,21 +364,35 @@ class DecisionTree:
         out[low], out[~low] = left.predict(x[low]), right.predict(x[~low])
         return out
 
+    def used(self) -> set[int]:
+        """The features the tree asks for."""
+        return set() if self.split is None else {self.split[0]} | self.split[2].used() | self.split[3].used()
 
-def train(pages: tuple[str, ...] = PAGES) -> DecisionTree:
-    """The tree of a labelled table: pages in which main text begins with ``+`` and the rest with ``-``."""
+
+def _impurity(yes, n):
+    """Gini impurity of a part with ``yes`` of ``n``, weighted by its size."""
+    return 2 * yes * (1 - yes / n)
+
+
+def labelled(pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a labelled table: pages in which main text begins with ``+`` and the rest with ``-``."""
     x, y = [], []
     for page in pages:
         found = blocks(page)
         x.append(features([[own[0] - (len(text.split()[0]) == 1), *own[1:]] for text, own in found]))
         y += [text[0] == "+" for text, _ in found]
-    return DecisionTree(np.vstack(x), np.array(y, dtype=bool))
+    return np.vstack(x), np.array(y, dtype=bool)
+
+
+def train(pages: tuple[str, ...] = PAGES) -> DecisionTree:
+    return DecisionTree(*labelled(pages))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: DecisionTree | None = None) -> DataFrame:
     """Per page: id, url, ``text`` of its main blocks joined by line ends (empty if none), and ``n_chars``.
 
-    Null or empty html has an empty text. One row per row; other columns are not read.
+    Null or empty html has an empty text. One row per row, repeated ones too; other columns are not read, and
+    an empty table gives an empty result. Pages of any size and any broken markup take time in proportion.
     """
     prepare(pages.sparkSession)
     tree = tree or train()

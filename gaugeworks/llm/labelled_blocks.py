@@ -1,8 +1,14 @@
-"""The labelled table of text blocks: small pages whose main text begins with ``+`` and the rest with ``-``."""
+"""The labelled table of text blocks: small pages whose main text begins with ``+`` and the rest with ``-``.
+
+Some pages are written out, to show regions by name. Most are made by a seeded rule and name nothing:
+there numbers of words, links and neighbours decide.
+"""
+
+import random
 
 _LONG = "words of a longer paragraph that goes on for a while, names a few things and comes to an end."
 
-PAGES = (
+_WRITTEN = (
     # articles in semantic markup, with short and long paragraphs, lists and links inside the text
     f"""<html><head><title>x</title></head><body><header>- The Daily Page</header><nav><ul><li><a href=/>- Home</a><li><a href=/n>- News</a>
     <li><a href=/s>- Sport and more</a></ul></nav><article><h1>+ A headline of six words here</h1><p>+ {_LONG} {_LONG}<p>+ To.<p>+ Short one.
@@ -44,3 +50,59 @@ PAGES = (
     f"""<p>+ A line.</p><p>+ {_LONG}</p><p>+ Another line of it.</p><p>+ The last one.</p>""",
     f"""<body><table><tr><td><a href=/1>- One</a><td><a href=/2>- Two</a></table><p>+ {_LONG}</p><p>+ {_LONG}</p><p><a href=/3>- More of this</a></p></body>""",
 )
+
+
+def _words(rng: random.Random, least: int, most: int) -> str:
+    return " ".join(rng.choices(_LONG.split(), k=rng.randint(least, most)))
+
+
+def _links(rng: random.Random) -> str:
+    """Blocks that are links: menus, lists of other pages, addresses at the end."""
+    tag = rng.choice(["li", "div", "p", "td"])
+    return "".join(f"<{tag}><a href=/{k}>- {_words(rng, 1, rng.choice([1, 3, 8]))}</a></{tag}>" for k in range(rng.randint(2, 7)))
+
+
+def _paragraphs(rng: random.Random, tag: str, most: int = 7) -> str:
+    """Long paragraphs with short ones and a link among them."""
+    out = [f"<{tag}>+ {_words(rng, 18, 130)}</{tag}>"]
+    for _ in range(rng.randint(1, most)):
+        kind = rng.random()
+        if kind < 0.25:
+            out.append(f"<{tag}>+ {_words(rng, 1, 9)}</{tag}>")
+        elif kind < 0.4:
+            out.append(f"<{tag}>+ {_words(rng, 20, 60)} <a href=/x>{_words(rng, 1, 4)}</a></{tag}>")
+        out.append(f"<{tag}>+ {_words(rng, 18, 130)}</{tag}>")
+    return "".join(out)
+
+
+def _unnamed(rng: random.Random) -> str:
+    """A page of ``div`` and ``p``: links and short lines around a heading and paragraphs."""
+    tag = rng.choice(["p", "div"])
+    short = lambda most: f"<div>- {_words(rng, 2, most)}</div>" if rng.random() < 0.6 else ""
+    title = f"<h1>+ {_words(rng, 3, 14)}</h1>" if rng.random() < 0.8 else ""
+    linked_end = rng.choice(["", _links(rng), f"<div>- {_words(rng, 2, 6)} <a href=/i>{_words(rng, 2, 6)}</a></div>"])
+    return f"<body><div>{_links(rng)}</div>{short(12)}<div>{title}{_paragraphs(rng, tag)}</div>{linked_end}{short(14)}</body>"
+
+
+def _named(rng: random.Random) -> str:
+    """A page whose regions are named: what stands in them belongs to them, however long and linked it is."""
+    any_ = lambda sign: "".join(
+        rng.choice([f"<p>{sign} {_words(rng, 1, rng.choice([4, 15, 90]))}</p>", f"<p><a href=/a>{sign} {_words(rng, 1, 9)}</a></p>", f"<h2>{sign} {_words(rng, 1, 9)}</h2>"])
+        for _ in range(rng.randint(2, 8))
+    )
+    before, after = (rng.choice(["nav", "header", "div class=ad", "div id=sidebar", "aside"]) for _ in range(2))
+    main = rng.choice(["article", "main", "div class=content", "div id=post"])
+    close = lambda tag: tag.split()[0]
+    outside = f"<div>- {_words(rng, 1, 60)}</div>" if rng.random() < 0.5 else ""
+    return (
+        f"<body><{before}>{any_('-')}</{close(before)}>{outside}<{main}>{any_('+')}</{close(main)}>"
+        f"<{after}>{any_('-')}</{close(after)}><footer>{any_('-')}</footer></body>"
+    )
+
+
+def _made(n_unnamed: int = 90, n_named: int = 40, seed: int = 3) -> tuple[str, ...]:
+    rng = random.Random(seed)
+    return (*(_unnamed(rng) for _ in range(n_unnamed)), *(_named(rng) for _ in range(n_named)))
+
+
+PAGES = (*_WRITTEN, *_made())

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 from urllib.parse import urlparse
 
@@ -163,6 +164,70 @@ def test_wrappers_do_not_set_articles_aside(page):
     assert main.tolist() == [text.startswith("+ ") for text, _ in found]
 
 
+def _renamed(page):
+    """The same page with ``div`` for every region and no telling names."""
+    return re.sub(r"<(/?)(?:nav|article|footer|aside|header|section|main)\b", r"<\1div", page).replace('class="', 'class="z')
+
+
+def test_words_and_links_decide_where_nothing_is_named(spark):
+    """Without numbers of words and links the tree falls apart; names are one feature of eight."""
+    x, y = html_text.labelled()
+    tree = html_text.DecisionTree(x, y)
+    assert len(y) > 1000 and {0, 1} <= tree.used() and tree.used() & {2, 3, 4, 5}
+    assert (tree.predict(x) == y).mean() > 0.99
+    blind = x.copy()
+    blind[:, :6] = 0
+    ablated = html_text.DecisionTree(blind, y)
+    unnamed = x[:, 7] == 0
+    assert (ablated.predict(blind) != tree.predict(x))[unnamed].mean() > 0.3
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").orderBy("page_id").limit(60).collect()]
+    kept = dropped = changed = 0
+    for page in pages:
+        main = {text for text, own in html_text.blocks(page) if own[3]}
+        found = html_text.blocks(_renamed(page))
+        own = html_text.features([f for _, f in found])
+        assert not own[:, 7].any()
+        said = tree.predict(own)
+        own[:, :6] = 0
+        changed += (ablated.predict(own) != said).sum()
+        kept += sum(len(t) for (t, _), k in zip(found, said) if k and t in main)
+        dropped += sum(len(t) for t in main) - sum(len(t) for (t, _), k in zip(found, said) if k and t in main)
+        assert not any(k for (t, f), k in zip(found, said) if f[1] == 1 and f[0] <= 3)  # menus
+    assert kept > 10 * dropped and changed > len(pages)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a" * 500_000,
+        "if a<b then " * 90_000,
+        'x <b " ' * 150_000,
+        "<p class='" * 100_000,
+        "<a \"'> '" * 140_000,
+        "<form>" * 170_000,
+        "<div>" * 100_000 + "</section>" * 100_000,
+        "<script>" + "</script " * 120_000,
+        "<script><!--" + "<script " * 120_000,
+        "<button>" * 130_000,
+        "&#" + "9" * 1_000_000 + ";",
+        "&#" + "0" * 1_000_000 + "65;",
+        "<!--" * 250_000,
+        "<svg><p>" * 120_000,
+    ],
+)
+def test_a_megabyte_of_broken_markup_takes_time_in_proportion(page):
+    begin = time.process_time()
+    html_text.blocks(page[: len(page) // 4])
+    quarter = time.process_time() - begin
+    html_text.blocks(page)
+    whole = time.process_time() - begin - quarter
+    assert whole < 12 * quarter + 1 and whole < 10
+
+
+def test_references_beyond_all_characters():
+    assert html_text.blocks("<p>&#99999999999;a &#0065; &#x41; &#1114112; b") == html_text.blocks("<p>\ufffda A A \ufffd b")
+
+
 def test_articles_of_the_test_pages(spark):
     """The markup of these pages is simple enough to cut out the article by hand."""
     import html
