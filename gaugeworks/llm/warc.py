@@ -1,7 +1,8 @@
 """Deterministic WARC archives: range-sorted records in rolled shards, committed by a manifest.
 
-Records are sorted by id across shards; the bounds come from a seeded hash sample of the ids and the total
-size, so the same rows give the same files on any cluster. A task writes its shards under temporary names,
+Records are sorted by id across ranges, a task each; the bounds come from a seeded hash sample of ids and
+their sizes, so the same rows give the same files on any cluster. A file ends when its compressed bytes
+reach the limit, several times in a range. A task writes its shards under temporary names,
 moves each to its final name when it is complete, and reports it in a manifest that Spark's committer
 publishes. A repeated or lost task writes the same bytes again. Files the manifest lacks are not read.
 
@@ -16,6 +17,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -28,15 +30,16 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import arrow_batches, prepare, written
 from gaugeworks.plans.materialize import new_folder
 
-RANGE_BYTES = 16 << 20
-ROLL_BYTES = 64 << 20
-SAMPLE_PER_RANGE = 64
+RANGE_BYTES = 128 << 20  # of payload
+ROLL_BYTES = 16 << 20  # of gzip; pages are packed to a third or less
+SAMPLE_ROWS, SAMPLE_PER_RANGE = 200_000, 16  # ids that reach the driver, at any size of the input
 MIN_REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, part int, path string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 LEVEL = 6
+_URL_CHARACTERS = "".join(map(chr, range(0x21, 0x7F))).replace("%", "")
 
 
 def _storage(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -44,8 +47,24 @@ def _storage(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
 
 
-def _uri(folder: str) -> str:
-    return folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+#: Names that Hadoop's connectors have for stores pyarrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def _uri(spark: SparkSession, folder: str, make: bool = False) -> str:
+    """The shared folder as tasks open it: mount tables are resolved, and schemes have pyarrow's names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        fs.mkdirs(path)
+    return _renamed(fs.resolvePath(path).toString())
+
+
+def _renamed(uri: str) -> str:
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file" and not rest.startswith("//"):
+        rest = f"//{rest}"
+    return SCHEMES.get(scheme, scheme) + colon + rest
 
 
 def record_id(page_id: int | None, digest: str, nth: int) -> str:
@@ -68,7 +87,10 @@ def page_record(page_id, url, payload: bytes, digest: str, nth: int, refers_to)
     headers = {"WARC-Record-ID": record_id(page_id, digest, nth)}
     if url is not None:
         # a line end in a url would end the header
-        headers["WARC-Target-URI"] = url.encode("unicode_escape").decode() if not url.isprintable() else url
+        plain = url.isprintable()
+        headers["WARC-Target-URI"] = url if plain else quote(url, safe=_URL_CHARACTERS)
+        if not plain:
+            headers["X-Target-URI-Encoding"] = "percent"
     headers |= {
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
@@ -112,6 +134,16 @@ class _Shard:
         return self.shard, self.part, self.name, self.records, self.bytes, self.digest.hexdigest()
 
 
+def range_bounds(ids: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
+    """First ids of all ranges but the first, so that each has about as many bytes."""
+    order = np.argsort(ids)
+    upto = np.cumsum(sizes[order])
+    if not len(upto) or not upto[-1]:
+        return np.empty(0, np.int64)
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges, side="right")
+    return np.unique(ids[order][np.minimum(at, len(ids) - 1)])
+
+
 def write_archive(
     pages: DataFrame,
     folder: str,
@@ -128,12 +160,11 @@ def write_archive(
     A null html is an empty payload. Of equal payloads of at least ``min_revisit`` bytes, the one with the
     smallest id is the response; rows with that very id and payload are revisits of the first of them. A
     row without id never is the one referred to, unless no equal one has an id. Ids are whole numbers.
-    ``range_bytes`` of payload make a sorted range (one task), ``roll_bytes`` of gzip a file.
+    About ``range_bytes`` of payload make a sorted range (one task), more where the sample of ids has too few
+    for so many ranges. ``roll_bytes`` of gzip end a file.
     """
     spark = prepare(pages.sparkSession)
-    folder = _uri(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    folder = _uri(spark, folder, make=True)
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
@@ -150,11 +181,13 @@ def write_archive(
     marks = narrow.join(first, F.col("digest") == F.col("same")).select("id", "digest", "first_id").distinct()
 
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("id")).first()
-    ranges = max(1, -(-total[0] // range_bytes))
-    every = max(1, total[1] // (ranges * SAMPLE_PER_RANGE))
+    ranges = min(max(1, -(-total[0] // range_bytes)), SAMPLE_ROWS // SAMPLE_PER_RANGE)
+    every = max(1, -(-total[1] // SAMPLE_ROWS))
     in_sample = F.pmod(F.xxhash64(F.lit("bounds"), "id"), F.lit(every)) == 0
-    sample = sorted(r.id for r in narrow.where(F.col("id").isNotNull() & in_sample).select("id").distinct().collect()) if ranges > 1 else []
-    bounds = np.unique([sample[len(sample) * k // ranges] for k in range(1, ranges)]) if sample else np.empty(0, np.int64)
+    bounds = np.empty(0, np.int64)
+    if ranges > 1:
+        sampled = narrow.where(F.col("id").isNotNull() & in_sample).groupBy("id").agg(F.sum("size").alias("size")).toArrow()
+        bounds = range_bounds(np.asarray(sampled["id"]), np.asarray(sampled["size"]), ranges)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
@@ -216,9 +249,12 @@ def records(raw: io.RawIOBase, block: int = 1 << 20) -> Iterator[tuple[dict[str,
 
 
 def read_archive(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:
-    """The page records of all shards that the manifest lists, a task per shard; digests are checked."""
+    """The page records of all shards that the manifest lists, a task per shard; digests are checked.
+
+    An archive of an empty table has no records.
+    """
     prepare(spark)
-    folder = _uri(folder)
+    folder = _uri(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     top = manifest.agg(F.max("shard")).first()[0]
     columns = [f.split()[0] for f in RECORD.split(", ")]
@@ -227,6 +263,10 @@ def read_archive(spark: SparkSession, folder: str, *, payloads: bool = True) ->
     def number(text: str | None) -> int | None:
         return None if text is None else int(text)
 
+    def target(headers: dict[str, str]) -> str | None:
+        url = headers.get("WARC-Target-URI")
+        return unquote(url) if "X-Target-URI-Encoding" in headers else url
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=columns)
@@ -246,7 +286,7 @@ def read_archive(spark: SparkSession, folder: str, *, payloads: bool = True) ->
                         rows.append(
                             (
                                 number(headers.get("X-Page-ID")),
-                                headers.get("WARC-Target-URI"),
+                                target(headers),
                                 int(headers["X-Payload-Length"]) if payload is None else len(payload),
                                 digest,
                                 headers["WARC-Type"],

@@ -244,7 +244,7 @@ def archive_rows():
     rng = random.Random(6)
     rows = [(i, f"https://h{i % 7}.example/{i}", "".join(rng.choice("ab<é>\r\n") for _ in range(rng.randint(0, 400)))) for i in range(200)]
     rows += [(300 + i, f"https://x/{i}", rows[11][2] + "z" * 100) for i in range(40)] + [(500 + i, None, "short") for i in range(5)]
-    return rows + [(700, "a\r\nb: c", None), (701, "", ""), (None, "n", "y" * 200), (None, "n", "y" * 200), (310, "again", rows[11][2] + "z" * 100)]
+    return rows + [(700, "a\r\nb: c", None), (701, "", ""), (702, "http://é/%41?a b\u00a0\x00", "odd url"), (703, "100%", "x"), (None, "n", "y" * 200), (None, "n", "y" * 200), (310, "again", rows[11][2] + "z" * 100)]
 
 
 def archive_by_hand(rows):
@@ -284,10 +284,40 @@ def test_warc_round_trip(spark, tmp_path, range_bytes, roll_bytes):
     found = warc.read_archive(spark, f"file://{tmp_path}/a").collect()
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found)
     assert got == archive_by_hand(rows)
+    assert Counter(r.url for r in found) == Counter(r[1] for r in rows)
     texts = Counter((r[0], (r[2] or "").encode()) for r in rows)
     assert not Counter((r.page_id, bytes(r.payload)) for r in found if r.record_type == "response") - texts
 
 
+def test_files_end_by_compressed_size_at_production_parameters(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "u", rng.randbytes(600_000).hex()) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archive(df, f"file://{tmp_path}/w").orderBy("shard", "part").collect()
+    assert [m.shard for m in manifest] == [0, 0] and sum(m.records for m in manifest) == 40
+    assert warc.ROLL_BYTES <= manifest[0].bytes < warc.ROLL_BYTES + 1_300_000 < warc.RANGE_BYTES
+    assert warc.read_archive(spark, f"file://{tmp_path}/w", payloads=False).count() == 40
+
+
+def test_ranges_have_as_many_bytes_and_a_bounded_sample():
+    rng = np.random.default_rng(1)
+    ids = rng.permutation(10_000).astype(np.int64)
+    sizes = rng.integers(1, 2000, 10_000)
+    sizes[ids == 77] = 3_000_000
+    bounds = warc.range_bounds(ids, sizes, 8)
+    held = np.bincount(np.searchsorted(bounds, ids, side="right"), weights=sizes)
+    assert len(bounds) == 7 and sorted(held)[-2] < 1.3 * sizes.sum() / 8
+    assert len(warc.range_bounds(ids[:0], sizes[:0], 8)) == 0
+    assert warc.SAMPLE_ROWS == 200_000  # at any number of pages
+
+
+@pytest.mark.parametrize(
+    "uri, renamed", [("s3a://b/x", "s3://b/x"), ("file:/tmp/x", "file:///tmp/x"), ("file:///x", "file:///x"), ("hdfs://n:9000/x", "hdfs://n:9000/x")]
+)
+def test_shared_folders_have_names_that_tasks_know(uri, renamed):
+    assert warc._renamed(uri) == renamed
+
+
 def test_warc_of_nothing_and_broken_archives(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
@@ -310,7 +340,7 @@ def test_matches_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in contract.queries() if name.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_pipeline_stage_by_stage(spark):
