@@ -184,12 +184,23 @@ def _transactions(t: SessionTables, keys) -> DataFrame:
             state.alias("_transaction_state"),
             F.col("name").alias("transaction_name"),
         )
+        .repartition(*keys, "session_id")  # also the key of the join that follows
         .distinct()
     )
 
 
-def _with_listener(df: DataFrame, t: SessionTables, server_name: str, keys) -> DataFrame:
-    """Name and kind of the listener a connection came through, else the server's own name."""
+def _connections(t: SessionTables, keys) -> DataFrame:
+    """Connections of each session with the name and kind of the listener they came through, if any."""
+    df = t.connections.select(
+        *keys,
+        F.col("most_recent_session_id").alias("session_id"),
+        "client_net_address",
+        "local_net_address",
+        "local_tcp_port",
+        "auth_scheme",
+        "encrypt_option",
+        F.col("most_recent_sql_handle").alias("_connection_handle"),
+    )
     by_address = lookup(
         t.listener_ips, t.listeners.select(*keys, "listener_id", "dns_name"), [*keys, "listener_id"], "inner"
     ).select(*keys, F.col("ip_address").alias("local_net_address"), F.col("dns_name").alias("_by_address"))
@@ -198,16 +209,16 @@ def _with_listener(df: DataFrame, t: SessionTables, server_name: str, keys) -> D
     )
     df = lookup_one(df, by_address, [*keys, "local_net_address"], "_by_address")
     df = lookup_one(df, by_port, [*keys, "local_tcp_port"], "_by_port")
+    listener_type = F.when(F.col("_by_address").isNotNull(), VIRTUAL_NETWORK_LISTENER).when(
+        F.col("_by_port").isNotNull(), DISTRIBUTED_NETWORK_LISTENER
+    )
+    # connections that differ in address or port only are one row; by session, as they meet the sessions next
     return (
-        df.withColumn("dns_name", F.coalesce("_by_address", "_by_port", F.lit(server_name)))
-        .withColumn("_address_name", F.coalesce("_by_address", F.lit(server_name)))
-        .withColumn(
-            "listener_type",
-            F.when(F.col("_by_address").isNotNull(), VIRTUAL_NETWORK_LISTENER).when(
-                F.col("_by_port").isNotNull(), DISTRIBUTED_NETWORK_LISTENER
-            ),
-        )
-        .drop("_by_address", "_by_port", "local_net_address", "local_tcp_port")
+        df.withColumns({"dns_name": F.coalesce("_by_address", "_by_port"), "listener_type": listener_type})
+        .withColumnRenamed("_by_address", "_address_name")
+        .drop("_by_port", "local_net_address", "local_tcp_port")
+        .repartition(*keys, "session_id")
+        .distinct()
     )
 
 
@@ -216,16 +227,6 @@ def _sessions(
 ) -> DataFrame:
     """Sessions with their connection, requests, transactions and blocking role, decoded."""
     by_session = [*keys, "session_id"]
-    connections = t.connections.select(
-        *keys,
-        F.col("most_recent_session_id").alias("session_id"),
-        "client_net_address",
-        "local_net_address",
-        "local_tcp_port",
-        "auth_scheme",
-        "encrypt_option",
-        F.col("most_recent_sql_handle").alias("_connection_handle"),
-    ).distinct()
     people = t.sessions.select(
         *by_session,
         "is_user_process",
@@ -239,7 +240,7 @@ def _sessions(
     if only is not None:
         people = people.filter(only)
     # a session has few connections, requests and transactions, so plain joins on one key do
-    rows = lookup(people, connections, by_session)
+    rows = lookup(people, _connections(t, keys), by_session)
     rows = flag_parents(rows, t.requests, "session_id", "blocking_session_id", "_blocks", keys)
     rows = lookup(rows, requests, by_session)
     rows = lookup(rows, transactions, by_session)
@@ -276,8 +277,9 @@ def _sessions(
 
 def _named(rows: DataFrame, t: SessionTables, server_name: str, keys) -> DataFrame:
     groups = t.workload_groups.select(*keys, "group_id", F.col("name").alias("workload_group"))
-    rows = lookup(_with_listener(rows, t, server_name, keys), groups, [*keys, "group_id"])
-    return rows.drop("group_id", "database_id")
+    rows = lookup(rows, groups, [*keys, "group_id"])
+    own_name = {c: F.coalesce(c, F.lit(server_name)) for c in ("dns_name", "_address_name")}
+    return rows.withColumns(own_name).drop("group_id", "database_id")
 
 
 def _with_texts(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
@@ -412,9 +414,10 @@ def session_summary(
     if lists not in (None, "structs", "xml"):
         raise ValueError(f"lists must be None, 'structs' or 'xml', not {lists!r}")
     by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "request_id"]
+    # sessions and requests are unique, and so is a row that none of these multiplies
     grants = t.memory_grants.select(
         *by_request, F.col("grant_time").alias("memory_grant_time"), "query_cost", "dop"
-    )
+    ).repartition(*by_request).distinct()
     threads = t.tasks.groupBy(*by_request).agg(F.count("exec_context_id").alias("_threads"))
     requests = lookup(lookup(_requests(t, keys), grants, by_request), threads, by_request)
     with_request = t.requests.select(*by_session).distinct()
@@ -423,7 +426,7 @@ def session_summary(
     rows = _named(
         _sessions(t, requests, transactions, keys, F.col("is_user_process")), t, server_name, keys
     ).drop("_address_name")
-    rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads").distinct()
+    rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads")
     rows = lookup(rows, t.input_buffers.select(*by_request, "event_info"), by_request)
     if lists:
         rows = _with_lists(rows, t.of_sessions(list_sessions), keys, lists == "xml")
@@ -477,18 +480,20 @@ def _task_rows(t: SessionTables, keys) -> DataFrame:
 def _tasks_of(rows: DataFrame, t: SessionTables, server_name: str, keys) -> DataFrame:
     """Rows of the task reports for the sessions that are left; a session without input text drops out."""
     rows = _named(rows, t, server_name, keys).withColumn("dns_name", F.col("_address_name"))
-    rows = rows.drop("_address_name", "listener_type").distinct()
+    rows = rows.drop("_address_name", "listener_type")
     # an idle session has no request, and neither has its last input
     request = F.coalesce("request_id", F.lit(-1)).alias("_request")
     by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "_request"]
     inputs = t.input_buffers.select(*by_session, request, "event_info")
     rows = lookup(rows.select("*", request), inputs, by_request, "inner").drop("request_id")
-    parents = t.sessions.select(*by_session).join(
-        t.requests.select(*by_session, "request_id"), by_session, "left"
+    # every request, and every session as if it were idle
+    parents = t.requests.select(*by_session, "request_id").unionByName(
+        t.sessions.select(*by_session, F.lit(None).cast("int").alias("request_id"))
     )
     # a task without a request belongs to no request, and not to the idle session either
     tasks = _task_rows(t, keys).filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
-    rows = left_join_many(rows, tasks, by_request, parents.select(*by_session, request))
+    with_tasks = t.tasks.filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
+    rows = left_join_many(rows, tasks, by_request, parents.select(*by_session, request), with_tasks)
     return _with_texts(rows, t, keys)
 
 

@@ -63,18 +63,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def left_join_many(
-    left: DataFrame, right: DataFrame, on: Sequence[str], parents: DataFrame | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], parents: DataFrame | None = None, held: DataFrame | None = None
 ) -> DataFrame:
     """Left join to a table that may hold very many rows for one key.
 
     Adaptive execution splits a hot key on both sides of an inner join, but never on the right side
     of a left join. So ``right`` first gets an empty row for every key of ``left`` that it lacks, and
-    an inner join does the rest. ``parents`` is a cheap table that has all keys of ``left``; keys
-    must not be NULL.
+    an inner join does the rest. Which keys it lacks is one aggregate over the keys of both, combined on
+    the map side. ``parents`` is a cheap table that has all keys of ``left``, and may have others; ``held`` is
+    one that has just the keys of ``right``. Keys must not be NULL.
     """
     on = list(on)
-    keys = (left if parents is None else parents).select(*on).distinct()
-    lacking = keys.join(right.select(*on).distinct(), on, "left_anti")
+    wanted = (left if parents is None else parents).select(*on, F.lit(False).alias("_held"))
+    both = wanted.unionByName((right if held is None else held).select(*on, F.lit(True).alias("_held")))
+    lacking = both.groupBy(*on).agg(F.max("_held").alias("_held")).filter("NOT _held").select(*on)
     return left.join(right.unionByName(lacking, allowMissingColumns=True), on)
 
 

@@ -131,3 +131,10 @@ def test_a_hot_key_is_split(spark):
         joined.collect()
         final = joined._jdf.queryExecution().executedPlan().toString()
     assert "skew=true" in final
+
+
+@pytest.mark.parametrize(("name", "most", "derived"), [("a08_session_summary", 14, 1), ("a09_session_tasks", 14, 3), ("a10_blocking", 14, 3)])
+def test_shuffles_of_the_session_reports(spark, name, most, derived):
+    """``derived`` shuffles only make the test's own task and thread tables out of ``lineitem``."""
+    shuffles = re.findall(r"Exchange (?:hash|range)partitioning\((\w+)", plan(contract.queries()[name](spark, SF_DIR)))
+    assert shuffles.count("l_orderkey") == derived and len(shuffles) - derived <= most
