@@ -283,6 +283,26 @@ def _slices(b):
     )
 
 
+@piece(
+    "v01_switches",
+    """select value, value in ('True', 'False') as accepted,
+              case when value in ('True', 'False') then count(*) filter (value = 'True' or not is_user_process) end as rows
+         from sessions, (values ('True'), ('False'), ('true'), ('false'), ('1'), ('None')) as t(value)
+        group by value""",
+)
+def _switches(b):
+    """What a switch lets through with each value; anything but a bool is refused before any row is read."""
+    rows = []
+    for value in (True, False, "true", "false", 1, None):
+        try:
+            n = F.count_if(P.flag_in("is_user_process", value))
+        except ValueError:
+            n = None
+        told = F.lit(str(value)).alias("value"), F.lit(n is not None).alias("accepted")
+        rows.append(b.sessions.agg((F.lit(None).cast("long") if n is None else n).alias("rows")).select(*told, "rows"))
+    return R.union_all(*rows)
+
+
 @piece(
     "f16_wide_characters",
     """with statements as (
