@@ -147,18 +147,26 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document taken twice is two rows.
 
-    The document at the end of a quota is cut behind its last word taken; its ``n_chars`` follows.
+    The document at the end of a quota is cut behind its last word taken; its ``n_chars`` follows. Rows of
+    equal id and text share the words taken of all of them, to the last one. Empty and null texts give no row.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     text = F.col(f"`{text_col}`")
-    found = mix(docs, **options).where("taken > 0").groupBy(id_col, "t1", "t2")
-    # equal rows share their words evenly
-    found = found.agg(F.first("size").alias("__size"), F.floor(F.sum("taken") / F.count("*")).cast("long").alias("__taken"))
-    found = found.select(*(F.col(a).alias(b) for a, b in ((id_col, "__id"), ("t1", "__1"), ("t2", "__2"))), "__size", "__taken")
+    per_key = mix(docs, **options).where("taken > 0").groupBy(id_col, "t1", "t2")
+    # equal rows share their words evenly; the first ones take one of what is left over
+    n, words = F.count("*"), F.sum("taken")
+    shares = per_key.agg(F.first("size").alias("__size"), F.floor(words / n).cast("long").alias("__each"), (words % n).alias("__rest"))
+    shares = shares.select(*(F.col(a).alias(b) for a, b in ((id_col, "__id"), ("t1", "__1"), ("t2", "__2"))), "__size", "__each", "__rest")
+    shares = written(shares, "mix-shares")
     keyed = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(text, ("a", "b")))))
-    joined = keyed.join(
-        found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__1")) & (F.col("__t2") == F.col("__2"))
-    )
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__1")) & (F.col("__t2") == F.col("__2"))
+    joined = keyed.join(shares.where("__rest = 0"), same).withColumn("__taken", F.col("__each"))
+    uneven = shares.where("__rest > 0")
+    if not uneven.isEmpty():
+        rows = _placed(keyed.join(uneven, same), docs)
+        joined = joined.unionByName(
+            rows.withColumn("__taken", F.col("__each") + F.when(F.col("__place") <= F.col("__rest"), 1).otherwise(0)).drop("__place")
+        )
     left = F.col("__taken") - F.col("__size")
     parts = F.filter(F.array(F.least("__size", "__taken"), left), lambda n: n > 0)
     out = joined.withColumn("__words", F.explode(parts))
@@ -168,6 +176,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _placed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with ``__place``, the number of each among those of equal id and text, from 1.
+
+    They are counted in up to 64 parts by their other columns, so that only rows equal in every column meet in a sort.
+    """
+    key = ("__id", "__1", "__2")
+    others = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    salted = rows.withColumn("__hash", F.xxhash64(*others)).withColumn("__salt", F.pmod("__hash", F.lit(64)).cast("int"))
+    ahead = Window.partitionBy(*key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = salted.groupBy(*key, "__salt").agg(F.count("*").alias("__n"))
+    parts = parts.select(*(F.col(c).alias(f"{c}_") for c in (*key, "__salt")), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*key, "__salt")]
+    place = F.row_number().over(Window.partitionBy(*key, "__salt").orderBy("__hash")) + F.col("__ahead")
+    found = salted.join(parts, same[0] & same[1] & same[2] & same[3]).withColumn("__place", place)
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), "__place")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word."""
     spaced = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))

@@ -3,7 +3,8 @@
 Statistics of whole texts come from one scan and are written as a narrow table. The minimum covariance
 determinant is estimated for all groups at once by concentration steps: distances under the current
 estimate, the quantile that holds the inner part of each group, then mean and covariance of the rows
-inside. Every step is an aggregate with map-side combining, so a group may hold any share of the rows;
+inside. A step can end in a local minimum, so a group starts from its medians and from several small
+seeded draws of its rows; after two steps the start of least determinant goes on. Every step is an aggregate with map-side combining, so a group may hold any share of the rows;
 matrices are inverted per group on the aggregated rows. Nothing reaches the driver.
 """
 
@@ -41,6 +42,8 @@ CUTOFF = 20.515
 #: per 100 characters, 1.5 repeated lines per 100 words or 13 % of words in repeated passages.
 FLOOR = (0.25, 0.10, 0.15, 0.20, 0.08)
 MIN_GROUP = 50
+#: Starts of a group (its medians, and draws of about so many rows), and steps that each of them makes.
+STARTS, DRAWN_ROWS, FIRST_STEPS = 6, 8, 2
 #: An estimate stands still when a step lowers the logarithm of its determinant by less.
 STILL = 1e-3
 
@@ -145,7 +148,7 @@ def floored(cov: np.ndarray) -> np.ndarray:
 def _sums(inside: DataFrame, *also: Column) -> DataFrame:
     """Number, sums and sums of products per group, from which ``_with_inverse`` makes estimates."""
     x = [F.element_at("x", i + 1) for i in range(P)]
-    return inside.groupBy("key").agg(
+    return inside.groupBy("key", "run").agg(
         F.count("*").cast("double").alias("n"),
         F.array(*(F.sum(v) for v in x)).alias("first"),
         F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("second"),
@@ -154,7 +157,7 @@ def _sums(inside: DataFrame, *also: Column) -> DataFrame:
 
 
 def _with_inverse(sums: DataFrame, consistency: float) -> DataFrame:
-    """Estimates per group from sums over the rows inside: centre, inverse covariance, size, and if it stands still."""
+    """Estimates per group and run from sums over the rows inside: centre, inverse covariance, size, and if it stands still."""
 
     def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -168,9 +171,9 @@ def _with_inverse(sums: DataFrame, consistency: float) -> DataFrame:
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
                 sizes.append(float(np.linalg.slogdet(cov)[1]))
             still = np.array(sizes) > frame["size"].to_numpy(float) - STILL
-            yield frame[["key"]].assign(centre=centres, inverse=inverses, size=sizes, still=still)
+            yield frame[["key", "run"]].assign(centre=centres, inverse=inverses, size=sizes, still=still)
 
-    return sums.mapInPandas(invert, "key string, centre array<double>, inverse array<double>, size double, still boolean")
+    return sums.mapInPandas(invert, "key string, run int, centre array<double>, inverse array<double>, size double, still boolean")
 
 
 def judge(
@@ -180,10 +183,12 @@ def judge(
     text_col: str = "text",
     group_cols: tuple[str, str] = ("lang", "source"),
     cutoff: float = CUTOFF,
+    min_group: int = MIN_GROUP,
+    starts: int = STARTS,
 ) -> DataFrame:
     """Per row: id, the five statistics, ``base_failed``, ``distance`` (squared) and ``kept``.
 
-    Estimates come from rows that pass the base rules. A group of fewer than ``MIN_GROUP`` such rows is
+    Estimates come from rows that pass the base rules. A group of fewer than ``min_group`` such rows is
     judged with the other small groups of its first column (the language); where those are few, by the
     estimate over all rows, and ``distance`` is null, as it would be from no group of the row's own. Where
     even all rows are few, the base rules decide. Null groups are groups of their own. A null text has no
@@ -191,49 +196,64 @@ def judge(
     """
     stats = statistics(docs, id_col=id_col, text_col=text_col, group_cols=group_cols)
     rows = written(stats.withColumn("x", F.array(*transformed())), "quality")
-    good = rows.where(~F.col("base_failed"))
+    good = rows.where(~F.col("base_failed")).withColumn("drawn", F.xxhash64("id", "x"))
 
     name = lambda *parts: F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
     sizes = good.groupBy("g0", "g1").agg(F.count("*").alias("n"))
-    small = F.col("n") < MIN_GROUP
+    small = F.col("n") < min_group
     by_language = Window.partitionBy("g0", small)
     keys = (
         sizes.withColumn("n_language", F.sum("n").over(by_language))
         .withColumn(
             "key",
             F.when(~small, name(F.lit("both"), "g0", "g1"))
-            .when(F.col("n_language") >= MIN_GROUP, name(F.lit("language"), "g0"))
+            .when(F.col("n_language") >= min_group, name(F.lit("language"), "g0"))
             .otherwise(F.lit("all")),
         )
         .select(F.col("g0").alias("k0"), F.col("g1").alias("k1"), "key")
     )
     keys = written(keys, "quality-keys")
     same = F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1"))
-    keyed = good.join(keys.where(F.col("key") != "all"), same).select("key", "x")
+    keyed = good.join(keys.where(F.col("key") != "all"), same).select("key", "x", "drawn")
     if not keys.where(F.col("key") == "all").isEmpty():
-        keyed = keyed.unionByName(good.select(F.lit("all").alias("key"), "x"))
+        keyed = keyed.unionByName(good.select(F.lit("all").alias("key"), "x", "drawn"))
 
     centre = [F.percentile_approx(F.element_at("x", i + 1), 0.5, 1000) for i in range(P)]
     spread = [F.percentile_approx(F.element_at("x", i + 1), F.array(F.lit(0.25), F.lit(0.75)), 1000) for i in range(P)]
     start = keyed.groupBy("key").agg(F.array(*centre).alias("centre"), F.array(*spread).alias("spread"), F.count("*").alias("n"))
-    start = start.where(F.col("n") >= MIN_GROUP)
+    start = start.where(F.col("n") >= min_group)
     # a first diagonal estimate: medians, and quartiles as of a normal distribution
     sd = [(F.element_at("spread", i + 1)[1] - F.element_at("spread", i + 1)[0]) / 1.349 for i in range(P)]
     zero = F.lit(0.0)
     diagonal = [1 / F.greatest(sd[i] * sd[i], F.lit(FLOOR[i] ** 2)) if i == j else zero for i in range(P) for j in range(P)]
     size, still = F.lit(float("inf")).alias("size"), F.lit(False).alias("still")
-    estimate = written(start.select("key", "centre", F.array(*diagonal).alias("inverse"), size, still), "quality-estimate")
+    estimate = start.select("key", F.lit(0).alias("run"), "centre", F.array(*diagonal).alias("inverse"), size, still)
+    if starts > 1:
+        every = F.ceil(F.col("n") / DRAWN_ROWS)
+        runs = F.filter(F.sequence(F.lit(1), F.lit(starts - 1)), lambda k: F.pmod(F.xxhash64("drawn", k), every) == 0)
+        drawn = keyed.join(start.select("key", "n"), "key").select("key", F.explode(runs).alias("run"), "x")
+        estimate = estimate.unionByName(_with_inverse(_sums(drawn, size), 1.0).withColumns({"size": F.lit(float("inf")), "still": F.lit(False)}))
+    estimate = written(estimate, "quality-estimate")
+
+    def step(moving: DataFrame) -> DataFrame:
+        near = keyed.join(moving, "key").select("key", "run", "x", "size", _distance(F.col("centre"), F.col("inverse")).alias("d"))
+        # written, so that Spark knows how small it is and need not deal out the rows by group
+        limit = written(near.groupBy("key", "run").agg(F.percentile_approx("d", INNER, 1000).alias("limit")), "quality-limit")
+        sums = _sums(near.join(limit, ["key", "run"]).where("d <= limit"), F.max("size").alias("size"))
+        return _with_inverse(sums, CONSISTENCY)
+
+    if starts > 1:
+        for _ in range(FIRST_STEPS):
+            estimate = written(step(estimate), "quality-estimate")
+        least = F.min_by(F.struct("run", "centre", "inverse", "size", "still"), F.struct("size", "run"))
+        estimate = written(estimate.groupBy("key").agg(least.alias("least")).select("key", "least.*"), "quality-estimate")
 
     # each step lowers every moving group's determinant by a factor, and floors bound it, so that this ends
     while not (moving := estimate.where("not still")).isEmpty():
-        near = keyed.join(moving, "key").select("key", "x", "size", _distance(F.col("centre"), F.col("inverse")).alias("d"))
-        # written, so that Spark knows how small it is and need not deal out the rows by group
-        limit = written(near.groupBy("key").agg(F.percentile_approx("d", INNER, 1000).alias("limit")), "quality-limit")
-        sums = _sums(near.join(limit, "key").where("d <= limit"), F.max("size").alias("size"))
-        estimate = written(estimate.where("still").unionByName(_with_inverse(sums, CONSISTENCY)), "quality-estimate")
+        estimate = written(estimate.where("still").unionByName(step(moving)), "quality-estimate")
 
     near = keyed.join(estimate, "key").where(_distance(F.col("centre"), F.col("inverse")) <= LAST_WITHIN)
-    last = _sums(near.select("key", "x"), F.lit(float("inf")).alias("size"))
+    last = _sums(near.select("key", "run", "x"), F.lit(float("inf")).alias("size"))
     estimate = written(_with_inverse(last, LAST_CONSISTENCY), "quality-estimate")
 
     squared = _distance(F.col("centre"), F.col("inverse"))
