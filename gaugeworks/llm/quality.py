@@ -221,7 +221,8 @@ def judge(
     centre = [F.percentile_approx(F.element_at("x", i + 1), 0.5, 1000) for i in range(P)]
     spread = [F.percentile_approx(F.element_at("x", i + 1), F.array(F.lit(0.25), F.lit(0.75)), 1000) for i in range(P)]
     start = keyed.groupBy("key").agg(F.array(*centre).alias("centre"), F.array(*spread).alias("spread"), F.count("*").alias("n"))
-    start = start.where(F.col("n") >= min_group)
+    # written, as are the limits below, so that Spark knows how small it is and need not deal out the rows by group
+    start = written(start.where(F.col("n") >= min_group), "quality-starts")
     # a first diagonal estimate: medians, and quartiles as of a normal distribution
     sd = [(F.element_at("spread", i + 1)[1] - F.element_at("spread", i + 1)[0]) / 1.349 for i in range(P)]
     zero = F.lit(0.0)
@@ -237,7 +238,6 @@ def judge(
 
     def step(moving: DataFrame) -> DataFrame:
         near = keyed.join(moving, "key").select("key", "run", "x", "size", _distance(F.col("centre"), F.col("inverse")).alias("d"))
-        # written, so that Spark knows how small it is and need not deal out the rows by group
         limit = written(near.groupBy("key", "run").agg(F.percentile_approx("d", INNER, 1000).alias("limit")), "quality-limit")
         sums = _sums(near.join(limit, ["key", "run"]).where("d <= limit"), F.max("size").alias("size"))
         return _with_inverse(sums, CONSISTENCY)
