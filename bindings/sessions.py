@@ -30,7 +30,8 @@ def _as_text(column, names):
 
 
 def _summary(spark, sf_dir):
-    return sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER)
+    """The whole report, with the children of every session."""
+    return _lists_as_text(sessions.session_summary(_tables(spark, sf_dir), server_name=SERVER, lists="structs"))
 
 
 def _lists(spark, sf_dir):
@@ -344,7 +345,6 @@ ORACLE = {
 _LISTS = ("current_waits", "aggregate_waits", "tempdb_utilization")
 _listed = ORACLE["a08_session_summary"]
 ORACLE |= {
-    "a08_session_summary": f"select * exclude ({', '.join(_LISTS)}) from ({_listed})",
     "a08_session_lists": f"""
     select * exclude ({', '.join(_LISTS)}),
            {', '.join(f"case when session_id in ({', '.join(map(str, NAMED))}) then {c} end as {c}" for c in _LISTS)}

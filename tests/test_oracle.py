@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as contract
-from tests.check import compare
+from bindings.sessions import NAMED
+from gaugeworks.operators.sessions import LIST_COLUMNS
+from tests.check import compare, oracle_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 UNORDERED_SAMPLE = {"a16_raw_events"}  # any 100 documents: only their number is defined
@@ -19,6 +21,18 @@ def test_matches_sql(spark, name):
     assert compare(spark, name, SF_DIR) is None
 
 
+@pytest.mark.parametrize("name", ["a08_session_summary"])
+def test_session_summaries_hold_the_children_of_every_session(spark, name):
+    """Both sides have the three lists, for sessions beyond those that ``a08_session_lists`` names too."""
+    df = contract.queries()[name](spark, SF_DIR)
+    assert set(LIST_COLUMNS) <= set(df.columns)
+    columns, data = oracle_rows(SF_DIR, contract.oracle_sql()[name])
+    beyond = df.where(f"session_id > {max(NAMED)}").collect()
+    for c in LIST_COLUMNS:
+        expected = sum(r[columns.index(c)] is not None for r in data if r[columns.index("session_id")] > max(NAMED))
+        assert sum(r[c] is not None for r in beyond) == expected > 0
+
+
 def test_raw_events_sample(spark):
     rows = contract.queries()["a16_raw_events"](spark, SF_DIR).collect()
     assert len(rows) == 100 and all(r.event_data.startswith("<event ") for r in rows)
