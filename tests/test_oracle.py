@@ -21,7 +21,7 @@ def test_matches_sql(spark, name):
     assert compare(spark, name, SF_DIR) is None
 
 
-@pytest.mark.parametrize("name", ["a08_session_summary"])
+@pytest.mark.parametrize("name", ["a08_session_summary", "a08_session_summary_fleet"])
 def test_session_summaries_hold_the_children_of_every_session(spark, name):
     """Both sides have the three lists, for sessions beyond those that ``a08_session_lists`` names too."""
     df = contract.queries()[name](spark, SF_DIR)
