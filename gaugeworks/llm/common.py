@@ -18,6 +18,7 @@ from gaugeworks.plans.materialize import new_folder
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows handed to a Python task at once; texts are long, so batches are short.
 BATCH_ROWS = 512
 
@@ -26,11 +27,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table below ``spark.checkpoint.dir``.
 
     Cuts the lineage: what reads the table later is not recomputed when an executor is lost, and
-    two readers see the same rows. The committer leaves no rows of failed attempts behind.
+    two readers see the same rows. The committer leaves no rows of failed attempts behind. The shuffle files
+    of the write go with its end; nothing reads them again, and they would fill the executors' disks.
     """
-    folder = new_folder(df.sparkSession, f"llm-{purpose}")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder, before = new_folder(spark, f"llm-{purpose}"), spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def remove(table: DataFrame) -> None:

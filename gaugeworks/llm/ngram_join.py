@@ -8,12 +8,18 @@ parts depends on the sizes: schemes cover bands of sizes, and narrow schemes cov
 An equal part must not be empty; a document with too many empty parts repeats under another cut.
 Passages that many documents share rarely fill a whole part, so they don't join blocks.
 
+Large blocks. One equal part is weak evidence, and in a large input common phrases chain most documents to
+one block. So the distinct sets of a large block are put into blocks anew by sharper signatures (PartEnum):
+cut into more than d / 2 parts, some part holds one difference at most; cut that part into four again, then
+three of its four quarters are untouched. Every choice of three quarters is a signature. Bands of sizes are
+narrow here, by the smaller set of a pair, so that d fits the pair's own sizes; small sets keep the plain parts.
+
 Links. In a block, each set looks up its shingles in inverted lists: a partner is found T times, T the
 least overlap. As in DivideSkip the L longest lists are set aside, the short ones are merged, candidates
 found T - L times or more are probed in the long lists by binary search, and the exact overlap decides.
 A search can stop when all sets not yet searched belong to one component.
 
-Large blocks are cut by size class, as partners are at most one class apart, and into cells of bounded size;
+Blocks that are still large are cut by size class, as partners are at most one class apart, and into cells of bounded size;
 a set goes to the cells of its own and the two next classes. Equal sets are searched once.
 """
 
@@ -35,6 +41,7 @@ from gaugeworks.llm.components import Forest, connected_components
 
 SLICE_BYTES = 1 << 20
 CELL_SHINGLES = 3_000_000
+QUARTERS, BAND_STEP, FINE_FROM = 4, 1.125, 64
 MARK_BITS, LARGEST_MAP = 16, 1 << 27  # bits for each marked id; of a map, 16 MB
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,6 +84,34 @@ class Jaccard:
                 found.append((2 * k + 1, *self._parts(border - 1 + self.largest_partner(border - 1), self.smallest_partner(border))))
         return found
 
+    def fine_schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """The same for sharper signatures: number of parts, and harmless number of weak parts.
+
+        Scheme k is for the pairs whose smaller set has at least edge(k) and less than edge(k + 1) elements.
+        """
+        edge = lambda k: math.ceil(FINE_FROM * BAND_STEP**k)
+        found, k = [], 0
+        while edge(k) <= n:
+            if n <= self.largest_partner(edge(k + 1) - 1):
+                most = edge(k + 1) - 1
+                found.append((k, *self._fine_parts(most + self.largest_partner(most), edge(k))))
+            k += 1
+        return found
+
+    def _fine_parts(self, both: int, smallest: int) -> tuple[int, int]:
+        """A part is weak when all its elements may be in one quarter."""
+        if ("fine", both, smallest) not in self.known:
+            least, spare = self.most_differences(both) // 2 + 1, 0
+
+            def weak() -> float:
+                empty = math.exp(-smallest / (least + spare) / QUARTERS)
+                return empty**QUARTERS + QUARTERS * (1 - empty) * empty ** (QUARTERS - 1)
+
+            while spare < int(1.3 * (least + spare) * weak()):
+                spare += 1 + least // 50
+            self.known["fine", both, smallest] = least + spare, spare
+        return self.known["fine", both, smallest]
+
     def _parts(self, both: int, smallest: int) -> tuple[int, int]:
         """More parts than differences and, on top, as many as a set of the smallest size leaves empty by chance."""
         if (both, smallest) not in self.known:
@@ -117,6 +152,36 @@ def signatures(shingles: np.ndarray, jaccard: Jaccard) -> np.ndarray:
     return np.concatenate(found)
 
 
+def fine_signatures(shingles: np.ndarray, jaccard: Jaccard) -> np.ndarray:
+    """A hash for every choice of all quarters but one, of each part of each cut that the set takes part in.
+
+    Linked sets have one in common: with d differences, more than ``spare`` parts have one difference at most,
+    and the quarters without it are equal. Where a part isn't weak for one of the sets these are not empty.
+    Pairs whose smaller set has fewer than ``FINE_FROM`` elements have a plain part in common.
+    """
+    n, found = len(shingles), []
+    if jaccard.smallest_partner(n) < FINE_FROM:
+        found.append(signatures(shingles, jaccard))
+    for scheme, parts, spare in jaccard.fine_schemes(n):
+        salt = 0
+        while True:
+            own = shingles if not salt else np.sort(wordscan.mix(shingles + np.uint64(salt * int(_SALT) & (1 << 64) - 1)))
+            quarter = ((own >> np.uint64(32)) * np.uint64(parts * QUARTERS) >> np.uint64(32)).astype(np.int64)
+            counts = np.bincount(quarter, minlength=parts * QUARTERS)
+            totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordscan.mix(own), dtype=np.uint64)])
+            ends = np.cumsum(counts)
+            sums = (totals[ends] - totals[ends - counts]).reshape(parts, QUARTERS)
+            counts = counts.reshape(parts, QUARTERS)
+            left = counts.sum(axis=1, keepdims=True) - counts > 0
+            label = np.uint64((1 << 62) + (scheme << 48) + (salt << 40)) + np.arange(parts * QUARTERS, dtype=np.uint64)
+            hashes = wordscan.mix(sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums + wordscan.mix(label).reshape(parts, QUARTERS))
+            found.append(hashes[left])
+            if parts - int(left.all(axis=1).sum()) <= spare:
+                break
+            salt += 1
+    return np.concatenate(found)
+
+
 def search(sets: list[np.ndarray], queries: np.ndarray, jaccard: Jaccard, forest: Forest) -> None:
     """Link ``queries`` (positions) with all ``sets`` in ``forest``.
 
@@ -216,12 +281,15 @@ def join_similar(
     digests = written(texts.mapInArrow(digest, "id long, n long, h1 long, h2 long"), "shingle-digests")
     nodes = digests.where("n > 0 and id is not null")
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
-            found = [signatures(s, jaccard) if len(s) else s for s in shingle_sets(batch.column(1), words)]
-            counts = [len(f) for f in found]
-            ids = np.repeat(np.asarray(batch.column(0)), counts)
-            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64())], names=["sig", "id"])
+    def parts(how):
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in arrow_batches(batches):
+                found = [how(s, jaccard) if len(s) else s for s in shingle_sets(batch.column(1), words)]
+                counts = [len(f) for f in found]
+                ids = np.repeat(np.asarray(batch.column(0)), counts)
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64())], names=["sig", "id"])
+
+        return spread
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links from the first id of each run of equal signatures to the others; rows come sorted."""
@@ -237,19 +305,37 @@ def join_similar(
             pairs = np.unique(np.stack([heads[linked], ids[linked]], axis=1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    spread = texts.where("id is not null and text is not null").mapInArrow(parts, "sig long, id long")
-    candidates = spread.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(stars, "a long, b long").distinct()
-    blocks = connected_components(candidates).select(F.col("node").alias("id"), F.col("component").alias("block"))
+    def blocks_of(some: DataFrame, how) -> DataFrame:
+        """Every id that has a signature in common with another one, and its block."""
+        spread = some.select("id", "text").mapInArrow(parts(how), "sig long, id long")
+        candidates = spread.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(stars, "a long, b long").distinct()
+        return connected_components(candidates).select(F.col("node").alias("id"), F.col("component").alias("block"))
+
+    blocks = blocks_of(texts.where("id is not null and text is not null"), signatures)
 
     # equal sets of a block are one row; their documents link to its smallest id
     placed = written(nodes.join(blocks, "id"), "shingle-blocks")
-    classes = placed.groupBy("block", "h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    classes = written(placed.groupBy("block", "h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "shingle-sets")
     copies = placed.join(classes.withColumnRenamed("block", "its").drop("n"), ["h1", "h2"]).where("block = its and id <> rep").select(
         F.col("rep").alias("a"), F.col("id").alias("b")
     )
-    # large blocks are cut by size class, since partners are at most one class apart, and then by a hash
-    weight = classes.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
-    weight = weight.select(F.col("block").alias("its"), (F.col("weight") > CELL_SHINGLES).alias("large"))
+
+    def weighed(sets: DataFrame) -> DataFrame:
+        weight = sets.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
+        return weight.select(F.col("block").alias("its"), (F.col("weight") > CELL_SHINGLES).alias("large"))
+
+    # a set of a large block without a sharper signature in common links with no other set
+    at_large = classes.join(weighed(classes).where("large"), F.col("block") == F.col("its"))
+    at_large = written(at_large.select(F.col("rep").alias("r")).distinct(), "shingle-large")
+    if not at_large.isEmpty():
+        some = only_marked(texts.where("text is not null"), "id", at_large)
+        finer = blocks_of(some.join(at_large, F.col("id") == F.col("r"), "left_semi"), fine_signatures)
+        finer = at_large.join(finer, F.col("r") == F.col("id"), "left").select("r", F.col("block").alias("finer"))
+        classes = classes.join(finer, F.col("rep") == F.col("r"), "left").where("r is null or finer is not null")
+        classes = classes.withColumn("block", F.coalesce("finer", "block")).drop("r", "finer")
+        classes = written(classes, "shingle-sets")
+    # blocks still large are cut by size class, since partners are at most one class apart, and then by a hash
+    weight = weighed(classes)
     size_class = F.floor(F.log(F.col("n")) / (math.log(jaccard.den / jaccard.num) * (1 + 1e-6) if jaccard.num < jaccard.den else 1e-3))
     sized = classes.join(weight, F.col("block") == F.col("its")).drop("its")
     sized = written(sized.withColumn("band", F.when(F.col("large"), size_class).otherwise(0).cast("int")), "shingle-classes")

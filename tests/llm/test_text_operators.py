@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gaugeworks.llm import bpe, language, line_dedup, mixing, ngram_join, quality, token_counts
+from gaugeworks.llm.common import FILE_CLEANUP, written
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,6 +24,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Pos int, h1 int, id int, size int, keeper int, word int"
 
 
+def shuffle_files(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
 def frame(spark, rows):
     """Rows of (doc_id, text, lang, source) with extra columns whose names clash with the operators' own."""
     return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, 4, 5, 6) for r in rows], SCHEMA)
@@ -150,6 +156,51 @@ def test_every_similar_pair_shares_a_signature(num, den):
         ngram_join.Jaccard(1, 2)
 
 
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (85, 100), (95, 100), (1, 1)])
+def test_linked_sets_share_a_sharper_signature(num, den):
+    """With as many differences as the threshold allows, at all sizes and at the borders of bands."""
+    jaccard, random_ = ngram_join.Jaccard(num, den), np.random.RandomState(num)
+    for n in [*range(1, 100), 255, 256, 700, 2000]:
+        for m in {n, max(n, jaccard.largest_partner(n) - 1), jaccard.largest_partner(n)}:
+            overlap = jaccard.least_overlap(n, m)
+            if overlap > n:
+                continue
+            pool = np.unique(random_.randint(0, 1 << 62, 2 * (n + m) + 9).astype(np.uint64))
+            random_.shuffle(pool)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:overlap], pool[n : n + m - overlap]]))
+            assert jaccard.holds(overlap, n, m)
+            assert len(np.intersect1d(ngram_join.fine_signatures(a, jaccard), ngram_join.fine_signatures(b, jaccard)))
+
+
+def test_common_phrases_do_not_chain_documents_to_one_block():
+    """Documents that share a phrase of many chain by plain parts, and hardly by sharper signatures."""
+    random_, jaccard = np.random.RandomState(5), ngram_join.Jaccard(4, 5)
+    phrases = random_.randint(0, 1 << 62, (4000, 8)).astype(np.uint64)
+    sets = [np.unique(phrases[random_.choice(4000, 20)]) for _ in range(300)]
+
+    def largest_block(how):
+        first, forest = {}, ngram_join.Forest(len(sets))
+        for i, own in enumerate(sets):
+            for signature in how(own, jaccard).tolist():
+                forest.union(first.setdefault(signature, i), i)
+        return max(Counter(map(forest.find, range(len(sets)))).values())
+
+    plain, sharper = largest_block(ngram_join.signatures), largest_block(ngram_join.fine_signatures)
+    assert plain > 100 and sharper < 20, (plain, sharper)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """The setting holds for the write alone."""
+    before = spark.conf.get(FILE_CLEANUP)
+    kept = shuffle_files(spark)
+    table = written(spark.range(1000).repartition(7, "id"), "test")
+    deadline = time.time() + 20
+    while shuffle_files(spark) > kept and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= kept
+    assert table.count() == 1000 and spark.conf.get(FILE_CLEANUP) == before
+
+
 def test_ngram_join_of_an_id_with_a_text_without_words(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words), "en", "s1"), (1, None, "en", "s1"), (1, " \n", "en", "s1"), (2, " ".join([*words, "x"]), "en", "s1")]
