@@ -32,7 +32,7 @@ from gaugeworks.functions.scalars import (
     unwrap_ms,
 )
 from gaugeworks.functions.xml import list_to_xml
-from gaugeworks.plans.materialize import materialize
+from gaugeworks.plans.materialize import steps, unstore
 from gaugeworks.plans.relational import (
     first_per,
     flag_parents,
@@ -369,10 +369,18 @@ def session_children(t: SessionTables, *, keys=(), ordered: bool = True, places:
     ]
     columns = ("session_id", "kind", "request_id", *WAIT_COLUMNS, *SPACE_COLUMNS[1:], *TOTAL_COLUMNS[1:])
     if places:
-        counted = numbered(rows.select(*keys, *columns).orderBy(*order))
-        starts = materialize(counted.groupBy(*group).agg(F.min("place").alias("_start")))
+        # in steps, so that the shuffle files of one are gone when the next one starts
+        step = steps(rows)
+        single = step(rows.select(*keys, *columns), "children")
+        counted = numbered(single.orderBy(*order))
+        unstore(single, counted)
+        starts = step(counted.groupBy(*group).agg(F.min("place").alias("_start")), "child-starts")
         rows = lookup(counted, starts, group, "inner").withColumn("place", F.col("place") - F.col("_start") + 1)
         columns = (*columns, "place")
+        placed = step(rows.select(*keys, *columns), "child-places")
+        unstore(counted, placed)
+        unstore(starts, placed)
+        rows = placed
     return report_order(rows, ordered, *order).select(*keys, *columns)
 
 

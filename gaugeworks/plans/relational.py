@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, IntegralType, LongType, NumericType
 
 from gaugeworks.functions.predicates import as_column
-from gaugeworks.plans.materialize import materialize
+from gaugeworks.plans.materialize import stored
 
 BROADCAST_ROWS = 500_000
 
@@ -196,7 +196,7 @@ def numbered(df: DataFrame, name: str = "place") -> DataFrame:
     count per partition.
     """
     own_bits = 33  # of a monotonically increasing number, below those of the partition
-    held = materialize(df.withColumn("_at", F.monotonically_increasing_id()))
+    held = stored(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", own_bits)
     counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
