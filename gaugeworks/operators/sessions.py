@@ -282,6 +282,15 @@ def _named(rows: DataFrame, t: SessionTables, server_name: str, keys) -> DataFra
     return rows.withColumns(own_name).drop("group_id", "database_id")
 
 
+def _with_cursors(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
+    """The text of each session's cursor; rows are still by session here, and need not move for it."""
+    cursors = t.cursors.groupBy(*keys, "session_id").agg(F.min("sql_handle").alias("sql_handle"))
+    cursor_texts = lookup(
+        cursors, t.sql_texts.select(*keys, "sql_handle", F.col("text").alias("_cursor_text")), [*keys, "sql_handle"], "inner"
+    ).drop("sql_handle")
+    return lookup(rows, cursor_texts, [*keys, "session_id"])
+
+
 def _with_texts(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
     """Submitted batch, plan and running statement.
 
@@ -291,11 +300,6 @@ def _with_texts(rows: DataFrame, t: SessionTables, keys) -> DataFrame:
     rows = rows.withColumn("sql_handle", F.when(wanted, F.col("sql_handle")))
     rows = lookup(rows, t.query_plans.select(*keys, "plan_handle", "query_plan"), [*keys, "plan_handle"])
     rows = lookup(rows, t.sql_texts.select(*keys, "sql_handle", "text"), [*keys, "sql_handle"])
-    cursors = t.cursors.groupBy(*keys, "session_id").agg(F.min("sql_handle").alias("sql_handle"))
-    cursor_texts = lookup(
-        cursors, t.sql_texts.select(*keys, "sql_handle", F.col("text").alias("_cursor_text")), [*keys, "sql_handle"], "inner"
-    ).drop("sql_handle")
-    rows = lookup(rows, cursor_texts, [*keys, "session_id"])
     statement = statement_slice("text", "statement_start_offset", "statement_end_offset")
     fetches = F.coalesce(statement.like(CURSOR_FETCH_PATTERN), F.lit(False))
     return rows.withColumns(
@@ -385,14 +389,21 @@ def session_children(t: SessionTables, *, keys=(), ordered: bool = True, places:
 
 
 def _with_lists(rows: DataFrame, t: SessionTables, keys, as_xml: bool) -> DataFrame:
-    """The children of each row as lists of structs or as XML fragments; NULL where there are none."""
-    by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "request_id"]
+    """The children of each row as lists of structs or as XML fragments; NULL where there are none.
+
+    All lists are made by session, the one key that rows and children move by; a row picks its request's
+    tempdb use out of its session's.
+    """
+    by_session = [*keys, "session_id"]
     waits, space, totals = _children(t, keys)
-    rows = lookup(rows, nest(waits, by_session, WAIT_COLUMNS, [F.col(c) for c in WAIT_COLUMNS], "_waits"), by_session)
-    own = nest(space, by_request, SPACE_COLUMNS, [F.col(c) for c in SPACE_COLUMNS], "tempdb_utilization")
-    rows = lookup(rows, own, by_request)
-    most_first = [-F.col("waiting_tasks_count"), F.col("wait_type")]
+    rows = lookup(rows, nest(waits, by_session, WAIT_COLUMNS, WAIT_COLUMNS, "_waits"), by_session)
+    of_request = ("request_id", *SPACE_COLUMNS)
+    rows = lookup(rows, nest(space, by_session, of_request, of_request, "_space"), by_session)
+    most_first = [-F.col("waiting_tasks_count"), "wait_type"]
     rows = lookup(rows, nest(totals, by_session, TOTAL_COLUMNS, most_first, "_totals"), by_session)
+    own = F.filter("_space", lambda e: e["request_id"] == F.col("request_id"))
+    own = F.transform(own, lambda e: F.struct(*[e[c].alias(c) for c in SPACE_COLUMNS]))
+    rows = rows.withColumn("tempdb_utilization", F.when(F.size(own) > 0, own)).drop("_space")
     lists = {
         "current_waits": (F.when(F.col("has_request"), F.col("_waits")), ("thread",)),
         "tempdb_utilization": (F.col("tempdb_utilization"), ("thread",)),
@@ -418,6 +429,7 @@ def session_summary(
     Waits, tempdb use and wait totals are rows of ``session_children``. ``lists="structs"`` or
     ``lists="xml"`` adds them as nested columns as well. A nested value holds all children of its
     session, so name the sessions that shall have them (``list_sessions``); they are NULL for the others.
+    Over large tables a report with lists is made in steps, each written before the next one, when this is called.
     """
     if lists not in (None, "structs", "xml"):
         raise ValueError(f"lists must be None, 'structs' or 'xml', not {lists!r}")
@@ -428,6 +440,7 @@ def session_summary(
     ).repartition(*by_request).distinct()
     threads = t.tasks.groupBy(*by_request).agg(F.count("exec_context_id").alias("_threads"))
     requests = lookup(lookup(_requests(t, keys), grants, by_request), threads, by_request)
+    requests = lookup(requests, t.input_buffers.select(*by_request, "event_info"), by_request)
     with_request = t.requests.select(*by_session).distinct()
     transactions = lookup(_transactions(t, keys), with_request, by_session, "left_semi")
 
@@ -435,12 +448,22 @@ def session_summary(
         _sessions(t, requests, transactions, keys, F.col("is_user_process")), t, server_name, keys
     ).drop("_address_name")
     rows = rows.withColumn("active_threads", F.coalesce("_threads", F.lit(0))).drop("_threads")
-    rows = lookup(rows, t.input_buffers.select(*by_request, "event_info"), by_request)
-    if lists:
-        rows = _with_lists(rows, t.of_sessions(list_sessions), keys, lists == "xml")
-    rows = _with_texts(rows, t, keys)
-    rows = report_order(rows, ordered, *keys, F.desc("elapsed_ms"), "session_id")
-    return rows.select(*keys, *SUMMARY_COLUMNS, *(LIST_COLUMNS if lists else ()))
+    rows = _with_cursors(rows, t, keys)
+    # texts come by keys of their own, so the lists wait until a row moves by its session for the last time
+    order = [*keys, F.desc("elapsed_ms"), "session_id"]
+    columns = [*keys, *SUMMARY_COLUMNS, *(LIST_COLUMNS if lists else ())]
+    if not lists:
+        return report_order(_with_texts(rows, t, keys), ordered, *order).select(*columns)
+    t = t.of_sessions(list_sessions)
+    step = steps(rows, t.waiting_tasks, t.task_space, t.session_waits)
+    single = step(rows, "sessions")
+    needed = list(dict.fromkeys([*keys, *SUMMARY_COLUMNS, "elapsed_ms", "request_id", "has_request"]))
+    texted = step(_with_texts(single, t, keys).select(*needed), "session-texts")
+    unstore(single, texted)
+    rows = _with_lists(texted, t, keys, lists == "xml")
+    rows = step(rows.select(*dict.fromkeys([*columns, "elapsed_ms"])), "session-lists")
+    unstore(texted, rows)
+    return report_order(rows, ordered, *order).select(*columns)
 
 
 def longest_waits(waiting_tasks: DataFrame, keys=()) -> DataFrame:
@@ -502,7 +525,7 @@ def _tasks_of(rows: DataFrame, t: SessionTables, server_name: str, keys) -> Data
     tasks = _task_rows(t, keys).filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
     with_tasks = t.tasks.filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
     rows = left_join_many(rows, tasks, by_request, parents.select(*by_session, request), with_tasks)
-    return _with_texts(rows, t, keys)
+    return _with_texts(_with_cursors(rows, t, keys), t, keys)
 
 
 def session_tasks(t: SessionTables, *, server_name: str, keys=(), ordered: bool = True) -> DataFrame:

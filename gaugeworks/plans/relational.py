@@ -224,13 +224,14 @@ def conditional_counts(df: DataFrame, by: Sequence[str], conditions: dict[str, C
     return df.groupBy(*by).agg(*[count_if(c).alias(name) for name, c in conditions.items()])
 
 
-def nest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column], alias: str) -> DataFrame:
+def nest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[Column | str], alias: str) -> DataFrame:
     """Child rows as one sorted list of structs per parent.
 
+    A name in ``order`` sorts by that column itself, which is then in the moved entries once and not twice.
     A list is one value in one row, so this is for children that are few per parent; where a parent
     may have any number of them, join the child rows instead.
     """
-    sort_names = [f"_{i}" for i in range(len(order))]
-    entry = F.struct(*[c.alias(name) for c, name in zip(order, sort_names)], *[F.col(c) for c in columns])
+    sort_by = [F.col(c) if isinstance(c, str) else c.alias(f"_{i}") for i, c in enumerate(order)]
+    entry = F.struct(*sort_by, *[F.col(c) for c in columns if c not in [o for o in order if isinstance(o, str)]])
     listed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(alias))
     return listed.withColumn(alias, F.transform(alias, lambda e: F.struct(*[e[c].alias(c) for c in columns])))

@@ -4,14 +4,16 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from gaugeworks.plans import materialize as M
+from gaugeworks.plans import relational as R
 from tests.check import rows
 from tests.test_relational import plan
 
 SF_DIR = "/root/testdata/sf0.001"
-REPORTS = ("a08_child_places",)
+REPORTS = ("a08_session_summary", "a08_session_summary_fleet", "a08_child_places")
 
 
 def shuffles(df):
@@ -43,3 +45,11 @@ def test_what_a_step_does_not_own_stays(spark, monkeypatch, tmp_path):
     assert source.count() == table.count() == 5
     M.unstore(table, source)
     assert not os.listdir(tmp_path / "shared")
+
+
+def test_sort_columns_of_a_list_move_once(spark):
+    df = spark.createDataFrame([(1, 3, "a"), (1, None, "c"), (1, 3, "b"), (2, 1, "z"), (1, 3, "a")], "k int, v int, w string")
+    named = R.nest(df, ["k"], ["w", "v"], ["v", "w"], "vs")
+    by_value = R.nest(df, ["k"], ["w", "v"], [F.col("v"), F.col("w")], "vs")
+    assert sorted(named.collect()) == sorted(by_value.collect())
+    assert "collect_list(struct(v" in plan(named)
