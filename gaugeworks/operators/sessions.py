@@ -509,23 +509,42 @@ def _task_rows(t: SessionTables, keys) -> DataFrame:
 
 
 def _tasks_of(rows: DataFrame, t: SessionTables, server_name: str, keys) -> DataFrame:
-    """Rows of the task reports for the sessions that are left; a session without input text drops out."""
-    rows = _named(rows, t, server_name, keys).withColumn("dns_name", F.col("_address_name"))
+    """Rows of the task reports for the sessions that are left; a session without input text drops out.
+
+    Over large tables sessions, their texts, tasks and the join are written one after the other, when this is
+    called, and each frees the shuffle files it took.
+    """
+    rows = _with_cursors(_named(rows, t, server_name, keys), t, keys).withColumn("dns_name", F.col("_address_name"))
     rows = rows.drop("_address_name", "listener_type")
     # an idle session has no request, and neither has its last input
     request = F.coalesce("request_id", F.lit(-1)).alias("_request")
     by_session, by_request = [*keys, "session_id"], [*keys, "session_id", "_request"]
     inputs = t.input_buffers.select(*by_session, request, "event_info")
     rows = lookup(rows.select("*", request), inputs, by_request, "inner").drop("request_id")
-    # every request, and every session as if it were idle
-    parents = t.requests.select(*by_session, "request_id").unionByName(
-        t.sessions.select(*by_session, F.lit(None).cast("int").alias("request_id"))
-    )
+    step = steps(rows, t.tasks, t.task_space, t.waiting_tasks)
+    single = step(rows, "sessions")
+    # texts belong to a session's row, so they come ahead of its tasks, by which it multiplies
+    texted = _with_texts(single, t, keys)
+    needed = list(dict.fromkeys([*keys, *TASK_COLUMNS, "_request", "elapsed_ms"]))
+    texted = step(texted.select(*[c for c in needed if c in texted.columns]), "session-texts")
+    unstore(single, texted)
     # a task without a request belongs to no request, and not to the idle session either
     tasks = _task_rows(t, keys).filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
-    with_tasks = t.tasks.filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
-    rows = left_join_many(rows, tasks, by_request, parents.select(*by_session, request), with_tasks)
-    return _with_texts(_with_cursors(rows, t, keys), t, keys)
+    held = step(tasks, "session-tasks")
+    if held is tasks:
+        # every request, and every session as if it were idle
+        parents = t.requests.select(*by_session, "request_id").unionByName(
+            t.sessions.select(*by_session, F.lit(None).cast("int").alias("request_id"))
+        )
+        with_tasks = t.tasks.filter("request_id IS NOT NULL").withColumnRenamed("request_id", "_request")
+        joined = left_join_many(texted, tasks, by_request, parents.select(*by_session, request), with_tasks)
+    else:
+        joined = left_join_many(texted, held, by_request)
+    joined = joined.select(*needed)
+    result = step(joined, "session-rows")
+    unstore(texted, result)
+    unstore(held, result)
+    return result
 
 
 def session_tasks(t: SessionTables, *, server_name: str, keys=(), ordered: bool = True) -> DataFrame:

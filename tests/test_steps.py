@@ -13,7 +13,14 @@ from tests.check import rows
 from tests.test_relational import plan
 
 SF_DIR = "/root/testdata/sf0.001"
-REPORTS = ("a08_session_summary", "a08_session_summary_fleet", "a08_child_places")
+REPORTS = (
+    "a08_session_summary",
+    "a08_session_summary_fleet",
+    "a08_child_places",
+    "a09_session_tasks",
+    "a09_session_tasks_fleet",
+    "a10_blocking_fleet",
+)
 
 
 def shuffles(df):
